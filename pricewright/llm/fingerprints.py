@@ -36,7 +36,7 @@ def wide_hash(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
 
 
-def fingerprint(rows: DataFrame, key: str, ordinal: str, texts: list[str]) -> DataFrame:
+def fingerprint(rows: DataFrame, key: str, ordinal: str, texts: list[str], carried: list[Column] = ()) -> DataFrame:
     """Fingerprints of several text columns of each row.
 
     ``key`` and ``ordinal`` together name a row; rows should already lie by ``key``, as then no text
@@ -46,7 +46,7 @@ def fingerprint(rows: DataFrame, key: str, ordinal: str, texts: list[str]) -> Da
     several rows: each distinct one is sent once per task that holds it, for the byte comparison.
     """
     forms = rows.select(key, ordinal, *(canonical(F.col(t)).alias(t) for t in texts))
-    hashed = forms.select(key, ordinal, *(wide_hash(F.col(t)).alias(t) for t in texts)).repartition(F.col(key))
+    hashed = rows.select(key, ordinal, *carried, *(wide_hash(canonical(F.col(t))).alias(t) for t in texts)).repartition(F.col(key))
     items = hashed.select(key, ordinal, F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(f"{t}.h1"), F.col(f"{t}.h2")) for i, t in enumerate(texts)))).alias("x")).select(key, ordinal, "x.*")
     shared = items.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     wanted = items.join(shared, ["h1", "h2"]).groupBy(key, ordinal).agg(F.collect_set("which").alias("wanted"))
@@ -68,7 +68,8 @@ def fingerprint(rows: DataFrame, key: str, ordinal: str, texts: list[str]) -> Da
         return F.when(rank.isNull(), digits).otherwise(F.concat(digits, F.lit("-"), rank.cast("string")))
 
     out = hashed.join(moved, (F.col(key) == F.col("_k")) & (F.col(ordinal) - F.col("_o") == 0), "left")
-    return out.select(key, ordinal, *(name(i, t).alias(f"{t}_fingerprint") for i, t in enumerate(texts)))
+    rest = [c for c in hashed.columns if c not in (key, ordinal, *texts)]
+    return out.select(key, ordinal, *rest, *(name(i, t).alias(f"{t}_fingerprint") for i, t in enumerate(texts)))
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def successors(docs: DataFrame) -> DataFrame:
     # One row per range: at most as many as spark.sql.shuffle.partitions.
     out = ranged.join(F.broadcast(firsts), "range")
     after = F.coalesce(F.col("after"), F.struct(F.col("first_k").alias("k"), F.lit(1).alias("ordinal")))
-    return out.select("k", "ordinal", "n_chars", after["k"].alias("next_k"), after["ordinal"].alias("next_ordinal"))
+    return out.select("k", "ordinal", "doc_id", "n_chars", after["k"].alias("next_k"), after["ordinal"].alias("next_ordinal"))
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -99,18 +100,16 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     doc_id comes first; a null text counts as empty. The digest is exact, so a likeness is 1 or 0.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k"), "doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    following = cut(successors(keyed.select("k", "text_hash", F.char_length("text").cast("long").alias("n_chars"))))
-    placed = keyed.withColumn("ordinal", F.row_number().over(Window.partitionBy("k").orderBy("text_hash")))
+    following = cut(successors(keyed.select("k", "doc_id", "text_hash", F.char_length("text").cast("long").alias("n_chars"))))
+    placed = keyed.drop("doc_id").withColumn("ordinal", F.row_number().over(Window.partitionBy("k").orderBy("text_hash")))
 
     half = F.floor(F.col("n_chars") / 2).cast("int")
     wanted = following.select(F.col("next_k").alias("_k"), F.col("next_ordinal").alias("_o"), F.col("k").alias("to_k"), F.col("ordinal").alias("to_o"), half.alias("half"))
     heads = placed.join(wanted, (F.col("k") == F.col("_k")) & (F.col("ordinal") - F.col("_o") == 0)).select("to_k", "to_o", "half", F.expr("substring(text, 1, half)").alias("head"))
-    both = placed.join(heads, (F.col("k") == F.col("to_k")) & (F.col("ordinal") - F.col("to_o") == 0)).select("k", "ordinal", "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), F.expr("concat(substring(text, 1, char_length(text) - half), head)").alias("edited"))
+    both = placed.join(heads, (F.col("k") == F.col("to_k")) & (F.col("ordinal") - F.col("to_o") == 0)).select("k", "ordinal", "text", F.expr("concat(substring(text, 1, char_length(text) - half), head)").alias("edited"))
 
-    prints = fingerprint(both, "k", "ordinal", ["text", "edited"])
-    digests = both.select(F.col("k").alias("_k"), F.col("ordinal").alias("_o"), "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    rows = prints.join(digests, (F.col("k") == F.col("_k")) & (F.col("ordinal") - F.col("_o") == 0)).drop("_k", "_o")
-    chain = following.select(F.col("k").alias("_k"), F.col("ordinal").alias("_o"), "next_k", "next_ordinal")
+    rows = fingerprint(both, "k", "ordinal", ["text", "edited"], [F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")])
+    chain = following.select(F.col("k").alias("_k"), F.col("ordinal").alias("_o"), "doc_id", "n_chars", "next_k", "next_ordinal")
     rows = cut(rows.join(chain, (F.col("k") == F.col("_k")) & (F.col("ordinal") - F.col("_o") == 0)).drop("_k", "_o"))
     others = rows.select(F.col("k").alias("next_k"), F.col("ordinal").alias("next_ordinal"), F.col("text_fingerprint").alias("next_fingerprint"))
     rows = rows.join(others, ["next_k", "next_ordinal"])
