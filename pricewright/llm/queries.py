@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm import fingerprints, langid, mixing, packing, pii, token_counts, topk, toxicity
+from pricewright.llm import fingerprints, langid, mixing, near_dup, packing, pii, token_counts, topk, toxicity
 from pricewright.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
