@@ -1 +1,298 @@
-"""Queries."""
+"""Queries over the catalog: filters, searches, joins, places, sets, work queues."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from pricewright.functions import names, scores
+from pricewright.plans.registry import query
+from pricewright.sources.domain import Domain
+
+
+@query("flt01_name_search", "SELECT sp_id, name FROM sp WHERE contains(lower(name), 'red') AND contains(lower(name), 'bo')")
+def flt01(d: Domain):
+    return d.sp.where(names.contains_all(F.col("name"), "RED bo")).select("sp_id", "name")
+
+
+@query("flt03_any_signal", """
+SELECT sp_id FROM sp WHERE contains(lower(name), 'ring') OR contains(lower(brand), '#1') OR sp_id IN (SELECT sp_a FROM vote WHERE vote = 'identical' AND dwell_ms >= 1960)""")
+def flt03(d: Domain):
+    by_name = d.sp.where(names.contains_all(F.col("name"), "ring") | names.contains_all(F.col("brand"), "#1")).select("sp_id")
+    by_alias = d.sp.select("sp_id").join(d.vote.where("vote = 'identical' and dwell_ms >= 1960").select(F.col("sp_a").alias("sp_id")), "sp_id", "left_semi")
+    return by_name.union(by_alias).distinct()
+
+
+@query("flt04_ranked_arms", """
+arm AS (SELECT sp_id, list_price, 1 AS arm FROM sp WHERE name = 'red bolt' UNION ALL SELECT sp_id, list_price, 2 FROM sp WHERE contains(name, 'red') UNION ALL SELECT sp_id, list_price, 3 FROM sp WHERE contains(name, 'bolt')),
+capped AS (SELECT * FROM arm QUALIFY row_number() OVER (PARTITION BY arm ORDER BY list_price DESC, sp_id) <= 50),
+one AS (SELECT sp_id, min(arm) AS arm, max(list_price) AS list_price FROM capped GROUP BY sp_id)
+SELECT sp_id, arm FROM one ORDER BY arm, list_price DESC, sp_id LIMIT 50""")
+def flt04(d: Domain):
+    arm = lambda i, cond: d.sp.where(cond).select("sp_id", "list_price", F.lit(i).alias("arm")).orderBy(F.desc("list_price"), "sp_id").limit(50)
+    arms = arm(1, F.col("name") == "red bolt").union(arm(2, F.contains("name", F.lit("red")))).union(arm(3, F.contains("name", F.lit("bolt"))))
+    return arms.groupBy("sp_id").agg(F.min("arm").alias("arm"), F.max("list_price").alias("list_price")).orderBy("arm", F.desc("list_price"), "sp_id").limit(50).select("sp_id", "arm")
+
+
+@query("flt05_live_rows", "SELECT sp_id FROM sp WHERE NOT (sp_id % 7 = 0 AND sp_id > 0) AND category <> 'ECONOMY'")
+def flt05(d: Domain):
+    return d.sp.where(~((F.col("sp_id") % 7 == 0) & (F.col("sp_id") > 0)) & (F.col("category") != "ECONOMY")).select("sp_id")
+
+
+@query("flt06_has_digit", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]')")
+def flt06(d: Domain):
+    return d.table("documents").where(F.col("text").rlike("[0-9]")).select("doc_id")
+
+
+@query("flt07_category_suggestion", """
+word AS (SELECT DISTINCT sp_id, category, unnest(string_split(name, ' ')) AS w FROM sp)
+SELECT category, count(DISTINCT sp_id) AS hits FROM word WHERE starts_with(w, 're') OR starts_with(w, 'bol') GROUP BY category ORDER BY hits DESC, category LIMIT 5""")
+def flt07(d: Domain):
+    word = d.sp.select("sp_id", "category", F.explode(F.split("name", " ")).alias("w"))
+    return word.where(F.startswith("w", F.lit("re")) | F.startswith("w", F.lit("bol"))).groupBy("category").agg(F.countDistinct("sp_id").alias("hits")).orderBy(F.desc("hits"), "category").limit(5)
+
+
+@query("flt08_json_predicate", "SELECT event_id FROM events WHERE CAST(props->>'$.k' AS BIGINT) = 42")
+def flt08(d: Domain):
+    return d.table("events").where(F.get_json_object("props", "$.k").cast("long") == 42).select("event_id")
+
+
+@query("src02_json_decoded_twice", "SELECT event_type, sum(CAST(props->>'$.k' AS BIGINT))::BIGINT AS k, count(*) FILTER (props->>'$.missing' IS NULL) AS absent FROM events GROUP BY event_type")
+def src02(d: Domain):
+    """Values may be JSON inside a JSON string; both are read, and what isn't JSON is null."""
+    once = F.from_json("props", "k long, missing string")
+    again = F.from_json(F.get_json_object(F.concat(F.lit('{"v":'), F.col("props"), F.lit("}")), "$.v"), "k long, missing string")
+    decoded = d.table("events").select("event_type", F.coalesce(once["k"], again["k"]).alias("k"), once["missing"].alias("missing"))
+    return decoded.groupBy("event_type").agg(F.sum("k").alias("k"), F.count_if(F.col("missing").isNull()).alias("absent"))
+
+
+@query("flt10_shortest_label", "SELECT brand, name AS label FROM sp QUALIFY row_number() OVER (PARTITION BY brand ORDER BY length(name), name, sp_id) = 1")
+def flt10(d: Domain):
+    return d.sp.groupBy("brand").agg(F.min_by("name", F.struct(F.length("name"), "name", "sp_id")).alias("label"))
+
+
+@query("flt13_visible_receipts", "SELECT receipt_id FROM receipt WHERE user_id = 5 OR (user_id % 50 = 5 AND status = 'F')")
+def flt13(d: Domain):
+    return d.receipt.where((F.col("user_id") == 5) | ((F.col("user_id") % 50 == 5) & (F.col("status") == "F"))).select("receipt_id")
+
+
+@query("flt14_keyset_page", "SELECT receipt_id, cents FROM receipt WHERE receipt_id < 7000 ORDER BY receipt_id DESC LIMIT 21")
+def flt14(d: Domain):
+    return d.receipt.where("receipt_id < 7000").orderBy(F.desc("receipt_id")).limit(21).select("receipt_id", "cents")
+
+
+@query("flt15_offset_page", "SELECT sp_id, list_price FROM sp ORDER BY list_price DESC, sp_id LIMIT 20 OFFSET 40")
+def flt15(d: Domain):
+    return d.sp.orderBy(F.desc("list_price"), "sp_id").offset(40).limit(20).select("sp_id", "list_price")
+
+
+@query("src10_candidate_catalog", """
+SELECT sp.sp_id, s.chain_id, EXISTS (SELECT 1 FROM vote v WHERE v.sp_a = sp.sp_id AND v.vote = 'identical') AS is_catalog
+FROM sp JOIN (SELECT DISTINCT sp_id, chain_id FROM price JOIN store USING (store_id)) s USING (sp_id)""")
+def src10(d: Domain):
+    sold = d.price.select("sp_id", "store_id").join(d.store.select("store_id", "chain_id"), "store_id").select("sp_id", "chain_id").distinct()
+    liked = d.vote.where("vote = 'identical'").select(F.col("sp_a").alias("sp_id")).distinct().withColumn("is_catalog", F.lit(True))
+    return d.sp.select("sp_id").join(sold, "sp_id").join(liked, "sp_id", "left").select("sp_id", "chain_id", F.coalesce("is_catalog", F.lit(False)).alias("is_catalog"))
+
+
+@query("src11_outside_representative", "SELECT product_id, min(sp_id) AS sp_id FROM sp JOIN (SELECT DISTINCT sp_id FROM price WHERE store_id % 25 <> 3) USING (sp_id) GROUP BY product_id")
+def src11(d: Domain):
+    outside = d.price.where("store_id % 25 != 3").select("sp_id")
+    return d.sp.join(outside, "sp_id", "left_semi").groupBy("product_id").agg(F.min("sp_id").alias("sp_id"))
+
+
+@query("snk01_merged_upsert", """
+old AS (SELECT sp_id, store_id, max(id) AS id, max(price) AS price, CAST(NULL AS BIGINT) AS origin FROM price WHERE day < DATE '2001-01-01' GROUP BY ALL),
+new AS (SELECT sp_id, store_id, max(id) AS id, max(price) AS price, max(receipt_id) AS origin FROM price WHERE day >= DATE '2001-01-01' GROUP BY ALL)
+SELECT coalesce(n.sp_id, o.sp_id) AS sp_id, coalesce(n.store_id, o.store_id) AS store_id, coalesce(n.id, o.id) AS id, coalesce(n.price, o.price) AS price, coalesce(o.origin, n.origin) AS origin
+FROM old o FULL JOIN new n ON o.sp_id = n.sp_id AND o.store_id = n.store_id""")
+def snk01(d: Domain):
+    """The newest observation wins, provenance stays with whoever had it first."""
+    cut_off = F.lit("2001-01-01").cast("date")
+    side = lambda cond, origin: d.price.where(cond).groupBy("sp_id", "store_id").agg(F.struct(F.max("id").alias("id"), F.max("price").alias("price"), origin.alias("origin")).alias("v"))
+    old = side(F.col("day") < cut_off, F.max(F.lit(None).cast("long"))).withColumnRenamed("v", "old")
+    new = side(F.col("day") >= cut_off, F.max("receipt_id")).withColumnRenamed("v", "new")
+    both = old.join(new, ["sp_id", "store_id"], "full")
+    return both.select("sp_id", "store_id", F.coalesce("new.id", "old.id").alias("id"), F.coalesce("new.price", "old.price").alias("price"), F.coalesce("old.origin", "new.origin").alias("origin"))
+
+
+@query("snk02_insert_if_absent", "SELECT count(*) AS inserted FROM (SELECT DISTINCT sp_id, store_id FROM price WHERE day >= DATE '2001-06-01') n WHERE NOT EXISTS (SELECT 1 FROM price o WHERE o.sp_id = n.sp_id AND o.store_id = n.store_id AND o.day < DATE '2001-06-01')")
+def snk02(d: Domain):
+    day = F.lit("2001-06-01").cast("date")
+    new = d.price.where(F.col("day") >= day).select("sp_id", "store_id").distinct()
+    return new.join(d.price.where(F.col("day") < day), ["sp_id", "store_id"], "left_anti").agg(F.count("*").alias("inserted"))
+
+
+@query("join01_star", "SELECT c.chain, count(*) AS n, min(p.price) AS least FROM price p JOIN sp USING (sp_id) JOIN store s USING (store_id) JOIN chain c USING (chain_id) WHERE sp.weighable GROUP BY c.chain")
+def join01(d: Domain):
+    facts = d.price.select("sp_id", "store_id", "price").join(d.sp.where("weighable").select("sp_id"), "sp_id")
+    return facts.join(d.store.select("store_id", "chain_id"), "store_id").join(d.chain, "chain_id").groupBy("chain").agg(F.count("*").alias("n"), F.min("price").alias("least"))
+
+
+@query("join03_tree_levels", "SELECT s.store_id, c.chain AS l2, r.r_name AS l1 FROM store s LEFT JOIN chain c USING (chain_id) LEFT JOIN region r ON r.r_regionkey = c.zone_id")
+def join03(d: Domain):
+    zone = d.table("region").select(F.col("r_regionkey").alias("zone_id"), F.col("r_name").alias("l1"))
+    return d.store.select("store_id", "chain_id").join(d.chain, "chain_id", "left").join(zone, "zone_id", "left").select("store_id", F.col("chain").alias("l2"), "l1")
+
+
+@query("join04_semi", "SELECT count(*) AS n FROM receipt r WHERE EXISTS (SELECT 1 FROM price p WHERE p.receipt_id = r.receipt_id AND p.promo_price IS NOT NULL)")
+def join04(d: Domain):
+    return d.receipt.join(d.price.where("promo_price is not null"), "receipt_id", "left_semi").agg(F.count("*").alias("n"))
+
+
+@query("join05_anti", "SELECT receipt_id FROM receipt r WHERE NOT EXISTS (SELECT 1 FROM price p WHERE p.receipt_id = r.receipt_id)")
+def join05(d: Domain):
+    return d.receipt.join(d.price, "receipt_id", "left_anti").select("receipt_id")
+
+
+@query("join07_undirected_pairs", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS n FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2 HAVING count(*) > 3")
+def join07(d: Domain):
+    return d.table("lineitem").where("l_partkey != l_suppkey").groupBy(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).agg(F.count("*").alias("n")).where("n > 3")
+
+
+@query("join16_image_donor", "SELECT s.sp_id, g.donor FROM sp s JOIN (SELECT product_id, min(sp_id) AS donor FROM sp WHERE sp_id % 3 = 0 GROUP BY product_id) g USING (product_id) WHERE s.sp_id % 3 <> 0")
+def join16(d: Domain):
+    donors = d.sp.where("sp_id % 3 = 0").groupBy("product_id").agg(F.min("sp_id").alias("donor"))
+    return d.sp.where("sp_id % 3 != 0").join(donors, "product_id").select("sp_id", "donor")
+
+
+@query("join17_siblings_both_ways", "SELECT DISTINCT a AS id, b AS sibling FROM (SELECT sp_a AS a, sp_b AS b FROM vote WHERE vote = 'similar' AND dwell_ms > 1900 UNION SELECT sp_b, sp_a FROM vote WHERE vote = 'similar' AND dwell_ms > 1900)")
+def join17(d: Domain):
+    v = d.vote.where("vote = 'similar' and dwell_ms > 1900")
+    return v.select(F.col("sp_a").alias("id"), F.col("sp_b").alias("sibling")).union(v.select("sp_b", "sp_a")).distinct()
+
+
+@query("join18_code_lookup", "SELECT s.store_id, p.sp_id FROM (SELECT store_id, ltrim(regexp_extract(name, '[0-9]{3,16}$'), '0') AS code FROM store) s JOIN sp p ON CAST(p.sp_id AS VARCHAR) = s.code")
+def join18(d: Domain):
+    code = F.ltrim(F.regexp_extract("name", "[0-9]{3,16}$", 0), F.lit("0"))
+    return d.store.select("store_id", code.alias("code")).join(d.sp.select("sp_id", F.col("sp_id").cast("string").alias("code")), "code").select("store_id", "sp_id")
+
+
+POINT = (55.0, 23.5)
+COS_SQL = "6371 * acos(least(1.0, greatest(-1.0, sin(radians(lat)) * sin(radians(55.0)) + cos(radians(lat)) * cos(radians(55.0)) * cos(radians(lng - 23.5)))))"
+
+
+def km():
+    return scores.great_circle_km(F.col("lat"), F.col("lng"), F.lit(POINT[0]), F.lit(POINT[1]))
+
+
+@query("geo01_nearest_stores", f"SELECT store_id, round({COS_SQL}, 6) AS km FROM store ORDER BY km, store_id LIMIT 12")
+def geo01(d: Domain):
+    return d.store.select("store_id", F.round(km(), 6).alias("km")).orderBy("km", "store_id").limit(12)
+
+
+@query("geo02_haversine", "SELECT store_id, round(2 * 6371 * atan2(sqrt(a), sqrt(1 - a)), 6) AS km FROM (SELECT store_id, pow(sin(radians(lat - 55.0) / 2), 2) + cos(radians(lat)) * cos(radians(55.0)) * pow(sin(radians(lng - 23.5) / 2), 2) AS a FROM store)")
+def geo02(d: Domain):
+    return d.store.select("store_id", F.round(scores.haversine_km(F.col("lat"), F.col("lng"), F.lit(POINT[0]), F.lit(POINT[1])), 6).alias("km"))
+
+
+@query("geo03_nearest_per_chain", f"SELECT chain_id, store_id FROM (SELECT chain_id, store_id, round({COS_SQL}, 6) AS km FROM store) QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY km, store_id) = 1")
+def geo03(d: Domain):
+    return d.store.groupBy("chain_id").agg(F.min_by("store_id", F.struct(F.round(km(), 6), "store_id")).alias("store_id"))
+
+
+@query("geo04_range_or_cluster", f"""
+k AS (SELECT store_id, lat, lng, {COS_SQL} AS km FROM store), near AS (SELECT * FROM k WHERE km <= 10),
+hub AS (SELECT lat AS hlat, lng AS hlng FROM k ORDER BY km, store_id LIMIT 1),
+around AS (SELECT store_id FROM k, hub WHERE 2 * 6371 * asin(sqrt(pow(sin(radians(lat - hlat) / 2), 2) + cos(radians(lat)) * cos(radians(hlat)) * pow(sin(radians(lng - hlng) / 2), 2))) <= 25)
+SELECT store_id FROM near UNION SELECT store_id FROM around WHERE NOT EXISTS (SELECT 1 FROM near)""")
+def geo04(d: Domain):
+    k = d.store.select("store_id", "lat", "lng", km().alias("km"))
+    hub = k.orderBy("km", "store_id").limit(1).select(F.col("lat").alias("hlat"), F.col("lng").alias("hlng"), (F.col("km") <= 10).alias("in_range"))
+    # One row: the nearest store and whether it is in range.
+    both = k.crossJoin(hub)
+    around = scores.haversine_km(F.col("lat"), F.col("lng"), F.col("hlat"), F.col("hlng")) <= 25
+    return both.where(F.when(F.col("in_range"), F.col("km") <= 10).otherwise(around)).select("store_id")
+
+
+@query("set02_symmetric_difference", "x AS (SELECT DISTINCT store_id, sp_id FROM price WHERE store_id IN (3, 4)) SELECT count(*) AS n FROM (SELECT sp_id FROM x GROUP BY sp_id HAVING count(*) = 1)")
+def set02(d: Domain):
+    of = lambda i: F.collect_set(F.when(F.col("store_id") == i, F.col("sp_id")))
+    return d.price.where("store_id in (3, 4)").groupBy().agg(of(3).alias("a"), of(4).alias("b")).select((F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))).cast("long").alias("n"))
+
+
+@query("set04_token_jaccard", "t AS (SELECT DISTINCT name, list_distinct(string_split(name, ' ')) AS w FROM sp) SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS score FROM t a JOIN t b ON a.name < b.name AND len(list_intersect(a.w, b.w)) > 0")
+def set04(d: Domain):
+    t = d.sp.select("name").distinct().withColumn("w", F.array_distinct(F.split("name", " ")))
+    by_word = t.withColumn("word", F.explode("w"))
+    pairs = by_word.select(F.col("name").alias("a"), F.col("w").alias("wa"), "word").join(by_word.select(F.col("name").alias("b"), F.col("w").alias("wb"), "word"), "word").where("a < b").dropDuplicates(["a", "b"])
+    return pairs.select("a", "b", F.round(names.jaccard(F.col("wa"), F.col("wb")), 6).alias("score"))
+
+
+@query("top01_best_stores", "SELECT store_id, count(DISTINCT sp_id) AS found, round(avg(price), 2) AS mean FROM price WHERE sp_id < 200 GROUP BY store_id ORDER BY found DESC, mean, store_id LIMIT 10")
+def top01(d: Domain):
+    return d.price.where("sp_id < 200").groupBy("store_id").agg(F.countDistinct("sp_id").alias("found"), F.round(F.avg("price"), 2).alias("mean")).orderBy(F.desc("found"), "mean", "store_id").limit(10)
+
+
+@query("top04_two_tier_fill", """
+a AS (SELECT sp_id, 1 AS tier FROM sp WHERE category = 'PROMO' AND amount > 45 ORDER BY sp_id LIMIT 20), b AS (SELECT sp_id, 2 AS tier FROM sp WHERE category = 'SMALL' ORDER BY sp_id LIMIT 40)
+SELECT sp_id, tier FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY tier, sp_id LIMIT 40""")
+def top04(d: Domain):
+    tier = lambda cond, i, n: d.sp.where(cond).orderBy("sp_id").limit(n).select("sp_id", F.lit(i).alias("tier"))
+    return tier("category = 'PROMO' and amount > 45", 1, 20).union(tier("category = 'SMALL'", 2, 40)).orderBy("tier", "sp_id").limit(40)
+
+
+@query("top05_boosted_browse", """
+g AS (SELECT product_id, count(*) AS g FROM interaction GROUP BY product_id), p AS (SELECT product_id, count(*) AS n FROM interaction WHERE user_id = 8 GROUP BY product_id)
+SELECT product_id, round(g + least(coalesce(n, 0), 10) / 10.0::DOUBLE * coalesce(n, 0), 6) AS boost FROM g LEFT JOIN p USING (product_id) ORDER BY boost DESC, product_id LIMIT 30""")
+def top05(d: Domain):
+    g = d.interaction.groupBy("product_id").agg(F.count("*").alias("g"), F.count_if(F.col("user_id") == 8).alias("n"))
+    return g.select("product_id", F.round(F.col("g") + F.least(F.col("n"), F.lit(10)) / 10.0 * F.col("n"), 6).alias("boost")).orderBy(F.desc("boost"), "product_id").limit(30)
+
+
+@query("top06_round_robin", "SELECT sp_id, category FROM (SELECT sp_id, category, row_number() OVER (PARTITION BY category ORDER BY sp_id) AS rn FROM sp) ORDER BY rn, category LIMIT 40")
+def top06(d: Domain):
+    ranked = d.sp.select("sp_id", "category", F.row_number().over(Window.partitionBy("category").orderBy("sp_id")).alias("rn"))
+    return ranked.orderBy("rn", "category").limit(40).drop("rn")
+
+
+@query("rm07_latest_batch_total", "SELECT user_id, sum(cents)::BIGINT AS cents FROM (SELECT * FROM receipt QUALIFY rank() OVER (PARTITION BY user_id ORDER BY day DESC) = 1) GROUP BY user_id")
+def rm07(d: Domain):
+    newest = d.receipt.groupBy("user_id").agg(F.max("day").alias("day"))
+    return d.receipt.join(newest, ["user_id", "day"]).groupBy("user_id").agg(F.sum("cents").alias("cents"))
+
+
+@query("rm08_folded_basket", "SELECT receipt_id, sp_id % 64 AS head, min(id) AS id, sum(quantity) AS quantity FROM price GROUP BY ALL")
+def rm08(d: Domain):
+    return d.price.groupBy("receipt_id", (F.col("sp_id") % 64).alias("head")).agg(F.min("id").alias("id"), F.sum("quantity").alias("quantity"))
+
+
+@query("rm03_wildcard_lookup", "SELECT a.sp_id, min(b.sp_id) AS found FROM sp a JOIN sp b ON lower(a.name) = lower(b.name) AND a.brand = b.brand AND (a.amount = b.amount OR a.unit = 'pak' OR b.unit = 'pak') GROUP BY a.sp_id")
+def rm03(d: Domain):
+    size = F.when(F.col("unit") != "pak", F.col("amount"))
+    a = d.sp.select("sp_id", F.lower("name").alias("name"), "brand", size.alias("amount"))
+    b = a.select(F.col("sp_id").alias("other"), "name", "brand", F.col("amount").alias("other_amount"))
+    same = F.col("amount").isNull() | F.col("other_amount").isNull() | (F.col("amount") == F.col("other_amount"))
+    return a.join(b, ["name", "brand"]).where(same).groupBy("sp_id").agg(F.min("other").alias("found"))
+
+
+@query("rm13_name_drift", "SELECT product_id, count(*) FILTER (name <> (SELECT min(name) FROM sp)) AS drifted, bool_or(weighable) AS weighable FROM sp GROUP BY product_id")
+def rm13(d: Domain):
+    snap = d.sp.agg(F.min("name").alias("snap"))
+    return d.sp.crossJoin(snap).groupBy("product_id").agg(F.count_if(F.col("name") != F.col("snap")).alias("drifted"), F.max("weighable").alias("weighable"))
+
+
+@query("rm14_category_counts", "SELECT c.chain, count(s.store_id) AS stores FROM chain c LEFT JOIN store s USING (chain_id) GROUP BY c.chain")
+def rm14(d: Domain):
+    return d.chain.join(d.store.select("store_id", "chain_id"), "chain_id", "left").groupBy("chain").agg(F.count("store_id").alias("stores"))
+
+
+@query("rm18_aliases_by_state", "SELECT sp_a, array_to_string(list_sort(list(DISTINCT sp_b)), ',') AS aliases FROM vote WHERE vote = 'identical' AND dwell_ms >= 1800 GROUP BY sp_a")
+def rm18(d: Domain):
+    return d.vote.where("vote = 'identical' and dwell_ms >= 1800").groupBy("sp_a").agg(F.array_join(F.sort_array(F.collect_set("sp_b")), ",").alias("aliases"))
+
+
+@query("adm01_amount_queue", """
+q AS (SELECT product_id, median(amount) AS mid FROM sp GROUP BY product_id)
+SELECT s.sp_id, CASE WHEN s.amount > 1.9 * q.mid THEN 'outlier' ELSE 'small' END AS reason FROM sp s JOIN q USING (product_id)
+WHERE (s.amount > 1.9 * q.mid OR s.amount < 0.1 * q.mid) AND NOT EXISTS (SELECT 1 FROM vote v WHERE v.sp_a = s.sp_id AND v.day >= DATE '2001-10-20') ORDER BY reason, s.sp_id LIMIT 50""")
+def adm01(d: Domain):
+    mid = d.sp.groupBy("product_id").agg(F.median("amount").alias("mid"))
+    odd = d.sp.join(mid, "product_id").where("amount > 1.9 * mid or amount < 0.1 * mid")
+    acted = d.vote.where(F.col("day") >= F.lit("2001-10-20").cast("date")).select(F.col("sp_a").alias("sp_id"))
+    return odd.join(acted, "sp_id", "left_anti").select("sp_id", F.when(F.col("amount") > 1.9 * F.col("mid"), "outlier").otherwise("small").alias("reason")).orderBy("reason", "sp_id").limit(50)
+
+
+@query("adm06_daily_digest", "SELECT CAST(day AS VARCHAR) AS day, count(*) AS prices, count(DISTINCT store_id) AS stores, count(*) FILTER (verified) AS verified FROM price WHERE day >= DATE '2001-10-01' GROUP BY day")
+def adm06(d: Domain):
+    return d.price.where(F.col("day") >= F.lit("2001-10-01").cast("date")).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("prices"), F.countDistinct("store_id").alias("stores"), F.count_if("verified").alias("verified"))

@@ -1 +1,186 @@
-"""Queries."""
+"""Queries over names: normal forms, similarity, entity resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pricewright.functions import names, units
+from pricewright.operators import similarity
+from pricewright.plans.registry import query
+from pricewright.sources.domain import Domain
+
+FOLD_SQL = f"translate(lower({{0}}), '{names.MARKED}', '{names.PLAIN}')"
+NORMAL_SQL = "trim(regexp_replace(regexp_replace(" + FOLD_SQL + ", '[^a-z0-9+]+', ' ', 'g'), ' +', ' ', 'g'))"
+SIM_SQL = "round(1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}))::DOUBLE, 6)"
+TITLE_SQL = f"title AS (SELECT DISTINCT product_id, {NORMAL_SQL.format('name || chr(32) || brand')} AS name FROM sp)"
+GRAM_SQL = "list_distinct(list_transform(range(1, length({0}) + 3), lambda i: substring('  ' || {0} || '  ', i::INT, 3)))"
+
+
+def titles(d: Domain):
+    return d.sp.select("product_id", names.normal_name(F.concat_ws(" ", "name", "brand")).alias("name")).distinct()
+
+
+@query("str01_normal_documents", f"SELECT doc_id, md5({NORMAL_SQL.format('text')}) AS digest FROM documents")
+def str01(d: Domain):
+    return d.table("documents").select("doc_id", F.md5(names.normal_name(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("str05_folded_documents", f"SELECT doc_id, md5({FOLD_SQL.format('text')}) AS digest FROM documents")
+def str05(d: Domain):
+    return d.table("documents").select("doc_id", F.md5(names.folded(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("str12_trigrams", f"{TITLE_SQL} SELECT name, len({GRAM_SQL.format('name')}) AS grams FROM title GROUP BY name")
+def str12(d: Domain):
+    return titles(d).select("name").distinct().select("name", F.size(names.trigrams(F.col("name"))).alias("grams"))
+
+
+@query("str13_significant_tokens", f"SELECT doc_id, len(list_distinct(list_filter(string_split({NORMAL_SQL.format('text')}, ' '), lambda t: length(t) >= 4 AND regexp_matches(t, '[a-z]')))) AS n FROM documents")
+def str13(d: Domain):
+    return d.table("documents").select("doc_id", F.size(names.significant_tokens(F.col("text"))).alias("n"))
+
+
+@query("str15_variant_numbers", "SELECT doc_id, list_sum(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: length(x)))::BIGINT AS digits, len(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS numbers FROM documents WHERE regexp_matches(text, '[0-9]')")
+def str15(d: Domain):
+    found = F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
+    return d.table("documents").where(F.col("text").rlike("[0-9]")).select("doc_id", F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("digits"), F.size(F.array_distinct(found)).alias("numbers"))
+
+
+@query("str14_name_similarity", f"t AS (SELECT DISTINCT name FROM sp) SELECT a.name AS a, b.name AS b, {SIM_SQL.format('a.name', 'b.name')} AS score FROM t a JOIN t b ON string_split(a.name, ' ')[2] = string_split(b.name, ' ')[2] AND a.name < b.name")
+def str14(d: Domain):
+    t = d.sp.select("name").distinct().withColumn("head", F.get(F.split("name", " "), 1))
+    pairs = t.select(F.col("name").alias("a"), "head").join(t.select(F.col("name").alias("b"), "head"), "head").where("a < b")
+    return pairs.select("a", "b", F.round(names.similarity(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query("join11_trigram_top3", f"""
+{TITLE_SQL}, n AS (SELECT DISTINCT name FROM title),
+pairs AS (SELECT a.name AS l, b.name AS r, {SIM_SQL.format('a.name', 'b.name')} AS score FROM n a JOIN n b ON a.name <> b.name AND len(list_intersect({GRAM_SQL.format('a.name')}, {GRAM_SQL.format('b.name')})) >= 6)
+SELECT l, r, score FROM pairs WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) <= 3""")
+def join11(d: Domain):
+    n = titles(d).select("name").distinct().select(F.col("name").alias("id"), "name")
+    found = similarity.similarity_join(n, n.select(F.col("id").alias("id"), F.col("name").alias("name")), 0.6, 3, least_shared=6, also=F.col("left_id") != F.col("right_id"))
+    return found.select(F.col("left_id").alias("l"), F.col("right_id").alias("r"), "score")
+
+
+@query("er03_token_lane", f"""
+t AS (SELECT DISTINCT name, string_split(name, ' ') AS w FROM sp), p AS (SELECT a.name AS a, b.name AS b, a.w AS wa, b.w AS wb FROM t a JOIN t b ON a.w[1] = b.w[1] AND a.name <> b.name)
+SELECT a, b, round(list_sum(list_transform(wa, lambda x: CASE WHEN list_max(list_transform(wb, lambda y: 1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE)) >= 0.75 THEN list_max(list_transform(wb, lambda y: 1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE)) * length(x) ELSE 0 END)) / list_sum(list_transform(wa, lambda x: length(x)))::DOUBLE, 6) AS score FROM p""")
+def er03(d: Domain):
+    t = d.sp.select("name").distinct().withColumn("w", F.split("name", " ")).withColumn("first", F.get("w", 0))
+    pairs = t.select(F.col("name").alias("a"), F.col("w").alias("wa"), "first").join(t.select(F.col("name").alias("b"), F.col("w").alias("wb"), "first"), "first").where("a != b")
+    return pairs.select("a", "b", F.round(similarity.token_lane(F.col("wa"), F.col("wb")), 6).alias("score"))
+
+
+@query("er07_size_gated_match", f"""
+n AS (SELECT sp_id, {NORMAL_SQL.format('name || chr(32) || brand')} AS name, unit, amount, product_id FROM sp WHERE sp_id % 5 = 0),
+pairs AS (SELECT a.sp_id AS l, b.sp_id AS r, {SIM_SQL.format('a.name', 'b.name')} AS score FROM n a JOIN n b ON a.product_id = b.product_id AND a.sp_id <> b.sp_id AND (a.unit = b.unit))
+SELECT l, r, score FROM pairs p JOIN n a ON a.sp_id = p.l JOIN n b ON b.sp_id = p.r WHERE score >= 0.8 OR (score >= 0.65 AND abs(a.amount - b.amount) < 0.01)""")
+def er07(d: Domain):
+    n = d.sp.where("sp_id % 5 = 0").select("sp_id", names.normal_name(F.concat_ws(" ", "name", "brand")).alias("name"), "unit", "amount", "product_id")
+    a = n.select(F.col("sp_id").alias("l"), F.col("name").alias("ln"), "unit", F.col("amount").alias("la"), "product_id")
+    b = n.select(F.col("sp_id").alias("r"), F.col("name").alias("rn"), "unit", F.col("amount").alias("ra"), "product_id")
+    scored = a.join(b, ["product_id", "unit"]).where("l != r").withColumn("score", F.round(names.similarity(F.col("ln"), F.col("rn")), 6))
+    return scored.where("score >= 0.8 or (score >= 0.65 and abs(la - ra) < 0.01)").select("l", "r", "score")
+
+
+@query("er14_base_cluster", f"""
+n AS (SELECT sp_id, category, {NORMAL_SQL.format('name || chr(32) || brand')} AS name FROM sp), head AS (SELECT DISTINCT ON (category, name) category, name, min(sp_id) OVER (PARTITION BY category, name) AS head FROM n),
+pairs AS (SELECT a.head AS l, b.head AS r, {SIM_SQL.format('a.name', 'b.name')} AS score FROM head a JOIN head b ON a.category = b.category AND b.head < a.head AND len(list_intersect({GRAM_SQL.format('a.name')}, {GRAM_SQL.format('b.name')})) >= 8)
+SELECT l, r, score FROM pairs WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1""")
+def er14(d: Domain):
+    n = d.sp.select("sp_id", "category", names.normal_name(F.concat_ws(" ", "name", "brand")).alias("name"))
+    head = n.groupBy("category", "name").agg(F.min("sp_id").alias("head"))
+    grams = head.select("category", "name", "head", F.explode(names.trigrams(F.col("name"))).alias("gram"))
+    a = grams.select("category", F.col("name").alias("ln"), F.col("head").alias("l"), "gram")
+    b = grams.select("category", F.col("name").alias("rn"), F.col("head").alias("r"), "gram")
+    pairs = a.join(b, ["category", "gram"]).where("r < l").groupBy("l", "r", "ln", "rn").agg(F.count("*").alias("shared")).where("shared >= 8")
+    scored = pairs.withColumn("score", F.round(names.similarity(F.col("ln"), F.col("rn")), 6)).where("score >= 0.8")
+    return scored.groupBy("l").agg(F.max_by(F.struct("r", "score"), F.struct("score", -F.col("r"))).alias("b")).select("l", "b.r", "b.score")
+
+
+@query("er18_line_confidence", """
+SELECT id, CASE WHEN c >= 0.85 THEN 'S1' WHEN c >= 0.65 THEN 'S2' ELSE 'S3' END AS band, round(c, 6) AS confidence FROM (
+  SELECT id, least(least(1.0, 0.6 + 0.4 * (line_no % 5) / 5.0::DOUBLE + CASE WHEN verified THEN 0.15 ELSE 0 END + CASE WHEN promo_price IS NOT NULL THEN 0.05 ELSE 0 END), CASE WHEN price > 4000 THEN 0.4 ELSE 1.0 END, CASE WHEN is_fallback AND NOT verified THEN 0.64 ELSE 1.0 END) AS c FROM price)""")
+def er18(d: Domain):
+    """Base score plus confirmations, under the least of the caps that vetoes set."""
+    base = 0.6 + 0.4 * (F.col("line_no") % 5) / 5.0 + F.when(F.col("verified"), 0.15).otherwise(0.0) + F.when(F.col("promo_price").isNotNull(), 0.05).otherwise(0.0)
+    caps = F.array(F.lit(1.0), F.when(F.col("price") > 4000, 0.4).otherwise(1.0), F.when(F.col("is_fallback") & ~F.col("verified"), 0.64).otherwise(1.0))
+    c = F.least(base, F.array_min(caps))
+    return d.price.select("id", F.when(c >= 0.85, "S1").when(c >= 0.65, "S2").otherwise("S3").alias("band"), F.round(c, 6).alias("confidence"))
+
+
+@query("er11_round_two", """
+base AS (SELECT sp_id, median(price) AS usual FROM price WHERE NOT is_fallback GROUP BY sp_id)
+SELECT p.id, CASE WHEN p.price < 0.4 * b.usual OR p.price > 2.5 * b.usual THEN 'reject' WHEN abs(p.price - b.usual) <= greatest(0.01, 0.01 * b.usual) THEN 'confirm' WHEN p.promo_price IS NOT NULL THEN 'repick' ELSE 'keep' END AS verdict
+FROM price p JOIN base b USING (sp_id) WHERE p.day >= DATE '2001-01-01'""")
+def er11(d: Domain):
+    usual = d.price.where("not is_fallback").groupBy("sp_id").agg(F.median("price").alias("usual"))
+    p = d.price.where(F.col("day") >= F.lit("2001-01-01").cast("date")).join(usual, "sp_id")
+    close = F.abs(F.col("price") - F.col("usual")) <= F.greatest(F.lit(0.01), 0.01 * F.col("usual"))
+    verdict = F.when((F.col("price") < 0.4 * F.col("usual")) | (F.col("price") > 2.5 * F.col("usual")), "reject").when(close, "confirm").when(F.col("promo_price").isNotNull(), "repick").otherwise("keep")
+    return p.select("id", verdict.alias("verdict"))
+
+
+@query("er22_dedup_remap", """
+canon AS (SELECT sp_id, min(sp_id) OVER (PARTITION BY name, brand, amount, unit) AS keep FROM sp)
+SELECT c.keep AS sp_id, count(*) AS n, count(*) FILTER (c.keep <> p.sp_id) AS moved FROM price p JOIN canon c USING (sp_id) GROUP BY c.keep""")
+def er22(d: Domain):
+    key = ["name", "brand", "amount", "unit"]
+    canon = d.sp.join(d.sp.groupBy(*key).agg(F.min("sp_id").alias("keep")), key).select("sp_id", "keep")
+    return d.price.join(canon, "sp_id").groupBy("keep").agg(F.count("*").alias("n"), F.count_if(F.col("keep") != F.col("sp_id")).alias("moved")).withColumnRenamed("keep", "sp_id")
+
+
+@query("er23_duplicate_receipts", """
+lines AS (SELECT receipt_id, string_agg(sp_id || 'x' || CAST(quantity AS BIGINT), ',' ORDER BY sp_id, quantity) AS body FROM price GROUP BY receipt_id)
+SELECT a.receipt_id AS a, b.receipt_id AS b FROM lines a JOIN lines b ON a.body = b.body AND a.receipt_id < b.receipt_id""")
+def er23(d: Domain):
+    """Receipts with the same lines, whoever handed them in."""
+    lines = d.price.groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.struct("sp_id", "quantity"))).alias("body"))
+    named = lines.select("receipt_id", F.xxhash64("body").alias("key"), "body")
+    a, b = named.select(F.col("receipt_id").alias("a"), "key", F.col("body").alias("body_a")), named.select(F.col("receipt_id").alias("b"), "key", F.col("body").alias("body_b"))
+    return a.join(b, "key").where("a < b and body_a = body_b").select("a", "b")
+
+
+@query("er24_recovery_matches", """
+SELECT a.user_id AS claimed, b.user_id AS candidate, count(*) AS receipts FROM receipt a JOIN receipt b ON a.day = b.day AND abs(a.cents - b.cents) <= 2000000 AND a.user_id <> b.user_id WHERE a.user_id < 100 GROUP BY ALL HAVING count(*) >= 1""")
+def er24(d: Domain):
+    a = d.receipt.where("user_id < 100").select(F.col("user_id").alias("claimed"), "day", F.col("cents").alias("ca"))
+    b = d.receipt.select(F.col("user_id").alias("candidate"), "day", F.col("cents").alias("cb"))
+    return a.join(b, "day").where("abs(ca - cb) <= 2000000 and claimed != candidate").groupBy("claimed", "candidate").agg(F.count("*").alias("receipts")).where("receipts >= 1")
+
+
+@query("er29_code_evidence", "g AS (SELECT store_id, line_no AS code, sp_id, count(*) AS n FROM price GROUP BY store_id, line_no, sp_id HAVING count(*) >= 2) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY store_id, code ORDER BY n DESC, sp_id) = 1")
+def er29(d: Domain):
+    g = d.price.groupBy("store_id", F.col("line_no").alias("code"), "sp_id").agg(F.count("*").alias("n")).where("n >= 2")
+    return g.groupBy("store_id", "code").agg(F.max_by(F.struct("sp_id", "n"), F.struct("n", -F.col("sp_id"))).alias("b")).select("store_id", "code", "b.sp_id", "b.n")
+
+
+@query("er33_misclusters", """
+w AS (SELECT product_id, sp_id, unnest(list_distinct(string_split(name, ' '))) AS t FROM sp), n AS (SELECT product_id, count(*) AS n FROM sp GROUP BY product_id),
+c AS (SELECT product_id, t, count(DISTINCT sp_id) AS k FROM w WHERE length(t) >= 4 GROUP BY ALL)
+SELECT n.product_id, n.n FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.product_id = n.product_id AND c.k = n.n)""")
+def er33(d: Domain):
+    sets = d.sp.groupBy("product_id").agg(F.collect_set(names.significant_tokens(F.col("name"))).alias("sets"), F.count("*").alias("n"))
+    common = F.aggregate(F.slice("sets", 2, 1_000_000), F.get("sets", 0), lambda acc, s: F.array_intersect(acc, s))
+    return sets.where(F.size(common) == 0).select("product_id", "n")
+
+
+@query("rm23_token_overlap", "t AS (SELECT DISTINCT name, string_split(name, ' ') AS w FROM sp) SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.w, b.w)) / least(len(list_distinct(a.w)), len(list_distinct(b.w)))::DOUBLE, 6) AS score FROM t a JOIN t b ON a.w[1] = b.w[1] AND a.name < b.name")
+def rm23(d: Domain):
+    t = d.sp.select("name").distinct().withColumn("w", F.array_distinct(F.split("name", " "))).withColumn("first", F.get("w", 0))
+    pairs = t.select(F.col("name").alias("a"), F.col("w").alias("wa"), "first").join(t.select(F.col("name").alias("b"), F.col("w").alias("wb"), "first"), "first").where("a < b")
+    return pairs.select("a", "b", F.round(names.overlap(F.col("wa"), F.col("wb")), 6).alias("score"))
+
+
+SIZE_SQL = "replace(lower(name || ' ' || CAST(CAST(amount AS INT) AS VARCHAR) || CASE sp_id % 4 WHEN 0 THEN ' x 0,5 l' WHEN 1 THEN ' kg' WHEN 2 THEN ' vnt' ELSE ' g / 330 ml' END), ',', '.')"
+
+
+@query("uni01_parsed_sizes", f"""
+t AS (SELECT sp_id, {SIZE_SQL} AS t FROM sp)
+SELECT sp_id, CASE sp_id % 4 WHEN 0 THEN regexp_extract(t, '([0-9]+) x', 1)::DOUBLE * 0.5 WHEN 1 THEN regexp_extract(t, '([0-9]+) kg', 1)::DOUBLE WHEN 2 THEN regexp_extract(t, '([0-9]+) vnt', 1)::DOUBLE ELSE 330 END AS amount,
+  CASE sp_id % 4 WHEN 0 THEN 'l' WHEN 1 THEN 'kg' WHEN 2 THEN 'vnt' ELSE 'ml' END AS unit FROM t""")
+def uni01(d: Domain):
+    tail = F.expr("CASE sp_id % 4 WHEN 0 THEN ' x 0,5 l' WHEN 1 THEN ' kg' WHEN 2 THEN ' vnt' ELSE ' g / 330 ml' END")
+    parsed = units.parse_size(F.concat("name", F.lit(" "), F.col("amount").cast("int").cast("string"), tail))
+    return d.sp.select("sp_id", parsed.alias("s")).select("sp_id", "s.amount", "s.unit")

@@ -1 +1,297 @@
-"""Queries."""
+"""Queries over spending, trips, interactions and recommendations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from pricewright.functions import scores
+from pricewright.plans.registry import query
+from pricewright.sources.domain import AS_OF, Domain
+
+TODAY = "2024-02-01"
+WEIGHT_SQL = "CASE type WHEN 'receipt_buy' THEN 5 WHEN 'list_check' THEN 3 WHEN 'list_add' THEN 2 ELSE 1 END"
+LINE_SQL = "line AS (SELECT receipt_id, sp_id, store_id, day, CAST(floor(coalesce(CASE WHEN promo_price > 0 THEN promo_price END, price) * quantity * 100 + 0.5) AS BIGINT) AS cents FROM price WHERE price * quantity > 0)"
+
+
+def weight():
+    return F.when(F.col("type") == "receipt_buy", 5).when(F.col("type") == "list_check", 3).when(F.col("type") == "list_add", 2).otherwise(1)
+
+
+def age():
+    return F.datediff(F.lit(TODAY).cast("date"), F.col("ts").cast("date"))
+
+
+def lines(d: Domain):
+    paid = F.coalesce(F.when(F.col("promo_price") > 0, F.col("promo_price")), F.col("price")) * F.col("quantity")
+    return d.price.where("price * quantity > 0").select("receipt_id", "sp_id", "store_id", "day", F.floor(paid * 100 + 0.5).alias("cents"))
+
+
+@query("agg01_spend_by_store", LINE_SQL + " SELECT store_id, count(*) AS lines, sum(cents)::BIGINT AS cents, min(cents) AS least, max(cents) AS most, round(avg(cents), 4) AS mean FROM line GROUP BY store_id")
+def agg01(d: Domain):
+    return lines(d).groupBy("store_id").agg(F.count("*").alias("lines"), F.sum("cents").alias("cents"), F.min("cents").alias("least"), F.max("cents").alias("most"), F.round(F.avg("cents"), 4).alias("mean"))
+
+
+@query("agg02_distinct_buyers", "SELECT p.sp_id, count(DISTINCT r.user_id) AS buyers FROM price p JOIN receipt r USING (receipt_id) GROUP BY p.sp_id")
+def agg02(d: Domain):
+    return d.price.join(d.receipt.select("receipt_id", "user_id"), "receipt_id").groupBy("sp_id").agg(F.countDistinct("user_id").alias("buyers"))
+
+
+@query("agg03_conditional_counts", "SELECT store_id, count(*) FILTER (verified) AS verified, count(*) FILTER (is_fallback) AS fallbacks, max(CASE WHEN promo_price IS NOT NULL THEN price END) AS dearest_deal FROM price GROUP BY store_id")
+def agg03(d: Domain):
+    return d.price.groupBy("store_id").agg(F.count_if("verified").alias("verified"), F.count_if("is_fallback").alias("fallbacks"), F.max(F.when(F.col("promo_price").isNotNull(), F.col("price"))).alias("dearest_deal"))
+
+
+@query("agg04_frequent_products", "SELECT sp_id, count(*) AS n FROM price GROUP BY sp_id HAVING count(*) >= 35")
+def agg04(d: Domain):
+    return d.price.groupBy("sp_id").agg(F.count("*").alias("n")).where("n >= 35")
+
+
+@query("agg05_newest_names", """
+SELECT user_id, string_agg(status || ':' || receipt_id, '~|~' ORDER BY receipt_id DESC) AS newest FROM (SELECT * FROM receipt QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY receipt_id DESC) <= 5) GROUP BY user_id""")
+def agg05(d: Domain):
+    newest = F.slice(F.sort_array(F.collect_list(F.struct("receipt_id", "status")), asc=False), 1, 5)
+    return d.receipt.groupBy("user_id").agg(newest.alias("n")).select("user_id", F.array_join(F.transform("n", lambda x: F.concat(x["status"], F.lit(":"), x["receipt_id"])), "~|~").alias("newest"))
+
+
+@query("agg07_user_scores", f"SELECT user_id, product_id, round(sum({WEIGHT_SQL} * exp(-date_diff('day', CAST(ts AS DATE), DATE '{TODAY}') / 90.0::DOUBLE)), 8) AS score, count(*) AS n FROM interaction GROUP BY ALL")
+def agg07(d: Domain):
+    return d.interaction.groupBy("user_id", "product_id").agg(F.round(F.sum(scores.decayed(weight(), age())), 8).alias("score"), F.count("*").alias("n"))
+
+
+@query("agg08_half_life", f"SELECT product_id, round(sum(CASE WHEN date_diff('day', CAST(ts AS DATE), DATE '{TODAY}') > 0 THEN pow(0.5, date_diff('day', CAST(ts AS DATE), DATE '{TODAY}') / 21.0::DOUBLE) ELSE 1 END), 8) AS score FROM interaction GROUP BY product_id")
+def agg08(d: Domain):
+    return d.interaction.groupBy("product_id").agg(F.round(F.sum(scores.half_life(age(), 21.0)), 8).alias("score"))
+
+
+@query("agg09_medians", "SELECT user_id, median(cents) AS median_cents, CAST(quantile_disc(cents, 0.5) AS BIGINT) AS lower_median FROM receipt GROUP BY user_id")
+def agg09(d: Domain):
+    return d.receipt.groupBy("user_id").agg(F.median("cents").alias("median_cents"), F.expr("CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY cents) AS BIGINT)").alias("lower_median"))
+
+
+TRIP_SQL = f"trip AS (SELECT r.user_id, r.day, count(DISTINCT p.sp_id) AS size, date_diff('day', r.day, DATE '{AS_OF}') AS age FROM receipt r JOIN price p USING (receipt_id) WHERE r.user_id % 3 = 0 GROUP BY ALL)"
+
+
+def trips(d: Domain):
+    """One trip per user and day, with its products."""
+    return d.receipt.where("user_id % 3 = 0").select("receipt_id", "user_id", F.col("day").alias("trip_day")).join(d.price.select("receipt_id", "sp_id"), "receipt_id").groupBy("user_id", "trip_day", "sp_id").agg(F.lit(1).alias("one")).drop("one")
+
+
+@query("agg10_weighted_trip_size", TRIP_SQL + """,
+rep AS (SELECT user_id, size, unnest(range(CAST(greatest(1, floor(4 * pow(0.5, age / 365.0::DOUBLE) + 0.5)) AS BIGINT))) AS i FROM trip)
+SELECT user_id, greatest(5, least(25, median(size)))::DOUBLE AS slots FROM rep GROUP BY user_id""")
+def agg10(d: Domain):
+    size = trips(d).groupBy("user_id", "trip_day").agg(F.count("*").alias("size"))
+    w = scores.half_life(F.datediff(F.lit(AS_OF).cast("date"), "trip_day"), 365.0)
+    rep = size.withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(4 * w + 0.5)).cast("int"))))
+    return rep.groupBy("user_id").agg(F.greatest(F.lit(5.0), F.least(F.lit(25.0), F.median("size"))).alias("slots"))
+
+
+@query("agg11_top_and_rest", LINE_SQL + """,
+t AS (SELECT store_id, sum(cents)::BIGINT AS cents FROM line GROUP BY store_id), r AS (SELECT *, row_number() OVER (ORDER BY cents DESC, store_id) AS rn FROM t)
+SELECT CASE WHEN rn <= 5 THEN CAST(store_id AS VARCHAR) ELSE 'rest' END AS store, sum(cents)::BIGINT AS cents FROM r GROUP BY 1""")
+def agg11(d: Domain):
+    totals = lines(d).groupBy("store_id").agg(F.sum("cents").alias("cents"))
+    top = totals.orderBy(F.desc("cents"), "store_id").limit(5).select("store_id", F.lit(True).alias("top"))
+    named = totals.join(F.broadcast(top), "store_id", "left")
+    return named.groupBy(F.when(F.col("top"), F.col("store_id").cast("string")).otherwise("rest").alias("store")).agg(F.sum("cents").alias("cents"))
+
+
+@query("agg12_monthly_series", """
+m AS (SELECT user_id, date_trunc('month', day) AS month, sum(cents)::BIGINT AS cents FROM receipt WHERE user_id < 50 GROUP BY ALL),
+span AS (SELECT user_id, least(min(month), DATE '2001-05-01') AS first FROM m GROUP BY user_id),
+axis AS (SELECT user_id, unnest(generate_series(first::TIMESTAMP, TIMESTAMP '2001-11-01', INTERVAL 1 MONTH)) AS month FROM span)
+SELECT a.user_id, strftime(a.month, '%Y-%m') AS month, coalesce(m.cents, 0) AS cents FROM axis a LEFT JOIN m ON m.user_id = a.user_id AND m.month = a.month""")
+def agg12(d: Domain):
+    m = d.receipt.where("user_id < 50").groupBy("user_id", F.trunc("day", "month").alias("month")).agg(F.sum("cents").alias("cents"))
+    span = m.groupBy("user_id").agg(F.least(F.min("month"), F.lit("2001-05-01").cast("date")).alias("first"))
+    axis = span.select("user_id", F.explode(F.sequence("first", F.lit("2001-11-01").cast("date"), F.expr("interval 1 month"))).alias("month"))
+    return axis.join(m, ["user_id", "month"], "left").select("user_id", F.date_format("month", "yyyy-MM").alias("month"), F.coalesce("cents", F.lit(0)).alias("cents"))
+
+
+@query("agg13_month_to_date", """
+SELECT user_id, sum(CASE WHEN day BETWEEN DATE '2001-03-01' AND DATE '2001-03-30' THEN cents ELSE 0 END)::BIGINT AS this_month,
+  sum(CASE WHEN day BETWEEN DATE '2001-02-01' AND DATE '2001-02-28' THEN cents ELSE 0 END)::BIGINT AS last_month FROM receipt GROUP BY user_id""")
+def agg13(d: Domain):
+    today = F.lit("2001-03-30").cast("date")
+    start = F.trunc(today, "month")
+    before = F.add_months(start, -1)
+    clamped = F.date_add(before, F.least(F.dayofmonth(today), F.dayofmonth(F.last_day(before))) - 1)
+    total = lambda a, b: F.sum(F.when(F.col("day").between(a, b), F.col("cents")).otherwise(0))
+    return d.receipt.groupBy("user_id").agg(total(start, today).alias("this_month"), total(before, clamped).alias("last_month"))
+
+
+@query("agg14_spend_by_category_month", LINE_SQL + " SELECT coalesce(category, 'none') AS category, strftime(day, '%Y-%m') AS month, sum(cents)::BIGINT AS cents FROM line LEFT JOIN sp USING (sp_id) GROUP BY ALL")
+def agg14(d: Domain):
+    return lines(d).join(d.sp.select("sp_id", "category"), "sp_id", "left").groupBy(F.coalesce("category", F.lit("none")).alias("category"), F.date_format("day", "yyyy-MM").alias("month")).agg(F.sum("cents").alias("cents"))
+
+
+@query("agg15_net_of_receipt_discount", LINE_SQL + """,
+gross AS (SELECT receipt_id, sum(cents)::BIGINT AS gross FROM line GROUP BY receipt_id)
+SELECT s.chain_id, sum(CAST(floor(l.cents * (g.gross - g.gross // 50) / g.gross::DOUBLE + 0.5) AS BIGINT))::BIGINT AS net FROM line l JOIN gross g USING (receipt_id) JOIN store s USING (store_id) GROUP BY s.chain_id""")
+def agg15(d: Domain):
+    all_lines = lines(d)
+    gross = all_lines.groupBy("receipt_id").agg(F.sum("cents").alias("gross"))
+    net = F.floor(F.col("cents") * (F.col("gross") - F.expr("gross div 50")) / F.col("gross").cast("double") + 0.5)
+    return all_lines.join(gross, "receipt_id").join(d.store.select("store_id", "chain_id"), "store_id").groupBy("chain_id").agg(F.sum(net).alias("net"))
+
+
+@query("agg16_monthly_trips", "SELECT strftime(day, '%Y-%m') AS month, count(DISTINCT (user_id, day)) AS trips, sum(cents)::BIGINT AS cents FROM receipt GROUP BY 1")
+def agg16(d: Domain):
+    per_trip = d.receipt.groupBy("user_id", "day").agg(F.sum("cents").alias("cents"))
+    return per_trip.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.count("*").alias("trips"), F.sum("cents").alias("cents"))
+
+
+@query("agg19_duplicate_groups", "SELECT name, brand, coalesce(amount, -1) AS amount, min(sp_id) AS canonical, count(*) AS n FROM sp GROUP BY name, brand, coalesce(amount, -1) HAVING count(*) > 1")
+def agg19(d: Domain):
+    return d.sp.groupBy("name", "brand", F.coalesce("amount", F.lit(-1.0)).alias("amount")).agg(F.min("sp_id").alias("canonical"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("agg20_recent_purchase_priority", "SELECT s.sp_id, coalesce(n, 0) AS n FROM sp s LEFT JOIN (SELECT sp_id, count(*) AS n FROM price WHERE day >= DATE '2001-09-01' GROUP BY sp_id) USING (sp_id)")
+def agg20(d: Domain):
+    recent = d.price.where(F.col("day") >= F.lit("2001-09-01").cast("date")).groupBy("sp_id").agg(F.count("*").alias("n"))
+    return d.sp.select("sp_id").join(recent, "sp_id", "left").select("sp_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("agg21_badge_counts", "SELECT (SELECT count(*) FROM price WHERE NOT verified) AS unverified, (SELECT count(*) FROM receipt WHERE status = 'O') AS open_receipts, (SELECT count(*) FROM vote WHERE vote = 'different') AS disputed")
+def agg21(d: Domain):
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(d.price.where("not verified"), "unverified").crossJoin(one(d.receipt.where("status = 'O'"), "open_receipts")).crossJoin(one(d.vote.where("vote = 'different'"), "disputed"))
+
+
+@query("agg22_versions", "SELECT segment, CAST(household_id % 4 AS INT) AS version, count(*) AS n FROM person GROUP BY ALL")
+def agg22(d: Domain):
+    return d.user.groupBy("segment", F.expr("CAST(household_id % 4 AS INT)").alias("version")).agg(F.count("*").alias("n"))
+
+
+@query("agg23_levels", "SELECT user_id, n * 10 AS points, CAST(floor((sqrt(1 + 8 * (n * 10) / 50.0::DOUBLE) - 1) / 2) AS INT) AS level FROM (SELECT user_id, count(*) AS n FROM receipt GROUP BY user_id)")
+def agg23(d: Domain):
+    points = F.count("*") * 10
+    return d.receipt.groupBy("user_id").agg(points.alias("points")).withColumn("level", F.floor((F.sqrt(1 + 8 * F.col("points") / 50.0) - 1) / 2).cast("int"))
+
+
+@query("agg24_sentinel_groups", "SELECT user_id, count(DISTINCT coalesce(CASE WHEN receipt_id % 3 = 0 THEN receipt_id // 10 END, -receipt_id)) AS n FROM receipt WHERE status = 'F' GROUP BY user_id")
+def agg24(d: Domain):
+    key = F.coalesce(F.when(F.col("receipt_id") % 3 == 0, F.expr("receipt_id div 10")), -F.col("receipt_id"))
+    return d.receipt.where("status = 'F'").groupBy("user_id").agg(F.countDistinct(key).alias("n"))
+
+
+@query("agg25_late_uploads", "SELECT r.receipt_id, date_diff('day', r.day, greatest(r.day, max(p.day))) > 90 AS late FROM receipt r JOIN price p USING (receipt_id) GROUP BY r.receipt_id, r.day")
+def agg25(d: Domain):
+    last = d.price.groupBy("receipt_id").agg(F.max("day").alias("last"))
+    return d.receipt.join(last, "receipt_id").select("receipt_id", (F.datediff(F.greatest("day", "last"), "day") > 90).alias("late"))
+
+
+@query("rec02_trip_probability", TRIP_SQL + f""",
+item AS (SELECT DISTINCT r.user_id, r.day, p.sp_id FROM receipt r JOIN price p USING (receipt_id) WHERE r.user_id % 3 = 0),
+total AS (SELECT user_id, sum(pow(0.5, age / 365.0::DOUBLE)) AS total, count(*) AS trips FROM trip GROUP BY user_id)
+SELECT i.user_id, i.sp_id, round(sum(pow(0.5, date_diff('day', i.day, DATE '{AS_OF}') / 365.0::DOUBLE)) / max(t.total), 8) AS p FROM item i JOIN total t USING (user_id) GROUP BY i.user_id, i.sp_id""")
+def rec02(d: Domain):
+    item = trips(d)
+    w = scores.half_life(F.datediff(F.lit(AS_OF).cast("date"), "trip_day"), 365.0)
+    total = item.select("user_id", "trip_day").distinct().groupBy("user_id").agg(F.sum(w).alias("total"))
+    return item.join(total, "user_id").groupBy("user_id", "sp_id").agg(F.round(F.sum(w) / F.max("total"), 8).alias("p"))
+
+
+@query("rec03_blended_probability", """
+item AS (SELECT DISTINCT r.user_id, r.day, p.sp_id FROM receipt r JOIN price p USING (receipt_id) WHERE r.user_id % 3 = 0),
+n AS (SELECT user_id, count(DISTINCT day) AS n FROM item GROUP BY user_id),
+own AS (SELECT user_id, sp_id, count(*) AS k FROM item GROUP BY ALL),
+everyone AS (SELECT sp_id, count(*)::DOUBLE / (SELECT sum(n) FROM n) AS g FROM item GROUP BY sp_id)
+SELECT o.user_id, o.sp_id, round(n.n / (n.n + 5.0::DOUBLE) * o.k / n.n + 5.0::DOUBLE / (n.n + 5.0::DOUBLE) * e.g, 8) AS p FROM own o JOIN n USING (user_id) JOIN everyone e USING (sp_id)""")
+def rec03(d: Domain):
+    item = trips(d)
+    n = item.groupBy("user_id").agg(F.countDistinct("trip_day").alias("n"))
+    own = item.groupBy("user_id", "sp_id").agg(F.count("*").alias("k"))
+    everyone = item.groupBy("sp_id").agg(F.count("*").alias("c")).crossJoin(n.agg(F.sum("n").alias("total")))
+    lam = F.col("n") / (F.col("n") + 5.0)
+    return own.join(n, "user_id").join(everyone, "sp_id").select("user_id", "sp_id", F.round(lam * F.col("k") / F.col("n") + 5.0 / (F.col("n") + 5.0) * (F.col("c").cast("double") / F.col("total")), 8).alias("p"))
+
+
+@query("rec04_shrunk_lift", """
+item AS (SELECT DISTINCT r.user_id, r.day, p.sp_id % 64 AS product_id FROM receipt r JOIN price p USING (receipt_id) WHERE r.user_id % 3 = 0),
+t AS (SELECT count(*) AS trips FROM (SELECT DISTINCT user_id, day FROM item)),
+c AS (SELECT product_id, count(*) AS n FROM item GROUP BY product_id),
+pair AS (SELECT x.product_id AS a, y.product_id AS b, count(*) AS co FROM item x JOIN item y ON x.user_id = y.user_id AND x.day = y.day AND x.product_id < y.product_id GROUP BY ALL HAVING count(*) >= 3)
+SELECT a, b, co, round(co / (co + 5.0::DOUBLE) * greatest((co + 0.5) * t.trips / ((ca.n + 0.5) * (cb.n + 0.5)) - 1, 0), 6) AS score FROM pair JOIN c ca ON ca.product_id = a JOIN c cb ON cb.product_id = b, t""")
+def rec04(d: Domain):
+    # A trip's products are a bounded list; pairs are made inside each trip's sorted array.
+    item = trips(d).select("user_id", "trip_day", F.expr("sp_id % 64").alias("product_id")).distinct()
+    baskets = item.groupBy("user_id", "trip_day").agg(F.sort_array(F.collect_list("product_id")).alias("ids"))
+    pairs = baskets.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("co")).where("co >= 3")
+    c = item.groupBy("product_id").agg(F.count("*").alias("n"))
+    t = baskets.agg(F.count("*").alias("trips"))
+    all_in = pairs.join(c.select(F.col("product_id").alias("a"), F.col("n").alias("na")), "a").join(c.select(F.col("product_id").alias("b"), F.col("n").alias("nb")), "b").crossJoin(t)
+    lift = (F.col("co") + 0.5) * F.col("trips") / ((F.col("na") + 0.5) * (F.col("nb") + 0.5))
+    return all_in.select("a", "b", "co", F.round(F.col("co") / (F.col("co") + 5.0) * F.greatest(lift - 1, F.lit(0.0)), 6).alias("score"))
+
+
+@query("rec07_popular_with_caps", """
+n AS (SELECT sp.category, p.sp_id, count(*) AS n FROM price p JOIN sp USING (sp_id) GROUP BY ALL)
+SELECT category, sp_id, n FROM n QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, sp_id) <= 2""")
+def rec07(d: Domain):
+    n = d.price.groupBy("sp_id").agg(F.count("*").alias("n")).join(d.sp.select("sp_id", "category"), "sp_id")
+    return n.withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "sp_id"))).where("rn <= 2").select("category", "sp_id", "n")
+
+
+@query("rec09_default_template", f"""
+s AS (SELECT r.user_id, p.sp_id, round(sum(pow(0.5, date_diff('day', r.day, DATE '{AS_OF}') / 180.0::DOUBLE)), 8) AS score, count(*) AS freq, count(DISTINCT p.store_id % 25) AS chains FROM receipt r JOIN price p USING (receipt_id) WHERE r.user_id % 3 = 0 GROUP BY ALL)
+SELECT user_id, sp_id, freq FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY freq >= 2 DESC, score DESC, chains DESC, sp_id) <= 8""")
+def rec09(d: Domain):
+    w = scores.half_life(F.datediff(F.lit(AS_OF).cast("date"), "bought"), 180.0)
+    s = d.receipt.where("user_id % 3 = 0").select("receipt_id", "user_id", F.col("day").alias("bought")).join(d.price.select("receipt_id", "sp_id", "store_id"), "receipt_id").groupBy("user_id", "sp_id").agg(F.round(F.sum(w), 8).alias("score"), F.count("*").alias("freq"), F.countDistinct(F.col("store_id") % 25).alias("chains"))
+    order = Window.partitionBy("user_id").orderBy((F.col("freq") >= 2).desc(), F.desc("score"), F.desc("chains"), "sp_id")
+    return s.withColumn("rn", F.row_number().over(order)).where("rn <= 8").select("user_id", "sp_id", "freq")
+
+
+@query("rec10_affinity_rank", """
+s AS (SELECT user_id, product_id, count(*) AS n FROM interaction GROUP BY ALL), g AS (SELECT product_id, count(*) AS g FROM interaction GROUP BY product_id)
+SELECT user_id, product_id, round(least(n, 10) / 10.0::DOUBLE * n / max(n) OVER (PARTITION BY user_id) + (1 - least(n, 10) / 10.0::DOUBLE) * g / max(g) OVER (PARTITION BY user_id), 8) AS rank FROM s JOIN g USING (product_id)""")
+def rec10(d: Domain):
+    s = d.interaction.groupBy("user_id", "product_id").agg(F.count("*").alias("n"))
+    g = d.interaction.groupBy("product_id").agg(F.count("*").alias("g"))
+    own = Window.partitionBy("user_id")
+    sure = F.least(F.col("n"), F.lit(10)) / 10.0
+    return s.join(g, "product_id").select("user_id", "product_id", F.round(sure * F.col("n") / F.max("n").over(own) + (1 - sure) * F.col("g") / F.max("g").over(own), 8).alias("rank"))
+
+
+@query("rec13_baseline_delta", """
+last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC, receipt_id DESC) AS rn FROM receipt)
+SELECT user_id, max(cents) FILTER (rn = 1) - median(cents) FILTER (rn BETWEEN 2 AND 11) AS delta FROM last GROUP BY user_id HAVING count(*) FILTER (rn BETWEEN 2 AND 11) >= 3""")
+def rec13(d: Domain):
+    ranked = d.receipt.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("day"), F.desc("receipt_id"))))
+    old = F.when(F.col("rn").between(2, 11), F.col("cents"))
+    return ranked.groupBy("user_id").agg((F.max(F.when(F.col("rn") == 1, F.col("cents"))) - F.median(old)).alias("delta"), F.count(old).alias("n")).where("n >= 3").drop("n")
+
+
+@query("rec15_trip_stages", f"SELECT receipt_id, CASE WHEN status = 'F' THEN 'done' WHEN day < DATE '{AS_OF}' - 365 THEN 'archived' WHEN status = 'P' THEN 'shopping' ELSE 'planned' END AS stage FROM receipt")
+def rec15(d: Domain):
+    old = F.col("day") < F.date_sub(F.lit(AS_OF).cast("date"), 365)
+    return d.receipt.select("receipt_id", F.when(F.col("status") == "F", "done").when(old, "archived").when(F.col("status") == "P", "shopping").otherwise("planned").alias("stage"))
+
+
+@query("win04_sample_per_group", "SELECT * FROM (SELECT DISTINCT s.chain_id, sp.category, p.sp_id FROM price p JOIN sp USING (sp_id) JOIN store s USING (store_id)) QUALIFY row_number() OVER (PARTITION BY chain_id, category ORDER BY sp_id) <= 3")
+def win04(d: Domain):
+    sold = d.price.select("sp_id", "store_id").distinct().join(d.sp.select("sp_id", "category"), "sp_id").join(d.store.select("store_id", "chain_id"), "store_id").select("chain_id", "category", "sp_id").distinct()
+    return sold.withColumn("rn", F.row_number().over(Window.partitionBy("chain_id", "category").orderBy("sp_id"))).where("rn <= 3").drop("rn")
+
+
+@query("win05_keep_best_duplicate", "SELECT receipt_id, line_no, id, price FROM price QUALIFY row_number() OVER (PARTITION BY receipt_id, line_no ORDER BY verified DESC, price DESC) = 1")
+def win05(d: Domain):
+    best = d.price.groupBy("receipt_id", "line_no").agg(F.max(F.struct("verified", "price", "id")).alias("b"))
+    return best.select("receipt_id", "line_no", "b.id", "b.price")
+
+
+@query("win07_top_quintile", """
+g AS (SELECT product_id, count(*) AS n FROM interaction GROUP BY product_id), t AS (SELECT *, ntile(5) OVER (ORDER BY n DESC, product_id) AS tile FROM g)
+SELECT product_id, n FROM t WHERE tile = 1""")
+def win07(d: Domain):
+    # One row per product that anyone touched.
+    g = d.interaction.groupBy("product_id").agg(F.count("*").alias("n"))
+    return g.withColumn("tile", F.ntile(5).over(Window.orderBy(F.desc("n"), "product_id"))).where("tile = 1").drop("tile")
+
+
+@query("win08_prefer_real_prices", "SELECT sp_id, store_id, id FROM (SELECT *, bool_or(NOT is_fallback) OVER (PARTITION BY sp_id, store_id) AS has_real FROM price) WHERE NOT is_fallback OR NOT has_real")
+def win08(d: Domain):
+    real = F.max(~F.col("is_fallback")).over(Window.partitionBy("sp_id", "store_id"))
+    return d.price.select("sp_id", "store_id", "id", "is_fallback", real.alias("has_real")).where("not is_fallback or not has_real").select("sp_id", "store_id", "id")
