@@ -1 +1,57 @@
-"""Queries."""
+"""Queries over web pages: extraction, ingredient lines, sweeps."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pricewright.plans.registry import query
+from pricewright.sources.domain import Domain
+
+#: Quantity, unit and the rest of a line, tried in this order.
+LINE = r"^([0-9]+(?:[.,][0-9]+)?)\s*(?:(kg|g|l|ml|vnt)\b)?\s*(.*)$"
+
+
+def fields(html):
+    """Title, headline and number of paragraphs of a page, whatever else is in it."""
+    first = lambda p: F.regexp_extract(html, p, 1)
+    return F.struct(first(r"<title>([^<]*)</title>").alias("title"), first(r"<h1>([^<]*)</h1>").alias("headline"), F.regexp_count(html, F.lit(r"<p>")).alias("paragraphs"))
+
+
+@query("src06_page_fields", r"""
+SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS headline, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages""")
+def src06(d: Domain):
+    return d.table("pages").select("page_id", fields(F.col("html")).alias("f")).select("page_id", "f.title", "f.headline", "f.paragraphs")
+
+
+@query("src03_list_entries", r"""
+SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) AS link FROM pages""")
+def src03(d: Domain):
+    return d.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<li><a href="([^"]*)">'), F.lit(1))).alias("link"))
+
+
+@query("src09_page_language", "SELECT regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, count(*) AS pages FROM pages GROUP BY 1")
+def src09(d: Domain):
+    return d.table("pages").groupBy(F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang")).agg(F.count("*").alias("pages"))
+
+
+@query("rcp01_ingredient_lines", r"""
+raw AS (SELECT sp_id, CASE sp_id % 3 WHEN 0 THEN CAST(CAST(amount AS INT) AS VARCHAR) || ' ' || unit || ' ' || name WHEN 1 THEN CAST(CAST(amount AS INT) AS VARCHAR) || ',5 ' || name ELSE name END AS line FROM sp)
+SELECT sp_id, CASE sp_id % 3 WHEN 0 THEN regexp_extract(line, '^([0-9]+)', 1)::DOUBLE WHEN 1 THEN replace(regexp_extract(line, '^([0-9]+,5)', 1), ',', '.')::DOUBLE END AS quantity,
+  CASE WHEN sp_id % 3 = 0 AND unit <> 'pak' THEN unit END AS unit, CASE WHEN sp_id % 3 = 0 AND unit = 'pak' THEN 'pak ' || name ELSE name END AS name FROM (SELECT r.sp_id, r.line, s.unit, s.name FROM raw r JOIN sp s USING (sp_id))""")
+def rcp01(d: Domain):
+    count = F.col("amount").cast("int").cast("string")
+    line = F.when(F.col("sp_id") % 3 == 0, F.concat_ws(" ", count, "unit", "name")).when(F.col("sp_id") % 3 == 1, F.concat(count, F.lit(",5 "), F.col("name"))).otherwise(F.col("name"))
+    part = lambda i: F.regexp_extract("line", LINE, i)
+    known = F.col("line").rlike(LINE)
+    lines = d.sp.select("sp_id", line.alias("line"))
+    return lines.select("sp_id", F.when(known, F.regexp_replace(part(1), ",", ".").cast("double")).alias("quantity"), F.when(known & (part(2) != ""), part(2)).alias("unit"), F.when(known, part(3)).otherwise(F.col("line")).alias("name"))
+
+
+@query("rcp06_sweep_diff", """
+a AS (SELECT sp_id, max(price) AS v FROM price WHERE day < DATE '1999-01-01' GROUP BY sp_id), b AS (SELECT sp_id, max(price) AS v FROM price WHERE day >= DATE '1999-01-01' GROUP BY sp_id)
+SELECT coalesce(a.sp_id, b.sp_id) AS sp_id, CASE WHEN a.v IS NULL THEN 'new' WHEN b.v IS NULL THEN 'gone' WHEN a.v = b.v THEN 'same' ELSE 'changed' END AS verdict FROM a FULL JOIN b ON a.sp_id = b.sp_id""")
+def rcp06(d: Domain):
+    day = F.lit("1999-01-01").cast("date")
+    side = lambda cond, name: d.price.where(cond).groupBy("sp_id").agg(F.max("price").alias(name))
+    both = side(F.col("day") < day, "a").join(side(F.col("day") >= day, "b"), "sp_id", "full")
+    return both.select("sp_id", F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "gone").when(F.col("a") == F.col("b"), "same").otherwise("changed").alias("verdict"))
