@@ -40,8 +40,9 @@ class Hashes:
 
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        for w in set(words) - self.known.keys():
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in self.known:
+                self.known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(self.known.__getitem__, words), "u8", len(words))
 
 
