@@ -21,7 +21,7 @@ def normal_name(text: Column) -> Column:
 
 def without_sizes(text: Column) -> Column:
     """A normal name without amounts and their units."""
-    return F.trim(F.regexp_replace(normal_name(F.regexp_replace(folded(text), r"\d+(?:[.,]\d+)?\s*(?:kg|g|l|ml|vnt|pak|rit|%)\b", " ")), " +", " "))
+    return F.trim(F.regexp_replace(normal_name(F.regexp_replace(folded(text), r"\d+(?:[.,]\d+)?\s*(?:%|(?:kg|g|l|ml|vnt|pak|rit)\b)", " ")), " +", " "))
 
 
 def tokens(text: Column) -> Column:
