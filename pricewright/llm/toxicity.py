@@ -27,13 +27,19 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def subwords(words: list[str], sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[str], sizes: tuple[int, ...], bits: int, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams (of UTF-8 bytes, with marks at the ends) of all words in a row, and where each word's begin."""
+    parts = [_subwords(words[i : i + at_once], sizes, bits) for i in range(0, len(words), at_once)]
+    before = np.cumsum([0, *(len(ids) for ids, _ in parts[:-1])])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([begin + b for (_, begin), b in zip(parts, before, strict=True)])
+
+
+def _subwords(words: list[str], sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
     raw = [b"<" + w.strip(STRIP).encode() + b">" for w in words]
     lengths = np.array([len(r) for r in raw])
     data = np.frombuffer(b"".join(raw), "u1").astype("u8")
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    mix = lambda h, n: ((h * np.uint64(0x9E3779B97F4A7C15 + 2 * n)) >> np.uint64(64 - bits)).astype("i8")
+    mix = lambda h, n: ((h * np.uint64(0x9E3779B97F4A7C15 + 2 * n)) >> np.uint64(64 - bits)).astype("i4")
     owner = np.repeat(np.arange(len(raw)), lengths)
     left = np.repeat(starts + lengths, lengths) - np.arange(len(data))
     ids, owners = [], []
@@ -88,7 +94,7 @@ class SubwordModel:
         telling = np.abs(z) >= least_z
         self.emb *= telling[:, None]
         # Only words with a telling subword move anything; the others count in the length of the text.
-        kept = np.repeat(np.arange(len(begin)), size)[telling[grams]]
+        kept = np.repeat(np.arange(len(begin), dtype="i4"), size)[telling[grams]]
         grams = grams[telling[grams]]
         begin, left = np.searchsorted(kept, np.arange(len(begin))), np.bincount(kept, minlength=len(begin))
         docs = [(ids[left[ids] > 0], share[left[ids] > 0]) for ids, share in docs]
@@ -145,7 +151,7 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 2000) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1000) -> SubwordModel:
     """A model learnt from at most ``rows_per_label`` documents of each label outside the held-out fifth.
 
     Those are the rows with the smallest hashes of id and text. Rows without a label or with a null
