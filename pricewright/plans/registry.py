@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from pricewright.plans import catalog, consensus, households, matching, prices, pricing, recipes, shopping, streams  # noqa: F401
+    from pricewright.plans import catalog, consensus, households, matching, prices, pricing, receipts, recipes, shopping, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
