@@ -26,9 +26,9 @@ _U = np.uint64
 _WORDS = re.compile(WORD)
 
 
-def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+def mixed(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     """64-bit integers, well mixed (the finaliser of splitmix64)."""
-    x = x + _U((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    x = x + (salt * _U(0x9E3779B97F4A7C15) if isinstance(salt, np.ndarray) else _U((salt * 0x9E3779B97F4A7C15) & (2**64 - 1)))
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
@@ -44,8 +44,9 @@ class WordHashes:
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), "u8", len(words))
 
 
@@ -77,16 +78,21 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray
         mine = np.flatnonzero(np.isin(owner, todo))
         rank = np.zeros(len(mine))
         found = []
-        dart = 0
+        dart, at_once = 0, 4
         while len(mine):
-            h = mixed(keys[mine], 2 + 3 * dart)
-            rank = rank - np.log(((h >> _U(11)).astype("f8") + 0.5) * 2.0**-53) / k
-            early = rank <= latest[owner[mine]]
-            mine, rank = mine[early], rank[early]
-            name = mixed(keys[mine], 3 + 3 * dart)
-            hit = ((mixed(keys[mine], 4 + 3 * dart) >> _U(11)).astype("f8") * 2.0**-53) < room[mine]
-            found.append((owner[mine][hit] * k + (name[hit] % _U(k)).astype("i8"), rank[hit], name[hit]))
-            dart += 1
+            # So many darts of each region at a time, more as only light sets are left, which take many.
+            number = np.arange(dart, dart + at_once, dtype="u8") * _U(3)
+            key = keys[mine][:, None]
+            h = mixed(key, number + _U(2))
+            ranks = rank[:, None] + np.cumsum(-np.log(((h >> _U(11)).astype("f8") + 0.5) * 2.0**-53), 1) / k
+            early = ranks <= latest[owner[mine]][:, None]
+            region, column = np.nonzero(early)
+            name = mixed(keys[mine[region]], number[column] + _U(3))
+            hit = ((mixed(keys[mine[region]], number[column] + _U(4)) >> _U(11)).astype("f8") * 2.0**-53) < room[mine[region]]
+            found.append((owner[mine[region]][hit] * k + (name[hit] % _U(k)).astype("i8"), ranks[region, column][hit], name[hit]))
+            going = early[:, -1]
+            mine, rank = mine[going], ranks[going, -1]
+            dart, at_once = dart + at_once, min(2 * at_once, 256)
         place, rank, name = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((name, rank, place))
         first, at = np.unique(place[order], return_index=True)
