@@ -10,7 +10,11 @@ from pricewright.operators import timeseries as ts
 from pricewright.plans.registry import query
 from pricewright.sources.domain import AS_OF, Domain
 
-CENTS = F.floor(F.col("price") * F.col("quantity") * 100 + 0.5)
+
+def line_cents():
+    return F.floor(F.col("price") * F.col("quantity") * 100 + 0.5)
+
+
 CENTS_SQL = "CAST(floor(price * quantity * 100 + 0.5) AS BIGINT)"
 
 
@@ -23,7 +27,7 @@ SELECT id, sp_id, cents, CAST(least(cents, base + CASE WHEN rn <= rest THEN 1 EL
 def opt16(d: Domain):
     """A receipt's discount over its lines in proportion, no line below zero, odd cents to the largest lines."""
     own = Window.partitionBy("receipt_id")
-    lines = d.price.where("receipt_id % 4 = 0").select("receipt_id", "id", "sp_id", CENTS.alias("cents")).withColumn("gross", F.sum("cents").over(own))
+    lines = d.price.where("receipt_id % 4 = 0").select("receipt_id", "id", "sp_id", line_cents().alias("cents")).withColumn("gross", F.sum("cents").over(own))
     based = lines.withColumn("base", F.expr("(gross div 20) * cents div gross")).withColumn("rn", F.row_number().over(own.orderBy(F.desc("cents"), "id", "sp_id")))
     rest = F.expr("gross div 20") - F.sum("base").over(own)
     return based.withColumn("rest", rest).select("id", "sp_id", "cents", F.least("cents", F.col("base") + F.when(F.col("rn") <= F.col("rest"), 1).otherwise(0)).alias("share"))
@@ -31,7 +35,7 @@ def opt16(d: Domain):
 
 @query("opt17_combo_discount", f"SELECT receipt_id, least(sum({CENTS_SQL})::BIGINT // 10, 50000)::BIGINT AS discount FROM price GROUP BY receipt_id")
 def opt17(d: Domain):
-    return d.price.groupBy("receipt_id").agg(F.sum(CENTS).alias("gross")).select("receipt_id", F.expr("least(gross div 10, 50000)").alias("discount"))
+    return d.price.groupBy("receipt_id").agg(F.sum(line_cents()).alias("gross")).select("receipt_id", F.expr("least(gross div 10, 50000)").alias("discount"))
 
 
 @query("opt18_trip_by_chain", f"""
@@ -39,7 +43,7 @@ t AS (SELECT r.user_id, r.day, s.chain_id, sum({CENTS_SQL})::BIGINT AS cents FRO
 SELECT user_id, CAST(day AS VARCHAR) AS day, count(*) AS chains, min(cents) AS cheapest, median(cents) AS mid, max(cents) - min(cents) < 50 OR count(*) < 2 AS equal FROM t GROUP BY user_id, day""")
 def opt18(d: Domain):
     lines = d.receipt.where("user_id % 20 = 0").select("receipt_id", "user_id", F.col("day").alias("trip_day")).join(d.price, "receipt_id").join(d.store.select("store_id", "chain_id"), "store_id")
-    t = lines.groupBy("user_id", "trip_day", "chain_id").agg(F.sum(CENTS).alias("cents"))
+    t = lines.groupBy("user_id", "trip_day", "chain_id").agg(F.sum(line_cents()).alias("cents"))
     return t.groupBy("user_id", F.col("trip_day").cast("string").alias("day")).agg(F.count("*").alias("chains"), F.min("cents").alias("cheapest"), F.median("cents").alias("mid"), ((F.max("cents") - F.min("cents") < 50) | (F.count("*") < 2)).alias("equal"))
 
 
@@ -68,7 +72,7 @@ def mth04(d: Domain):
 l AS (SELECT receipt_id, count(*) AS n, count(*) FILTER (NOT verified) AS unmatched, sum({CENTS_SQL})::BIGINT AS cents FROM price GROUP BY receipt_id)
 SELECT r.receipt_id, round(l.unmatched / l.n::DOUBLE, 6) AS unmatched, abs(r.cents - l.cents) AS gap, l.unmatched / l.n::DOUBLE > 0.5 OR abs(r.cents - l.cents) > 0.1 * r.cents AS poor FROM receipt r JOIN l USING (receipt_id)""")
 def rm22(d: Domain):
-    lines = d.price.groupBy("receipt_id").agg(F.count("*").alias("n"), F.count_if(~F.col("verified")).alias("u"), F.sum(CENTS).alias("sum_cents"))
+    lines = d.price.groupBy("receipt_id").agg(F.count("*").alias("n"), F.count_if(~F.col("verified")).alias("u"), F.sum(line_cents()).alias("sum_cents"))
     share, gap = F.col("u") / F.col("n"), F.abs(F.col("cents") - F.col("sum_cents"))
     return d.receipt.join(lines, "receipt_id").select("receipt_id", F.round(share, 6).alias("unmatched"), gap.alias("gap"), ((share > 0.5) | (gap > 0.1 * F.col("cents"))).alias("poor"))
 
@@ -148,7 +152,7 @@ def con14(d: Domain):
 
 @query("led06_scope_adjustment", f"SELECT receipt_id, (sum(CASE WHEN line_no % 2 = 0 THEN {CENTS_SQL} ELSE 0 END) - sum(CASE WHEN line_no % 3 = 0 THEN {CENTS_SQL} ELSE 0 END))::BIGINT AS delta FROM price GROUP BY receipt_id")
 def led06(d: Domain):
-    part = lambda k: F.sum(F.when(F.col("line_no") % k == 0, CENTS).otherwise(0))
+    part = lambda k: F.sum(F.when(F.col("line_no") % k == 0, line_cents()).otherwise(0))
     return d.price.groupBy("receipt_id").agg((part(2) - part(3)).alias("delta"))
 
 
