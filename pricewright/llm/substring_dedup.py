@@ -229,8 +229,9 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
     named = docs.select("doc_id", text_of().alias("text")).withColumn("node", _node(F.col("text")))
     texts = named.groupBy("node").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     occurrences = named.select("node", "text").mapInArrow(anchors, "node binary, anchor long, n long").repartition("anchor")
-    often = occurrences.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / BLOCK_SEGMENTS).cast("int").alias("blocks"))
-    marks = occurrences.select("node", "anchor").join(often, "anchor").groupBy("node").agg(F.collect_set(F.struct("anchor", "blocks")).alias("marks"))
+    # Each table's readings use the same columns of it, so that Spark deals it out once.
+    often = occurrences.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("node").alias("texts")).where("n > 1 and texts > 0").select("anchor", F.ceil(F.col("n") / BLOCK_SEGMENTS).cast("int").alias("blocks"))
+    marks = occurrences.join(often, "anchor").groupBy("node").agg(F.collect_set(F.struct("anchor", "blocks")).alias("marks"), F.sum("n").alias("n"))
     pieces = texts.join(marks, "node").mapInArrow(cut_out, "node binary, anchor long, blocks int, start long, segment string, copies long")
 
     distinct = pieces.groupBy("anchor", "blocks", "segment").agg(F.sum("copies").alias("copies"))
@@ -240,5 +241,5 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
     intervals = dealt.groupBy("shard", "split", "block").applyInPandas(lambda rows: _search_shard(rows, length), "h1 long, h2 long, from int, to int")
     places = pieces.select("node", "start", *name).join(intervals, ["h1", "h2"])
     spans = places.groupBy("node").agg(F.collect_set(F.struct((F.col("start") + F.col("from")).alias("begin"), (F.col("start") + F.col("to")).alias("end"))).alias("spans"))
-    stripped = texts.join(spans, "node", "left").select("node", "text", "spans").mapInArrow(strip, "node binary, n_words long, n_removed long, kept string")
+    stripped = texts.join(spans, "node", "left").mapInArrow(strip, "node binary, n_words long, n_removed long, kept string")
     return named.select("doc_id", "node").join(stripped, "node").drop("node")
