@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import held_out, text_of
+from pricewright.llm.common import held_out, smallest, text_of
 
 #: Words a worker remembers with their scores; beyond that it starts anew.
 CACHED_WORDS = 500_000
@@ -154,14 +154,16 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1000) -> SubwordModel:
     """A model learnt from at most ``rows_per_label`` documents of each label outside the held-out fifth.
 
-    Those are the rows with the smallest hashes of id and text. Rows without a label or with a null
-    text aren't taken. Without rows the model says 0.5 of every text.
+    Those are the labelled ids with the smallest hashes; that short list is broadcast, so the documents
+    are read where they lie. Rows without a label or with a null text aren't taken. Without rows
+    the model says 0.5 of every text.
     """
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1))
-    known = docs.select("doc_id", "text").where(~held_out() & F.col("text").isNotNull()).join(marks, "doc_id").select("text", "toxic", F.xxhash64(F.lit("fit"), "doc_id", "text").alias("order"))
-    # Two bounded top-k readings, one per label.
-    parts = [known.where(F.col("toxic") == i).orderBy("order", "text").limit(rows_per_label) for i in (0, 1)]
-    rows = [r for p in parts for r in p.collect()]
+    marks = marks.withColumn("order", F.xxhash64(F.lit("fit"), "doc_id"))
+    # Two bounded readings, one per label: at most 2 * rows_per_label ids.
+    wanted = smallest(marks.where("toxic = 0"), "order", rows_per_label).union(smallest(marks.where("toxic = 1"), "order", rows_per_label)).drop("order")
+    known = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(wanted), "doc_id")
+    rows = known.select("text", "toxic").orderBy("text", "toxic").limit(2 * rows_per_label).collect()
     model = SubwordModel()
     if rows:
         model.fit([r.text for r in rows], [r.toxic for r in rows])
