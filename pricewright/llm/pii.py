@@ -26,6 +26,28 @@ PATTERNS = {
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: The kinds without check digits; of IBANs and cards a text's valid ones are put in by name (see ``_pattern``).
+UNCHECKED = "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind not in ("iban", "card"))
+
+#: A card isn't followed by a digit, nor by a hyphen, unless that leads to a last group of up to 6 digits.
+CARD_END = r"(?!\d|-(?!\d{1,6}(?![\d-])))"
+#: What can be a card from each start on, and behind it as much as ``CARD_END`` looks at.
+CARD_RUN = r"(?<![\d-])(?=([2-6](?:[ -]?\d){12,26}-?))"
+#: Shorter candidates are written in groups of four digits or more, but for the last.
+CARD_GROUPS = r"^\d{4,}(?:[ -]\d{4,})*(?:[ -]\d+)?$"
+
+#: Lengths of the countries' IBANs, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG YE", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR HN IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_RUN = "(?<![A-Za-z0-9])(?=({})(?![A-Za-z0-9]))".format(
+    "|".join(
+        f"(?:{codes.replace(' ', '|')})" + r"\d\d" + f"(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+        for n, codes in IBAN_LENGTHS.items()
+    )
+)
 
 #: Dates are permuted among the 65536 days from here on, to 2079-06-05.
 FIRST_DAY = "1900-01-01"
@@ -103,10 +125,30 @@ def _ip(s: Column, key: str) -> Column:
     return F.array_join(F.transform(feistel(_octets(s), F.array(*[F.lit(256)] * 4), key, F.lit("ip")), lambda o: o.cast("string")), ".")
 
 
-def _date(s: Column, form: str, key: str) -> Column:
-    day = F.datediff(F.try_to_timestamp(s, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
+def _day_number(s: Column, form: str) -> Column:
+    return F.datediff(F.try_to_timestamp(s, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
+
+
+def _day_image(day: Column, key: str) -> Column:
     image = feistel(F.array(F.floor(day / 256).cast("int"), (day % 256).cast("int")), F.array(F.lit(256), F.lit(256)), key, F.lit("date"))
-    return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), image[0] * 256 + image[1]), form)
+    return image[0] * 256 + image[1]
+
+
+def _date(s: Column, form: str, key: str) -> Column:
+    return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), _day_image(_day_number(s, form), key)), form)
+
+
+def _day_first(s: Column, key: str) -> Column:
+    """A date that is impossible as mm/dd, permuted among its like (days from the 13th on).
+
+    The permutation is repeated until it comes to such a day; so no mm/dd date has the same pseudonym.
+    In 64 steps none comes with a probability of 1e-25; the match is then null, as if invalid.
+    """
+    at = lambda day: F.date_add(F.lit(FIRST_DAY).cast("date"), day)
+    late = lambda day: F.dayofmonth(at(day)) > 12
+    walk = lambda day, i: F.when((i > 0) & late(day), day).otherwise(_day_image(day, key))
+    day = F.aggregate(F.sequence(F.lit(0), F.lit(63)), _day_number(s, "dd/MM/yyyy"), walk)
+    return F.transform(F.array(day), lambda d: F.when(late(d), F.date_format(at(d), "dd/MM/yyyy")))[0]
 
 
 def _letters_and_digits(s: Column, key: str, tweak: str) -> Column:
@@ -138,40 +180,65 @@ def _iban(s: Column, key: str) -> Column:
     return F.concat(country, F.lpad((98 - _iban_rest(image)).cast("string"), 2, "0"), F.substring(image, 5, 50))
 
 
+def _iban_ok(s: Column) -> Column:
+    return 98 - _iban_rest(s) == F.substring(s, 3, 2).cast("int")
+
+
+def _card_ok(s: Column) -> Column:
+    return (luhn(_digits(s)) % 10 == 0) & s.rlike("^[2-6]")
+
+
+def _pattern(text: Column) -> Column:
+    """The text's own pattern of what is replaced: ``UNCHECKED``, then its valid IBANs and cards by name.
+
+    An IBAN has its country's length, a card is the longest valid one at its start; beside those stand the
+    valid ones among the longest matches of the plain patterns. What is invalid matches nothing, so it hides nothing.
+    """
+    whole = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    of = lambda kind, ok: F.filter(whole, lambda m: m.rlike(f"^(?:{PATTERNS[kind]})$") & ok(m))
+    ibans = F.array_distinct(F.concat(F.filter(F.regexp_extract_all(text, F.lit(IBAN_RUN), F.lit(1)), _iban_ok), of("iban", _iban_ok)))
+    prefix = lambda run, n: F.regexp_extract(run, rf"^(\d(?:[ -]?\d){{{n - 1}}}){CARD_END}", 1)
+    shorter = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CARD_RUN), F.lit(1)), lambda run: F.array(*(prefix(run, n) for n in range(13, 20)))))
+    cards = F.array_distinct(F.concat(F.filter(shorter, lambda m: m.rlike(CARD_GROUPS) & _card_ok(m)), of("card", _card_ok)))
+    longest_first = F.transform(F.sort_array(F.transform(cards, lambda m: F.struct(F.length(m).alias("n"), m.alias("m"))), asc=False), lambda x: x["m"])
+    named = lambda found, before, after: F.when(F.size(found) > 0, F.concat(F.lit(f"|{before}(?:"), F.array_join(found, "|"), F.lit(f"){after}"))).otherwise("")
+    return F.concat(F.lit(UNCHECKED), named(ibans, "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"), named(longest_first, r"(?<![\d-])", CARD_END))
+
+
 def pseudonym(s: Column, key: str) -> Column:
     """The pseudonym of one match, or null if it isn't valid in any format."""
     is_kind = lambda kind: s.rlike(f"^(?:{PATTERNS[kind]})$")
-    day = lambda form: F.datediff(F.try_to_timestamp(s, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    date_ok = lambda form: day(form).isNotNull() & (day(form) >= 0) & (day(form) < DAYS)
+    date_ok = lambda form: _day_number(s, form).isNotNull() & (_day_number(s, form) >= 0) & (_day_number(s, form) < DAYS)
     n_digits = F.size(_digits(s))
     return (
         F.when(is_kind("email"), _email(s, key))
         .when(is_kind("iso_date"), F.when(date_ok("yyyy-MM-dd"), _date(s, "yyyy-MM-dd", key)))
         .when(is_kind("dot_date"), F.when(date_ok("dd.MM.yyyy"), _date(s, "dd.MM.yyyy", key)))
-        .when(is_kind("slash_date"), F.when(date_ok("MM/dd/yyyy"), _date(s, "MM/dd/yyyy", key)))
+        .when(is_kind("slash_date"), F.when(date_ok("MM/dd/yyyy"), _date(s, "MM/dd/yyyy", key)).when(s.rlike("^(?:1[3-9]|[23])") & date_ok("dd/MM/yyyy"), _day_first(s, key)))
         .when(is_kind("ip"), F.when(F.forall(_octets(s), lambda o: o < 256), _ip(s, key)))
         .when(is_kind("ssn"), F.when(~s.rlike(r"^(?:000|666|9)|^\d{3}-00|0000$"), permuted_digits(s, key, "ssn")))
         .when(is_kind("phone"), F.when(n_digits.between(7, 15), F.concat(F.regexp_extract(s, r"^\+\d{1,3}(?=\D|\d{7})", 0), permuted_digits(F.regexp_replace(s, r"^\+\d{1,3}(?=\D|\d{7})", ""), key, "phone"))))
         .when(is_kind("local_phone"), permuted_digits(s, key, "local"))
-        .when(is_kind("iban"), F.when(98 - _iban_rest(s) == F.substring(s, 3, 2).cast("int"), _iban(s, key)))
-        .when(is_kind("card"), F.when((luhn(_digits(s)) % 10 == 0) & s.rlike("^[2-6]"), _card(s, key)))
+        .when(is_kind("iban"), F.when(_iban_ok(s), _iban(s, key)))
+        .when(is_kind("card"), F.when(_card_ok(s), _card(s, key)))
     )
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``column`` replaced, and ``n_replaced``, how many were.
 
-    Valid are: mail addresses; dates from 1900-01-01 to 2079-06-05 as yyyy-mm-dd, dd.mm.yyyy or
-    mm/dd/yyyy; IPv4 addresses; US social security and telephone numbers, international telephone
+    Valid are: mail addresses; dates from 1900-01-01 to 2079-06-05 as yyyy-mm-dd, dd.mm.yyyy,
+    mm/dd/yyyy or, where that is impossible, dd/mm/yyyy; IPv4 addresses; US social security and telephone numbers, international telephone
     numbers of 7 to 15 digits; IBANs, and card numbers that start with 2 to 6, with right check digits, which the
-    pseudonyms have too. What merely looks alike stays. Text around a match is never touched; a null or empty
+    pseudonyms have too, whatever numbers or words stand around them. What merely looks alike stays. Text around a match is never touched; a null or empty
     text stays as it is with 0 replaced; rows are kept one by one, repeated ones too. A column named
     ``n_replaced`` in ``docs`` is replaced. ``key`` is the secret: without it pseudonyms can't be undone.
     """
     text = F.col(column)
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    with_new = docs.withColumn("_found", found).withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))))
-    gaps = F.split(text, ANY, -1)
+    with_pattern = docs.withColumn("_pattern", F.when(text.rlike("[0-9@]"), F.when(text.rlike(f"{PATTERNS['iban']}|{PATTERNS['card']}|{CARD_RUN}"), _pattern(text)).otherwise(UNCHECKED)))
+    with_found = with_pattern.withColumn("_found", F.regexp_extract_all(text, F.col("_pattern"), F.lit(0)))
+    with_new = with_found.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))))
+    gaps = F.split(text, F.col("_pattern"), -1)
     put = F.array_join(F.zip_with(gaps, F.col("_new"), lambda gap, m: F.concat(gap, F.coalesce(m["new"], m["old"], F.lit("")))), "")
     replaced = F.coalesce(F.size(F.filter("_new", lambda m: m["new"].isNotNull())), F.lit(0))
-    return with_new.withColumn("n_replaced", F.when(F.col("_new").isNull(), 0).otherwise(replaced)).withColumn(column, F.when(F.col("n_replaced") > 0, put).otherwise(text)).drop("_found", "_new")
+    return with_new.withColumn("n_replaced", F.when(F.col("_new").isNull(), 0).otherwise(replaced)).withColumn(column, F.when(F.col("n_replaced") > 0, put).otherwise(text)).drop("_pattern", "_found", "_new")

@@ -60,3 +60,34 @@ def test_feistel_is_a_permutation(spark, radices):
     df = spark.createDataFrame([(list(x),) for x in every], "x array<int>")
     image = [tuple(r[0]) for r in df.select(pii.feistel(F.col("x"), F.array(*map(F.lit, radices)), "k", F.lit("t"))).collect()]
     assert sorted(image) == every
+
+
+def test_shorter_matches(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    cases = [
+        (f"{card} 12/27", card), (f"{card} 123", card), (f"{card} 5", card), ("4111-1111-1111-1111-123", "4111-1111-1111-1111"), (f"12 {card} end", card),
+        ("378282246310005 1234", "378282246310005"), ("3782 822463 10005 12", "3782 822463 10005"), (f"{iban} EUR", iban), (f"{iban} 100", iban), (f"{iban} A", iban),
+        (f"{iban} 1234 5678", iban), ("DE89370400440532013000 USD", "DE89370400440532013000"), ("on 25/12/2023.", "25/12/2023"), ("id 12345 1980-02-28 end", "1980-02-28"),
+    ]
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.pseudonymise(df, "k").collect():
+        text, secret = cases[r.doc_id]
+        before, after = text.split(secret)
+        assert r.n_replaced == 1 and secret not in r.text and r.text.startswith(before) and r.text.endswith(after), (text, r.text)
+        new = r.text[len(before) : len(r.text) - len(after)]
+        assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", secret), (text, r.text)
+        assert luhn_ok(new) if secret[0] in "34" else iban_ok(new) if secret[0] in "ED" else True
+
+
+def test_two_cards_around_a_number(spark):
+    text = "4111 1111 1111 1111 123 5500 0000 0000 0004 not 4111111111111111123 nor 31/02/2023 13/13/2023"
+    (r,) = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").collect()
+    a, b = re.fullmatch(r"(4\d{3} \d{4} \d{4} \d{4}) 123 (5\d{3} \d{4} \d{4} \d{4}) not 4111111111111111123 nor 31/02/2023 13/13/2023", r.text).groups()
+    assert r.n_replaced == 2 and luhn_ok(a) and luhn_ok(b) and a not in text and b not in text
+
+
+def test_day_first_is_injective(spark):
+    days = [f"{d:02}/{m:02}/{y}" for y in (1999, 2024) for m in range(1, 13) for d in range(1, 29)]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(days)), "doc_id long, text string"), "k").collect()
+    assert len({r.text for r in rows}) == len(days) and all(r.n_replaced == 1 for r in rows)
+    assert all(int(r.text[:2]) > 12 for r in rows if int(days[r.doc_id][:2]) > 12)
