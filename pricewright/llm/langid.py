@@ -8,11 +8,12 @@ the languages' mean log probability over its windows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewright.llm.common import held_out, text_of
@@ -92,21 +93,39 @@ def windows_of(raw: bytes, window: int) -> np.ndarray:
     return np.frombuffer(raw.ljust(n * window), "u1").reshape(n, window)
 
 
-def fit(docs: DataFrame, sample_rows: int = 2000, windows_per_row: int = 4, window: int = 256) -> ByteNetwork | None:
-    """A network learnt from at most ``sample_rows`` labelled documents outside the held-out fifth.
+def labelled(docs: DataFrame) -> DataFrame:
+    """The labelled documents with a letter: doc_id, text, lang."""
+    return docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
-    Those are the rows with the smallest hashes of their ids; from each come ``windows_per_row``
-    windows at hashed places, so what the driver gets is bounded in bytes too. Rows whose language
-    or text is null, or whose text has no letter, aren't taken; none at all gives no network.
+
+def fit(docs: DataFrame, rows_per_language: int = 1000, windows_per_row: int = 4, window: int = 256) -> ByteNetwork | None:
+    """A network learnt from at most ``rows_per_language`` labelled documents of each language outside the held-out fifth.
+
+    Those are the rows with the smallest hashes of their ids; a count of the languages tells below which
+    hash about twice as many lie, so that tasks pass few rows on. From each come ``windows_per_row``
+    windows at hashed places, so what the driver gets is bounded in bytes too, for each language. Rows whose
+    language or text is null, or whose text has no letter, aren't taken; none at all gives no network.
     """
     raw = F.encode("text", "utf-8")
     place = lambda i: (F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.greatest(F.lit(1), F.octet_length("text") - window + 1)) + 1).cast("int")
-    known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = known.select("doc_id", "lang", F.array(*(F.substring(raw, place(i), F.lit(window)) for i in range(windows_per_row))).alias("windows"), F.xxhash64(F.lit("fit"), "doc_id", "text").alias("order"))
-    rows = sample.orderBy("order", "doc_id").limit(sample_rows).collect()
-    languages = sorted({r.lang for r in rows})
+    known = labelled(docs).where(~held_out())
+    totals = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(totals)
     if not languages:
         return None
+    sample = known.select("doc_id", "lang", F.array(*(F.substring(raw, place(i), F.lit(window)) for i in range(windows_per_row))).alias("windows"), F.xxhash64(F.lit("fit"), "doc_id", "text").alias("order"))
+
+    def smallest_of(rows: DataFrame) -> list:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= rows_per_language).drop("rank").collect()
+
+    share = {x: 2 * rows_per_language / n for x, n in totals.items()}
+    bounds = F.create_map(*(F.lit(v) for x in languages for v in (x, -(2**63) + int(2**64 * share[x]) if share[x] < 0.5 else 2**63 - 1)))
+    rows = smallest_of(sample.where(F.col("order") <= bounds[F.col("lang")]))
+    got = Counter(r.lang for r in rows)
+    if short := [x for x in languages if got[x] < min(rows_per_language, totals[x])]:  # equal rows have equal hashes
+        rows = [r for r in rows if r.lang not in short] + smallest_of(sample.where(F.col("lang").isin(short)))
+    rows.sort(key=lambda r: (r.order, r.lang))
     codes = np.concatenate([windows_of(bytes(x), window)[:1] for r in rows for x in r.windows])
     network = ByteNetwork(languages, window)
     network.fit(codes, np.array([languages.index(r.lang) for r in rows for _ in r.windows]))

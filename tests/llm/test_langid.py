@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -21,3 +22,24 @@ def test_edges(spark):
     unlearnt = langid.predictions(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in unlearnt} == {("und", 0.0)}
     assert langid.predictions(docs.limit(0)).count() == 0
+
+
+def test_rare_language(spark):
+    """A language in 1 of 300 documents is learnt from its own rows, not from its share in the sample."""
+    rng = random.Random(4)
+    say = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    words = {"aa": ["kimo", "tolu", "sana", "peri"], "bb": ["gruz", "vlesk", "brod", "hvan"], "cc": ["ûñè", "çeîx", "ôxa", "ïyû"]}
+    rows = [(i, say(words[lang]), lang) for i in range(6000) for lang in ["cc" if i % 300 == 7 else "ab"[i % 2] * 2]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = langid.fit(docs, rows_per_language=50)
+    assert network.languages == ["aa", "bb", "cc"]
+    found = langid.identify(docs.where("lang = 'cc' or doc_id < 200"), network).collect()
+    assert sum(r.lang == r.lang_pred for r in found) == len(found) and len(found) > 200
+
+
+def test_sample_is_bounded_per_language(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid.ByteNetwork, "fit", lambda self, codes, y: taken.append([self.languages[i] for i in y]))
+    rows = [(i, f"text {i}", "en" if i % 20 else "fr") for i in range(4000)] + [(9, "the same", "de")] * 90
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=20, windows_per_row=1)
+    assert {x: taken[0].count(x) for x in ("de", "en", "fr")} == {"de": 20, "en": 20, "fr": 20}
