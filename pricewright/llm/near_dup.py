@@ -9,7 +9,7 @@ similarity.
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import WORD, cut, text_of
+from pricewright.llm.common import cut, free_names, text_of
 
 CACHED_WORDS = 400_000
 CHUNK_CHARS = 2_000_000
 _U = np.uint64
-_WORDS = re.compile(WORD)
+#: Sizes of one class differ by at most this factor.
+SIZE_STEP = 1.05
 
 
 def mixed(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
@@ -36,17 +37,16 @@ def mixed(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
 
 class WordHashes:
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), "u8", len(words))
 
 
@@ -94,9 +94,12 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray
             mine, rank = mine[going], ranks[going, -1]
             dart, at_once = dart + at_once, min(2 * at_once, 256)
         place, rank, name = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((name, rank, place))
-        first, at = np.unique(place[order], return_index=True)
-        out.reshape(-1)[first] = name[order][at] | _U(1)
+        # One sort by place, then rank: no rank is above its set's latest, so a share of that fits below the place.
+        share = rank / latest[place // k] * 2.0**31
+        order = np.argsort((place.astype("u8") << _U(32)) | np.minimum(share, 2.0**32 - 1).astype("u8"), kind="stable")
+        place = place[order]
+        at = np.flatnonzero(np.diff(place, prepend=-1))
+        out.reshape(-1)[place[at]] = name[order[at]] | _U(1)
         todo = todo[(out[todo] == 0).any(1)]
         latest[todo] *= 2
     return out
@@ -109,8 +112,9 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(h + np.arange(bands, dtype="u8"), 6).view("i8")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text)
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a UTF-8 text: runs of anything but ASCII white space."""
+    return text.split()
 
 
 def _node(text: Column) -> Column:
@@ -140,7 +144,7 @@ def banded(docs: DataFrame, shingle: int, k: int, bands: int, rows: int) -> Data
                 done += len(sets)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
 
-    text = text_of()
+    text = text_of().cast("binary")
     return docs.select("doc_id", _node(text).alias("node"), text.alias("text")).mapInArrow(run, "doc_id long, node binary, keys array<long>")
 
 
@@ -149,7 +153,7 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        def runs(t: str) -> set:
+        def runs(t: bytes) -> set:
             w = words_of(t)
             return set(zip(*(w[j:] for j in range(min(shingle, len(w)))), strict=False)) if w else set()
 
@@ -167,6 +171,57 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     return both.where(alike("text_a", "text_b")).select("a", "b")
 
 
+def shingles_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, size, shingle: every distinct run of words of each text, hashed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for whole in batches:
+            for i in range(whole.num_rows):
+                found = shingle_hashes(hashes.of(words_of(whole.column(1)[i].as_py())), shingle).view("i8")
+                node = pa.array([whole.column(0)[i].as_py()] * len(found), pa.binary())
+                yield pa.RecordBatch.from_arrays([node, pa.array(np.full(len(found), len(found))), pa.array(found)], ["node", "size", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, size long, shingle long")
+
+
+def _overlap(mine: Column, other: Column, threshold: float) -> Column:
+    """How many elements two sets of these sizes have in common at least if they are similar."""
+    return F.ceil((mine + other) * F.lit(threshold / (1 + threshold)) - 1e-6)
+
+
+def prefix_pairs(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Every pair (a, b) of nodes that can be similar, by prefix filtering; texts: node, label, open, text.
+
+    A set's elements are ordered by how many sets hold them, rare ones first. Similar sets must share
+    an element among the first few, as many as may be missing from the other, and the places where they do
+    leave room for the rest of the overlap. Only pairs with an open text and of two labels are of
+    interest. A set is looked up once for every class of sizes that a similar but no larger set can
+    have, with the prefix that this class needs, so that a common element costs little.
+    """
+    found = cut(shingles_of(texts, shingle))
+    shared = found.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    held = found.join(shared, "shingle").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    held = held.join(texts.select("node", "label", "open"), "node")
+    # Elements that no other set holds come first; they can't be shared, but they use up the prefix.
+    alone = F.col("size") - F.size("held")
+    placed = F.transform("held", lambda x, i: F.struct(x["shingle"].alias("shingle"), (alone + i).alias("place")))
+    step = math.log(SIZE_STEP)
+    size_class = lambda size: F.floor(F.log(size.cast("double")) / step).cast("int")
+    held = cut(held.select("node", "label", "open", "size", placed.alias("placed")))
+    indexed = held.select("node", "label", "open", "size", size_class(F.col("size")).alias("class"), F.explode(F.filter("placed", lambda x: x["place"] <= F.col("size") - _overlap(F.col("size"), F.col("size"), threshold))).alias("x"))
+    indexed = indexed.select(F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("open").alias("b_open"), F.col("size").alias("b_size"), "class", "x.shingle", F.col("x.place").alias("b_place"))
+    least = F.greatest(F.ceil(F.col("size") * threshold - 1e-6), F.lit(1))
+    probes = held.withColumn("class", F.explode(F.sequence(size_class(least), size_class(F.col("size")))))
+    lowest = F.greatest(least, F.ceil(F.exp(F.col("class") * step) - 1e-6))
+    probes = probes.select("node", "label", "open", "size", "class", F.explode(F.filter("placed", lambda x: x["place"] <= F.col("size") - _overlap(F.col("size"), lowest, threshold))).alias("x"))
+    probes = probes.select(F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("open").alias("a_open"), F.col("size").alias("a_size"), "class", "x.shingle", F.col("x.place").alias("a_place"))
+    room = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place")) >= _overlap(F.col("a_size"), F.col("b_size"), threshold)
+    smaller = (F.col("b_size") < F.col("a_size")) | ((F.col("b_size") == F.col("a_size")) & (F.col("b") < F.col("a")))
+    meet = probes.join(indexed, (probes["shingle"] == indexed["shingle"]) & (probes["class"] == indexed["class"]) & (F.col("a_label") != F.col("b_label")) & (F.col("a_open") | F.col("b_open")) & smaller & room)
+    return meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node that each linked node can reach.
 
@@ -198,7 +253,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: i
     with a probability of 0.99995, and every pair that meets is decided exactly or is in one class
     anyway. To that end, a band's texts are first held against two of them, the best connected and the
     least; what isn't in one class after that is held against each text of the bucket that it isn't
-    connected with.
+    connected with, as far as a prefix of its rarest runs of words allows for similarity at all.
     """
     rows = cut(banded(docs, shingle, k, bands, k // bands))
     members = rows.select("node", F.explode("keys").alias("bucket")).groupBy("bucket", "node").agg(F.lit(1).alias("one")).drop("one")
@@ -208,18 +263,20 @@ def near_classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: i
     leaders = shared.join(degrees, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"), F.min("node").alias("least"))
     led = cut(shared.select("bucket", "node").join(leaders, "bucket"))
     pairs = led.select(F.explode(F.array("hub", "least")).alias("leader"), "node").where("leader != node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    texts = docs.select(text_of().alias("text")).select(_node(F.col("text")).alias("node"), "text").groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.select(_node(text_of()).alias("node"), text_of().cast("binary").alias("text")).groupBy("node").agg(F.first("text").alias("text"))
     links = cut(similar(pairs, texts, shingle, threshold))
     labels = components(links)
 
-    labelled = led.join(labels, "node", "left").select("bucket", "node", "hub", "least", F.coalesce("label", "node").alias("label"))
+    labelled = cut(led.join(labels, "node", "left").select("bucket", "node", "hub", "least", F.coalesce("label", "node").alias("label")))
     mains = labelled.where("node = hub").select("bucket", F.col("label").alias("main"))
-    open_rows = labelled.where("node != hub and node != least").join(mains, "bucket")
-    outside = open_rows.where("label != main").select("bucket", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    rest = outside.join(open_rows, "bucket").where("x_label != label").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = cut(rest)
-    if not rest.isEmpty():
-        more = cut(similar(rest, texts, shingle, threshold))
+    others = labelled.where("node != hub and node != least").join(mains, "bucket").withColumn("open", F.expr("label != main"))
+    mixed_up = others.groupBy("bucket").agg(F.max("open").alias("some"), F.min("label").alias("low"), F.max("label").alias("high")).where("some and low != high").select("bucket")
+    left = cut(others.join(mixed_up, "bucket").groupBy("node").agg(F.first("label").alias("label"), F.max("open").alias("open")))
+    if not left.isEmpty():
+        # Few texts are left, so they are looked up among the documents again rather than all carried along.
+        told = docs.select(_node(text_of()).alias("node"), text_of().cast("binary").alias("text")).join(left, "node").groupBy("node").agg(F.first("label").alias("label"), F.first("open").alias("open"), F.first("text").alias("text"))
+        told = cut(told)
+        more = cut(similar(prefix_pairs(told, shingle, threshold), told.select("node", "text"), shingle, threshold))
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
@@ -230,8 +287,9 @@ def near_classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: i
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class, that of the least doc_id (of equals, of the least text hash)."""
-    kept = near_classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.first("class_id").alias("_class"), F.min("node").alias("_node"))
-    rows = docs.withColumn("_mine", _node(text_of()))
-    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_class"]) & (rows["_mine"] == kept["_node"]), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id", "_mine").orderBy(F.xxhash64(*docs.columns)))
-    return found.withColumn("_number", number).where("_number = 1").select(*docs.columns)
+    name = free_names(docs, "class", "node", "mine", "number")
+    kept = near_classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.first("class_id").alias(name["class"]), F.min("node").alias(name["node"]))
+    rows = docs.withColumn(name["mine"], _node(text_of()))
+    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept[name["class"]]) & (rows[name["mine"]] == kept[name["node"]]), "left_semi")
+    number = F.row_number().over(Window.partitionBy("doc_id", name["mine"]).orderBy(F.xxhash64(*(docs[c] for c in docs.columns))))
+    return found.withColumn(name["number"], number).where(F.col(name["number"]) == 1).select(*docs.columns)

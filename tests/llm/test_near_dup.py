@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pricewright.llm import near_dup
 
@@ -72,6 +73,47 @@ def test_large_near_group_and_edges(spark):
     assert near_dup.near_classes(df.limit(0)).count() == 0 and near_dup.one_of_each(df.limit(0)).count() == 0
 
 
+def test_unlinked_texts_of_a_large_group(spark):
+    """Most texts share bands with many others and are like none; a few are like one that no leader is like."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(146)]
+    docs = []
+    for i in range(400):
+        words = list(base)
+        for j in range(r.choice([1, 3, 5, 6, 7])):
+            words[r.randrange(146)] = f"x{i}.{j}"
+        docs.append((i, " ".join(words)))
+        if i % 20 == 0:
+            docs.append((1000 + i, " ".join(words[:-1] + ["z"])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = near_dup.near_classes(df).collect()
+    assert sorted((x.doc_id, x.class_id) for x in got) == sorted(brute(docs))
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    r = random.Random(3)
+    texts = []
+    for g in range(30):
+        base = [f"g{g}.{x}" for x in range(r.randrange(6, 200))]
+        for i in range(8):
+            words = list(base)
+            for _ in range(r.randrange(0, 8)):
+                words[r.randrange(len(words))] = f"{r.random()}"
+            texts.append(" ".join(words[: len(words) - r.randrange(0, 3)]))
+    rows = [(i.to_bytes(2, "big"), i, i % 3 == 0, t.encode()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "node binary, label long, open boolean, text binary")
+    got = {(int.from_bytes(x.a, "big"), int.from_bytes(x.b, "big")) for x in near_dup.prefix_pairs(df, 5, 0.8).collect()}
+    sets = [runs(t) for t in texts]
+    true = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (i % 3 == 0 or j % 3 == 0) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+    assert len(true) > 20 and true <= got and all(a < b for a, b in got)
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", 99, "x"), (2, "a b c", 98, "y")], "doc_id long, text string, _mine long, _number string").withColumn("class_id", F.lit(5)).withColumn("NODE", F.lit("n"))
+    kept = near_dup.one_of_each(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c", 99, "x", 5, "n")]
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "d e f"), (3, "d e f"), (None, "a b c")], "doc_id long, text string")
     assert sorted((x.class_id or 0, x.class_size) for x in near_dup.near_classes(df).collect()) == [(0, 2), (0, 2), (3, 2), (3, 2)]
