@@ -29,7 +29,8 @@ def same(got, want):
 
 @pytest.mark.parametrize("length,block", [(8, 20_000), (8, 3), (35, 20_000)])
 def test_against_counting(spark, monkeypatch, length, block):
-    monkeypatch.setattr(substring_dedup, "BLOCK_SEGMENTS", block)
+    monkeypatch.setattr(substring_dedup, "HOT_ANCHOR", block)
+    monkeypatch.setattr(substring_dedup, "SHARD_ANCHORS", block)
     r = random.Random(length)
     passages = [[r.choice("abcdefgh") + str(r.randrange(30)) for _ in range(r.randrange(length - 2, 3 * length))] for _ in range(6)]
     docs = [(None, None), (1, ""), (2, "a b"), (3, "z " * 300), (4, "x y " * (length // 2)), (4, "x y " * (length // 2))]
@@ -51,6 +52,20 @@ def test_whole_table(spark, sf_dir):
     same(substring_dedup.deduplicated(df).collect(), brute([tuple(r) for r in df.select("doc_id", "text").collect()], 35))
 
 
+def test_segments_cover_every_window_once():
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 3, 40, 7, 8, 120, 1])
+    words = np.where(rng.random(sizes.sum()) < 0.8, 1, rng.integers(0, 12, sizes.sum())).astype("u8")
+    owner, anchor, first, end, n = substring_dedup.segments(words, sizes, 8)
+    assert (n >= 1).all() and (n > 1).any()
+    covered = sorted((o, s) for o, f, e in zip(owner.tolist(), first.tolist(), end.tolist(), strict=True) for s in range(f, e - 7))
+    assert covered == [(o, s) for o, n in enumerate(sizes.tolist()) for s in range(n - 7)]
+    start, by_window = np.cumsum(sizes) - sizes, {}
+    for o, a, f, e in zip(owner, anchor, first, end, strict=True):
+        for s in range(f, e - 7):
+            assert by_window.setdefault(tuple(words[start[o] + s : start[o] + s + 8]), a) == a
+
+
 def test_rank():
     rng = np.random.default_rng(2)
     s = rng.integers(0, 13, 500)
