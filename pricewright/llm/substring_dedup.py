@@ -27,7 +27,7 @@ GRAM = 6
 #: An anchor that occurs more often has a shard for every so many occurrences.
 HOT_ANCHOR = 20_000
 #: Anchors, repeated or not, for which there is one shard.
-SHARD_ANCHORS = 40_000
+SHARD_ANCHORS = 100_000
 CACHED_WORDS = 400_000
 #: Segments that a task remembers so as to send equal ones on only once.
 CACHED_SEGMENTS = 100_000
@@ -93,6 +93,9 @@ def segments(words: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndar
         return (np.zeros(0, "i8"),) * 5
     starts = np.ones(len(window), bool)
     starts[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+    # Of one anchor that recurs again and again come many windows; they are cut into segments of bounded length.
+    first = np.flatnonzero(starts)
+    starts |= (window - window[first][np.cumsum(starts) - 1]) % length == 0
     first = np.flatnonzero(starts)
     last = np.append(first[1:], len(window)) - 1
     anchor = least[first]
@@ -185,14 +188,22 @@ def repeated_intervals(index: FMIndex, words: np.ndarray, begin: np.ndarray, end
     found: list[tuple] = [(np.zeros(0, "i8"),) * 3]
     middle = end - begin < 2 * length
     low = np.where(middle, index.reach(words, begin, np.where(middle, begin + length, begin), need), begin)
-    todo = np.flatnonzero(low <= end - length)
-    right = end.copy()
-    while len(todo):
-        left = index.reach(words, low[todo], right[todo], need)
-        hit = right[todo] - left >= length
-        found.append((todo[hit], left[hit], right[todo][hit]))
-        right[todo] = np.minimum(right[todo] - 1, left - 1 + length)
-        todo = todo[(right[todo] - low[todo] >= length) & (left > low[todo])]
+    who = np.flatnonzero(low <= end - length)
+    low, right, left = low[who], end[who], end[who].copy()
+    lo, hi = np.zeros(len(who), "i8"), np.full(len(who), index.size)
+    while len(who):
+        l2, h2 = index.extend(words[left - 1], lo, hi)
+        good = h2 - l2 >= need
+        left, lo, hi = left - good, np.where(good, l2, lo), np.where(good, h2, hi)
+        stopped = ~good | (left == low)
+        hit = stopped & (right - left >= length)
+        if hit.any():
+            found.append((who[hit], left[hit], right[hit]))
+        # Each that has stopped goes on from its next end while the others still grow.
+        right = np.where(stopped, np.minimum(right - 1, left - 1 + length), right)
+        going = ~stopped | ((left > low) & (right - low >= length))
+        left, lo, hi = np.where(stopped, right, left), np.where(stopped, 0, lo), np.where(stopped, index.size, hi)
+        who, low, right, left, lo, hi = (x[going] for x in (who, low, right, left, lo, hi))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
