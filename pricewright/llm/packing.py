@@ -38,12 +38,15 @@ class WordTokens:
 
     White space only separates in such a file, so the ids of a text are those of its words in turn.
     Words seen for the first time are merged by tiktoken over the file's own vocabulary, where byte
-    1 stands for the end of a word; texts with control characters, special strings or capital sigma,
-    whose lower case hangs on its place, go to the tokenizers library whole.
+    1 stands for the end of a word. That is done for words of characters on which Unicode's versions
+    agree; other words go to the tokenizers library one by one, and texts with control characters, special
+    strings or capital sigma, whose lower case hangs on its place, go there whole.
     """
 
     ODD = re.compile("[\x00-\x08\x0e-\x1fΣ]|<\\|")
-    CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    #: Blocks in which every code point was held against the library.
+    UNSURE = re.compile("[^\x02!-\u02ff\u0400-\u052f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u22ff\u3001-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|\x02|[^\s\x02\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         import regex
@@ -51,7 +54,7 @@ class WordTokens:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(self.CONTRACTIONS).findall
+        self.split = regex.compile(self.PIECES).findall
         chars = self._byte_chars(pre_tokenizers)
         ranks = {}
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
@@ -72,15 +75,17 @@ class WordTokens:
         assert set(out) == set(pre_tokenizers.ByteLevel.alphabet())
         return out
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, words: list[str]) -> None:
-        parts = []
-        for w in words:
-            if w.isascii() and w.isalpha():
-                parts.append(w.lower() + "\x01")
-            else:
-                parts += [p + "\x01" for p in self.split(unicodedata.normalize("NFC", w).lower())]
-            parts.append("\x02")
-        ids = self.merge("".join(parts), disallowed_special=()).astype("<u4")
+        if self.UNSURE.search("".join(words)):
+            unsure = set(filter(self.UNSURE.search, words))
+            self.known.update((w, self._whole(w)) for w in unsure)
+            words = [w for w in words if w not in unsure]
+        # All words at once, each closed by byte 2, which no word holds.
+        pieces = self.split(unicodedata.normalize("NFC", "".join(w + "\x02" for w in words)).lower())
+        ids = self.merge("".join(p + "\x01" for p in pieces).replace("\x02\x01", "\x02"), disallowed_special=()).astype("<u4")
         ends = np.flatnonzero(ids == self.stop)
         raw, at = ids.tobytes(), 0
         for w, end in zip(words, ends.tolist(), strict=True):
@@ -96,7 +101,7 @@ class WordTokens:
         if new := list(used - self.known.keys()):
             self._learn(new)
         get = self.known.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
 
 
 class Packer:

@@ -57,3 +57,15 @@ def test_whole_table_has_little_padding(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     n, total = check(packing.pack(df.repartition(5), PATH).collect(), [tuple(r) for r in df.collect()], 2048)
     assert n * 2048 - total <= 2048 + 16 * n
+
+
+def test_ids_of_every_code_point_that_is_not_left_to_the_library():
+    from tokenizers import Tokenizer
+
+    words, library = packing.WordTokens(PATH), Tokenizer.from_file(PATH)
+    sure = [c for c in range(33, 0x110000) if not 0xD800 <= c < 0xE000 and not words.UNSURE.search(chr(c))]
+    some = [c for c in range(0x80, 0x40000, 29) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b 7{chr(c)} {chr(c)}{chr(c)} x" for c in sure + some + [0x558, 0x58B, 0x88F, 0x1C89, 0xA7CB, 0x10940, 0x16EA0, 0x323B0]]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, mine, his in zip(texts, words.encode(texts), want, strict=True) if list(memoryview(mine).cast("I")) != his.ids]
+    assert len(sure) > 30_000 and wrong == []
