@@ -18,8 +18,9 @@ def brute(rows, k=5, every=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_rows,block_rows", [(8192, 1024), (90, 7)])
-def test_against_all_pairs(spark, shard_rows, block_rows):
+@pytest.mark.parametrize("shard_rows,block", [(8192, 1024), (90, 7)])
+def test_against_all_pairs(spark, monkeypatch, shard_rows, block):
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", block)
     r = random.Random(1)
     rows = [(i, [r.choice([0.0, 0.5, -0.25, 1e-3, r.gauss(0, 1)]) for _ in range(6)]) for i in range(600)]
     rows[3] = (3, None)
@@ -30,7 +31,7 @@ def test_against_all_pairs(spark, shard_rows, block_rows):
     rows += [(1000 + i, rows[150][1]) for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = df.select("vec_id", topk.integer_vector(df.embedding).alias("vector"))
-    got = topk.top_k(whole, whole.where("vec_id % 50 = 0").selectExpr("vec_id as query_id", "vector"), shard_rows=shard_rows, block_rows=block_rows)
+    got = topk.top_k(whole, whole.where("vec_id % 50 = 0").selectExpr("vec_id as query_id", "vector"), shard_rows=shard_rows)
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
@@ -40,13 +41,24 @@ def test_few_rows(spark):
     assert topk.integer_top_k(df.limit(0)).count() == 0
 
 
+def test_ragged_huge_and_repeated(spark):
+    top = 2**63 - 1
+    rows = [(0, [1e18]), (50, [1e18]), (51, [-1e18]), (100, [1.0, 2.0]), (101, [1.0, 1.0]), (150, [5.0, 5.0, 5.0]), (200, []), (201, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("shard", topk.F.lit("x")).withColumn("length", topk.F.lit(1))
+    got = sorted(map(tuple, topk.integer_top_k(df).collect()))
+    assert got == [(0, 1, 50, top), (0, 2, 51, -(2**63)), (50, 1, 0, top), (50, 2, 51, -(2**63)), (100, 1, 101, 256 * 256 * 3), (200, 1, 201, 0)]
+    vectors = spark.createDataFrame([(1, [3]), (1, [4]), (2, [5])], "vec_id long, vector array<long>")
+    asked = spark.createDataFrame([(9, [2]), (9, [1]), (9, [2])], "query_id long, vector array<long>")
+    assert sorted(map(tuple, topk.top_k(vectors, asked).collect())) == [(9, 1, 2, 5), (9, 2, 1, 4), (9, 3, 1, 3)]
+
+
 def test_bounds_prune():
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 200, (20, 8))
     vectors = (centres[rng.integers(0, 20, 4000)] + rng.normal(0, 3, (4000, 8))).astype("i8")
     tree = topk.BallTree(np.arange(4000), vectors)
     _, opened = tree.search(np.arange(20), vectors[:20], [None] * 20, 5)
-    assert opened < 20 * len(tree.members) / 4
+    assert opened < 20 * len(tree.spans) / 4
 
 
 def test_sql(spark, sf_dir):
