@@ -46,7 +46,8 @@ def fingerprint(rows: DataFrame, key: str, ordinal: str, texts: list[str], carri
     several rows: each distinct one is sent once per task that holds it, for the byte comparison.
     """
     forms = rows.select(key, ordinal, *(canonical(F.col(t)).alias(t) for t in texts))
-    hashed = rows.select(key, ordinal, *carried, *(wide_hash(canonical(F.col(t))).alias(t) for t in texts)).repartition(F.col(key))
+    # The hashes are read several times, so they are written once.
+    hashed = cut(rows.select(key, ordinal, *carried, *(wide_hash(canonical(F.col(t))).alias(t) for t in texts)))
     items = hashed.select(key, ordinal, F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(f"{t}.h1"), F.col(f"{t}.h2")) for i, t in enumerate(texts)))).alias("x")).select(key, ordinal, "x.*")
     shared = items.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     wanted = items.join(shared, ["h1", "h2"]).groupBy(key, ordinal).agg(F.collect_set("which").alias("wanted"))
