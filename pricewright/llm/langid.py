@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from pricewright.llm.common import held_out, text_of
 
+#: Texts are cut into windows so many bytes at a time, and one by one beyond that.
+CHUNK_BYTES = 4_000_000
 #: What no learned language is said of.
 UNDETERMINED = "und"
 
@@ -143,12 +145,22 @@ def identify(docs: DataFrame, network: ByteNetwork | None, column: str = "text",
     said = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     if network is not None:
 
+        def chunks(series: pd.Series) -> Iterator[list[np.ndarray]]:
+            parts, n = [], 0
+            for t in series:
+                parts.append(windows_of((t or "").encode(), network.window))
+                n += parts[-1].size
+                if n >= CHUNK_BYTES:
+                    yield parts
+                    parts, n = [], 0
+            if parts:
+                yield parts
+
         @F.pandas_udf("lang_pred string, score double")
         def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for series in texts:
                 names, scores = [], []
-                for start in range(0, len(series), batch):
-                    parts = [windows_of((t or "").encode(), network.window) for t in series.iloc[start : start + batch]]
+                for parts in chunks(series):
                     sums = np.zeros((len(parts), len(network.languages)))
                     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
                     codes = np.concatenate(parts)

@@ -134,10 +134,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = placed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "source_id", "bucket", "at")
     # Rows that agree in id, source and size are told apart by number, on both sides.
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*same).orderBy("at"))).join(stretches, ["source_id", "bucket", "at"])
-    whole = docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source"), "_size": word_count(text_of())})
-    whole = whole.withColumn("_copy", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("text"))))
+    # The document rides along as one struct, so none of its columns can clash.
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(text_of()).alias("_size"))
+    whole = whole.withColumn("_copy", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64(F.col("_row")["text"]))))
     matches = whole["_id"].eqNullSafe(rows["_id"]) & whole["_source"].eqNullSafe(rows["_source"]) & (whole["_size"] == rows["_size"]) & (whole["_copy"] == rows["_copy"])
-    units = F.slice(F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.col("first_word").cast("int") + 1, F.col("n_words").cast("int"))
-    text = F.when((F.col("first_word") == 0) & (F.col("n_words") == whole["_size"]), F.col("text")).otherwise(F.array_join(units, ""))
-    out = whole.join(rows, matches).withColumn("text", text)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    text = F.col("_row")["text"]
+    units = F.slice(F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.col("first_word").cast("int") + 1, F.col("n_words").cast("int"))
+    new = {"text": F.when((F.col("first_word") == 0) & (F.col("n_words") == whole["_size"]), text).otherwise(F.array_join(units, ""))}
+    new["n_chars"] = F.char_length(new["text"]).cast("long")
+    return whole.join(rows, matches).select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))

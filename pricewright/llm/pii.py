@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewright.llm.common import free_names
+
 ROUNDS = 10
 
 #: Kinds in the order in which they are tried at a place of the text.
@@ -224,21 +226,26 @@ def pseudonym(s: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """``docs`` with the personal data in ``column`` replaced, and ``n_replaced``, how many were.
+def pseudonymise(docs: DataFrame, key: str, column: str = "text", count: str | None = "n_replaced") -> DataFrame:
+    """``docs`` with the personal data in ``column`` replaced, and ``count``, how many were.
 
     Valid are: mail addresses; dates from 1900-01-01 to 2079-06-05 as yyyy-mm-dd, dd.mm.yyyy,
     mm/dd/yyyy or, where that is impossible, dd/mm/yyyy; IPv4 addresses; US social security and telephone numbers, international telephone
     numbers of 7 to 15 digits; IBANs, and card numbers that start with 2 to 6, with right check digits, which the
     pseudonyms have too, whatever numbers or words stand around them. What merely looks alike stays. Text around a match is never touched; a null or empty
-    text stays as it is with 0 replaced; rows are kept one by one, repeated ones too. A column named
-    ``n_replaced`` in ``docs`` is replaced. ``key`` is the secret: without it pseudonyms can't be undone.
+    text stays as it is with 0 replaced; rows are kept one by one, repeated ones too. A column of the name
+    ``count`` in ``docs`` is replaced; with None no count is added, and every other column stays as it is.
+    ``key`` is the secret: without it pseudonyms can't be undone.
     """
+    name = free_names(docs, "pattern", "found", "new")
     text = F.col(column)
-    with_pattern = docs.withColumn("_pattern", F.when(text.rlike("[0-9@]"), F.when(text.rlike(f"{PATTERNS['iban']}|{PATTERNS['card']}|{CARD_RUN}"), _pattern(text)).otherwise(UNCHECKED)))
-    with_found = with_pattern.withColumn("_found", F.regexp_extract_all(text, F.col("_pattern"), F.lit(0)))
-    with_new = with_found.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))))
-    gaps = F.split(text, F.col("_pattern"), -1)
-    put = F.array_join(F.zip_with(gaps, F.col("_new"), lambda gap, m: F.concat(gap, F.coalesce(m["new"], m["old"], F.lit("")))), "")
-    replaced = F.coalesce(F.size(F.filter("_new", lambda m: m["new"].isNotNull())), F.lit(0))
-    return with_new.withColumn("n_replaced", F.when(F.col("_new").isNull(), 0).otherwise(replaced)).withColumn(column, F.when(F.col("n_replaced") > 0, put).otherwise(text)).drop("_pattern", "_found", "_new")
+    with_pattern = docs.withColumn(name["pattern"], F.when(text.rlike("[0-9@]"), F.when(text.rlike(f"{PATTERNS['iban']}|{PATTERNS['card']}|{CARD_RUN}"), _pattern(text)).otherwise(UNCHECKED)))
+    with_found = with_pattern.withColumn(name["found"], F.regexp_extract_all(text, F.col(name["pattern"]), F.lit(0)))
+    new = F.col(name["new"])
+    with_new = with_found.withColumn(name["new"], F.when(F.size(name["found"]) > 0, F.transform(name["found"], lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))))
+    gaps = F.split(text, F.col(name["pattern"]), -1)
+    put = F.array_join(F.zip_with(gaps, new, lambda gap, m: F.concat(gap, F.coalesce(m["new"], m["old"], F.lit("")))), "")
+    replaced = F.when(new.isNull(), 0).otherwise(F.coalesce(F.size(F.filter(new, lambda m: m["new"].isNotNull())), F.lit(0)))
+    if count is not None:
+        with_new = with_new.withColumn(count, replaced)
+    return with_new.withColumn(column, F.when(replaced > 0, put).otherwise(text)).drop(*name.values())

@@ -151,22 +151,26 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(z, -50, 50)))).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1000) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1000, chars_per_row: int = 200_000, least_z: float = 4.0) -> SubwordModel:
     """A model learnt from at most ``rows_per_label`` documents of each label outside the held-out fifth.
 
     Those are the labelled ids with the smallest hashes; that short list is broadcast, so the documents
-    are read where they lie. Rows without a label or with a null text aren't taken. Without rows
-    the model says 0.5 of every text.
+    are read where they lie. Of a text longer than ``chars_per_row`` that many characters are learnt from,
+    at a hashed place; where an id is repeated, the texts with the smallest hashes count. Rows without a
+    label or with a null text aren't taken. Without rows the model says 0.5 of every text.
     """
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out() & F.col("toxic").isin(0, 1))
     marks = marks.withColumn("order", F.xxhash64(F.lit("fit"), "doc_id"))
     # Two bounded readings, one per label: at most 2 * rows_per_label ids.
     wanted = smallest(marks.where("toxic = 0"), "order", rows_per_label).union(smallest(marks.where("toxic = 1"), "order", rows_per_label)).drop("order")
     known = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(wanted), "doc_id")
-    rows = known.select("text", "toxic").orderBy("text", "toxic").limit(2 * rows_per_label).collect()
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.char_length("text") - chars_per_row + 1)) + 1
+    part = F.substring("text", place.cast("int"), F.lit(chars_per_row))
+    rows = known.select(F.xxhash64("text").alias("order"), part.alias("text"), "toxic").orderBy("order", "toxic").limit(2 * rows_per_label).collect()
+    rows.sort(key=lambda r: (r.text, r.toxic))
     model = SubwordModel()
     if rows:
-        model.fit([r.text for r in rows], [r.toxic for r in rows])
+        model.fit([r.text for r in rows], [r.toxic for r in rows], least_z=least_z)
     else:
         model.out[:] = 0
     return model

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from pricewright.llm import langid
@@ -43,3 +45,31 @@ def test_sample_is_bounded_per_language(spark, monkeypatch):
     rows = [(i, f"text {i}", "en" if i % 20 else "fr") for i in range(4000)] + [(9, "the same", "de")] * 90
     langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=20, windows_per_row=1)
     assert {x: taken[0].count(x) for x in ("de", "en", "fr")} == {"de": 20, "en": 20, "fr": 20}
+
+
+def test_whole_table_against_a_naive_forward_pass(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    network = langid.fit(docs)
+    p = network.p
+
+    def naive(text):
+        raw, total = text.encode(), 0
+        for i in range(0, max(len(raw), 1), network.window):
+            x = p["emb"][list(raw[i : i + network.window].ljust(network.window))].astype("f8")
+            pooled = []
+            for w in network.widths:
+                for f in range(p[f"conv{w}"].shape[2]):
+                    answers = sum(x[j : len(x) - w + 1 + j] @ p[f"conv{w}"][j, :, f].astype("f8") for j in range(w))
+                    pooled.append(max(0.0, answers.max() + p[f"b{w}"][f]))
+            z = np.array(pooled) @ p["out"].astype("f8") + p["bias"]
+            total = total + z - z.max() - np.log(np.exp(z - z.max()).sum())
+        mean = total / max(1, -(-len(raw) // network.window))
+        e = np.exp(mean - mean.max())
+        return network.languages[int(e.argmax())], e.max() / e.sum()
+
+    for r in langid.identify(docs.select("doc_id", "text"), network).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        lang, score = naive(r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3

@@ -67,3 +67,14 @@ def test_whole_table_and_schedule(spark, sf_dir):
     texts = dict((d, t) for d, t, _ in docs)
     for r in mixed.collect():
         assert r.text in texts[r.doc_id] and r.n_chars == len(r.text)
+
+
+def test_columns_with_clashing_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ["n_words", "first_word", "bucket", "at", "epoch", "source_id", "_id", "_copy", "_row", "size", "slot", "rank"]
+    clashing = docs.select("*", *(docs.doc_id.alias(n) for n in names))
+    got = mixing.mixed_documents(clashing)
+    assert got.columns == clashing.columns
+    rows = got.collect()
+    assert all(r[n] == r.doc_id for r in rows for n in names)
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in mixing.mixed_documents(docs).collect())

@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from pricewright.llm import toxicity
@@ -35,3 +37,37 @@ def test_misspelt(spark):
     model.fit(texts, [int("idiot" in t) for t in texts])
     bad, near, good = model.scorer().scores(["plain idiot words", "plain idiott words", "plain tables words"])
     assert bad > 0.5 and near > 0.5 and good < 0.5
+
+
+def test_whole_table_against_a_naive_forward_pass(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, least_z=2.0)
+    assert np.abs(model.emb).sum(1).astype(bool).sum() > 20
+    mask = 2**64 - 1
+
+    def vector(word):
+        raw = b"<" + word.strip(toxicity.STRIP).encode() + b">"
+        ids = []
+        for n in model.sizes:
+            for i in range(len(raw) - n + 1):
+                h = 0
+                for b in raw[i : i + n]:
+                    h = (h * 1_000_003 + b) & mask
+                ids.append(((h * (0x9E3779B97F4A7C15 + 2 * n)) & mask) >> (64 - model.bits))
+        whole = sum(b * (i + 1) ** 5 for i, b in enumerate(raw)) & mask
+        ids.append(((whole * 0x9E3779B97F4A7C15) & mask) >> (64 - model.bits))
+        return model.emb[ids].astype("f8").mean(0)
+
+    for r in toxicity.score(docs.select("doc_id", "text"), model).collect():
+        words = (r.text or "").lower().split()
+        mean = sum(map(vector, words)) / len(words) * model.scale if words else np.zeros(model.emb.shape[1])
+        z = mean @ model.out.astype("f8") + model.bias
+        assert abs(r.score - 1 / (1 + np.exp(np.clip(z[0] - z[1], -50, 50)))) < 1e-3
+
+
+def test_long_texts_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(3, "idiot " * 40000), (3, "idiot too"), (3, "idiot again"), (4, "fine words here " * 9000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, chars_per_row=1000, least_z=0.5)
+    bad, good = model.scorer().scores(["an idiot", "fine words"])
+    assert bad > good
