@@ -287,9 +287,11 @@ def near_classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, k: i
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class, that of the least doc_id (of equals, of the least text hash)."""
-    name = free_names(docs, "class", "node", "mine", "number")
-    kept = near_classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.first("class_id").alias(name["class"]), F.min("node").alias(name["node"]))
-    rows = docs.withColumn(name["mine"], _node(text_of()))
-    found = rows.join(kept, rows["doc_id"].eqNullSafe(kept[name["class"]]) & (rows[name["mine"]] == kept[name["node"]]), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id", name["mine"]).orderBy(F.xxhash64(*(docs[c] for c in docs.columns))))
+    name = free_names(docs, "pick", "number")
+    # One key names a row's id and text, so that the rows are dealt out once for the join and for the choice.
+    pick = lambda node, doc_id: F.concat(node, F.when(F.col(doc_id).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(doc_id).cast("string"))).cast("binary")).alias(name["pick"])
+    kept = near_classes(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.first("class_id").alias("class_id"), F.min("node").alias("node"))
+    rows = docs.select("*", pick(_node(text_of()), "doc_id"))
+    found = rows.join(kept.select(pick(F.col("node"), "class_id")), name["pick"], "left_semi")
+    number = F.row_number().over(Window.partitionBy(name["pick"]).orderBy(F.xxhash64(*(docs[c] for c in docs.columns))))
     return found.withColumn(name["number"], number).where(F.col(name["number"]) == 1).select(*docs.columns)
