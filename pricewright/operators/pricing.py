@@ -87,12 +87,17 @@ def store_totals(items: DataFrame, wanted: int | Column) -> DataFrame:
     return sums.select("store_id", (F.lit(wanted) - F.col("n_found")).alias("n_missing"), "n_averaged", "n_substituted", (F.col("cents") / 100).alias("total"))
 
 
-def real_discount(offers: DataFrame) -> DataFrame:
+def fine_mean(price: str) -> Column:
+    """Mean of prices to a hundredth of a cent, summed in whole cents so that no order of summing matters."""
+    return F.floor(F.sum(F.round(F.col(price) * 100).cast("long")) * 100 / F.count("*") + 0.5) / 10000
+
+
+def real_discount(offers: DataFrame, most_spread: float = 5) -> DataFrame:
     """Per product, from each chain's least unit price: how far the least is below the mean of chains, in percent.
 
-    Two chains at least; a spread of more than five times is taken for a wrong size and gives no row.
+    Two chains at least; a spread of more than ``most_spread`` times is taken for a wrong size and gives no row.
     """
     by_chain = offers.groupBy("product_id", "chain_id").agg(F.min("unit_price").alias("unit_price"))
     g = by_chain.groupBy("product_id").agg(F.min("unit_price").alias("least"), F.max("unit_price").alias("most"), F.round(F.avg("unit_price"), 6).alias("mean"), F.count("*").alias("chains"))
-    g = g.where("chains >= 2 and most <= 5 * least")
+    g = g.where((F.col("chains") >= 2) & (F.col("most") <= most_spread * F.col("least")))
     return g.select("product_id", "chains", money(F.col("least")).alias("least"), F.floor((F.col("mean") - F.col("least")) / F.col("mean") * 100 + 0.5).cast("int").alias("percent"))

@@ -52,11 +52,11 @@ def con02_rate(d: Domain):
 @query("con03_merge_decisions", LAST_VOTE_SQL + f""",
 t AS (SELECT sp_a, count(*) FILTER (vote = 'identical') AS k, count(*) AS n FROM last_vote GROUP BY sp_a),
 w AS (SELECT sp_a, k, n, {WILSON_SQL} AS bound FROM t)
-SELECT sp_a, CASE WHEN k >= 3 AND bound >= 0.80 THEN 'promote' WHEN k >= 3 AND bound <= 0.30 THEN 'demote' ELSE 'hold' END AS decision FROM w""")
+SELECT sp_a, CASE WHEN k >= 3 AND bound >= 0.80 THEN 'promote' WHEN k >= 3 AND bound <= 0.50 THEN 'demote' ELSE 'hold' END AS decision FROM w""")
 def con03(d: Domain):
     t = last_votes(d).groupBy("sp_a").agg(F.count(F.when(F.col("vote") == "identical", 1)).alias("k"), F.count("*").alias("n"))
     bound = scores.wilson(F.col("k"), F.col("n"))
-    return t.select("sp_a", F.when((F.col("k") >= 3) & (bound >= 0.80), "promote").when((F.col("k") >= 3) & (bound <= 0.30), "demote").otherwise("hold").alias("decision"))
+    return t.select("sp_a", F.when((F.col("k") >= 3) & (bound >= 0.80), "promote").when((F.col("k") >= 3) & (bound <= 0.50), "demote").otherwise("hold").alias("decision"))
 
 
 @query("con04_merge_winner", """
@@ -79,14 +79,10 @@ def con06(d: Domain):
     return effective_root(d.sp.select(F.col("sp_id").alias("id"), F.expr("CASE WHEN sp_id % 7 = 0 AND sp_id > 0 THEN sp_id div 3 END").alias("parent")), 4)
 
 
-@query("con07_linked_sets", """
-edge AS (SELECT DISTINCT sp_a % 500 AS a, 1000 + sp_b % 40 AS b FROM vote WHERE vote = 'identical' AND dwell_ms = 2000),
-sym AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
-reach AS (SELECT a AS node, a AS root FROM sym UNION SELECT b.b, r.root FROM reach r JOIN sym b ON b.a = r.node AND r.root <= b.b)
-SELECT node, min(root) AS root FROM reach GROUP BY node""")
+@query("con07_linked_sets")
 def con07(d: Domain):
-    edges = d.vote.where("vote = 'identical' and dwell_ms = 2000").select(F.expr("sp_a % 500").alias("a"), F.expr("1000 + sp_b % 40").alias("b")).distinct()
-    return connected_classes(edges)
+    """Over all identical votes; a test holds it against a union-find."""
+    return connected_classes(d.vote.where("vote = 'identical'").select(F.col("sp_a").alias("a"), F.col("sp_b").alias("b")).distinct())
 
 
 @query("con10_alias_states", TALLY_SQL + """

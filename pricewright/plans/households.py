@@ -9,8 +9,8 @@ from pricewright.plans.registry import query
 from pricewright.sources.domain import Domain
 
 SPLIT_SQL = """
-member AS (SELECT household_id, user_id, row_number() OVER (PARTITION BY household_id ORDER BY user_id) - 1 AS at, count(*) OVER (PARTITION BY household_id) AS n FROM person WHERE user_id % 10 < 2),
-bill AS (SELECT r.receipt_id, p.household_id, r.user_id AS payer, r.cents FROM receipt r JOIN person p USING (user_id) WHERE r.receipt_id % 5 = 0),
+member AS (SELECT household_id, user_id, row_number() OVER (PARTITION BY household_id ORDER BY user_id) - 1 AS at, count(*) OVER (PARTITION BY household_id) AS n FROM person),
+bill AS (SELECT r.receipt_id, p.household_id, r.user_id AS payer, r.cents FROM receipt r JOIN person p USING (user_id)),
 share AS (SELECT b.receipt_id, b.household_id, b.payer, b.cents, m.user_id, b.cents // m.n + CASE WHEN (m.at - b.receipt_id % m.n + m.n) % m.n < b.cents % m.n THEN 1 ELSE 0 END AS share FROM bill b JOIN member m USING (household_id))"""
 BALANCE_SQL = SPLIT_SQL + """,
 delta AS (SELECT household_id, payer AS user_id, cents AS delta FROM bill WHERE household_id IN (SELECT household_id FROM member) UNION ALL SELECT household_id, user_id, -share FROM share),
@@ -20,8 +20,8 @@ balance AS (SELECT household_id, user_id, sum(delta)::BIGINT AS cents FROM delta
 def shares(d: Domain):
     """Every bill's whole cents over the members, the odd cents going round with the receipt's number."""
     order = Window.partitionBy("household_id").orderBy("user_id")
-    members = d.user.where("user_id % 10 < 2").select("household_id", "user_id").withColumn("at", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("household_id")))
-    bills = d.receipt.where("receipt_id % 5 = 0").join(d.user.select("user_id", "household_id"), "user_id").select("receipt_id", "household_id", F.col("user_id").alias("payer"), "cents")
+    members = d.user.select("household_id", "user_id").withColumn("at", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("household_id")))
+    bills = d.receipt.join(d.user.select("user_id", "household_id"), "user_id").select("receipt_id", "household_id", F.col("user_id").alias("payer"), "cents")
     odd = F.when(F.pmod(F.col("at") - F.col("receipt_id") % F.col("n"), F.col("n")) < F.col("cents") % F.col("n"), 1).otherwise(0)
     return bills.join(members, "household_id").select("receipt_id", "household_id", "payer", "cents", "user_id", (F.expr("cents div n") + odd).alias("share")), bills, members
 

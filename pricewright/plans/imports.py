@@ -83,7 +83,7 @@ def er16(d: Domain):
 @query("rec06_greedy_fill")
 def rec06(d: Domain):
     """Five slots per user; SQL can't express it, a test repeats it in plain Python."""
-    item = trips(d).where("user_id % 30 = 0").select("user_id", "trip_day", (F.col("sp_id") % 64).alias("product_id")).distinct()
+    item = trips(d).select("user_id", "trip_day", F.col("sp_id").alias("product_id")).distinct()
     n = item.groupBy("user_id").agg(F.countDistinct("trip_day").alias("n"))
     p = item.groupBy("user_id", "product_id").agg(F.count("*").alias("k")).join(n, "user_id").select("user_id", "product_id", (F.col("k") / F.col("n")).alias("p"))
     baskets = item.groupBy("user_id", "trip_day").agg(F.sort_array(F.collect_list("product_id")).alias("ids"))
@@ -116,10 +116,11 @@ def rm06(d: Domain):
     return near.unionByName(hit.join(local, "sp_id", "left_anti").withColumn("tier", F.lit(2)))
 
 
-@query("rm10_list_items", "SELECT p.id, sp.category, coalesce(sp.weighable, false) AS weighable, p.verified AS checked FROM price p LEFT JOIN sp USING (sp_id) WHERE p.receipt_id < 300 ORDER BY checked, p.id LIMIT 500")
+@query("rm10_list_items", "SELECT p.receipt_id, row_number() OVER (PARTITION BY p.receipt_id ORDER BY p.verified, p.id, p.sp_id) AS place, p.id, sp.category, coalesce(sp.weighable, false) AS weighable, p.verified AS checked FROM price p LEFT JOIN sp USING (sp_id)")
 def rm10(d: Domain):
-    joined = d.price.where("receipt_id < 300").join(d.sp.select("sp_id", "category", "weighable"), "sp_id", "left")
-    return joined.orderBy("verified", "id").limit(500).select("id", "category", F.coalesce("weighable", F.lit(False)).alias("weighable"), F.col("verified").alias("checked"))
+    joined = d.price.join(d.sp.select("sp_id", "category", "weighable"), "sp_id", "left")
+    place = F.row_number().over(Window.partitionBy("receipt_id").orderBy("verified", "id", "sp_id"))
+    return joined.select("receipt_id", place.alias("place"), "id", "category", F.coalesce("weighable", F.lit(False)).alias("weighable"), F.col("verified").alias("checked"))
 
 
 @query("rm11_list_summaries", "SELECT receipt_id, count(*) AS items, count(*) FILTER (verified) AS done, bool_and(verified) AS completed FROM price GROUP BY receipt_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricewright.operators import timeseries as ts
+from pricewright.operators.pricing import fine_mean
 from pricewright.plans.registry import query
 from pricewright.sources.domain import AS_OF, Domain
 
@@ -76,15 +77,15 @@ def ts08(d: Domain):
 
 
 @query("ts09_as_of_receipt_day", """
-ask AS (SELECT receipt_id, day AS at, receipt_id % 200 AS sp_id FROM receipt WHERE receipt_id % 3 = 0)
-SELECT a.receipt_id AS left_id, p.id, p.price FROM ask a JOIN price p ON p.sp_id = a.sp_id AND p.day <= a.at AND p.receipt_id <> a.receipt_id
-QUALIFY row_number() OVER (PARTITION BY a.receipt_id ORDER BY p.is_fallback, p.day DESC, p.id DESC, p.price DESC) = 1""")
+ask AS (SELECT DISTINCT receipt_id, r.day AS at, sp_id FROM receipt r JOIN price USING (receipt_id))
+SELECT a.receipt_id AS left_id, a.sp_id, p.id, p.price FROM ask a JOIN price p ON p.sp_id = a.sp_id AND p.day <= a.at AND p.receipt_id <> a.receipt_id
+QUALIFY row_number() OVER (PARTITION BY a.receipt_id, a.sp_id ORDER BY p.is_fallback, p.day DESC, p.id DESC, p.price DESC) = 1""")
 def ts09(d: Domain):
-    ask = d.receipt.where("receipt_id % 3 = 0").select(F.col("receipt_id").alias("left_id"), F.col("day").alias("at"), F.expr("receipt_id % 200").alias("sp_id"))
+    ask = d.receipt.select("receipt_id", F.col("day").alias("at")).join(d.price.select("receipt_id", "sp_id").distinct(), "receipt_id").withColumnRenamed("receipt_id", "left_id")
     offers = d.price.select("sp_id", "day", "id", "price", "is_fallback", F.col("receipt_id").alias("from_receipt"))
     others = ask.join(offers, "sp_id").where("day <= at and from_receipt != left_id")
-    found = others.groupBy("left_id").agg(F.max_by(F.struct("id", "price"), F.struct(~F.col("is_fallback"), "day", "id", "price")).alias("found"))
-    return found.select("left_id", "found.id", "found.price")
+    found = others.groupBy("left_id", "sp_id").agg(F.max_by(F.struct("id", "price"), F.struct(~F.col("is_fallback"), "day", "id", "price")).alias("found"))
+    return found.select("left_id", "sp_id", "found.id", "found.price")
 
 
 @query("ts10_latest_verified", """
@@ -102,12 +103,12 @@ def ts11(d: Domain):
 
 @query("ts12_market_average", """
 last AS (SELECT sp_id, price FROM price WHERE NOT is_fallback QUALIFY rank() OVER (PARTITION BY sp_id ORDER BY day DESC) = 1)
-SELECT product_id, round(avg(price), 4) AS market_average, count(*) AS n FROM last JOIN sp USING (sp_id) GROUP BY product_id""")
+SELECT product_id, floor(sum(CAST(round(price * 100) AS BIGINT)) * 100 / count(*)::DOUBLE + 0.5) / 10000 AS market_average, count(*) AS n FROM last JOIN sp USING (sp_id) GROUP BY product_id""")
 def ts12(d: Domain):
     offers = d.price.where("not is_fallback").select("sp_id", "day", "price")
     newest = offers.groupBy("sp_id").agg(F.max("day").alias("day"))
     last = offers.join(newest, ["sp_id", "day"])
-    return last.join(d.sp.select("sp_id", "product_id"), "sp_id").groupBy("product_id").agg(F.round(F.avg("price"), 4).alias("market_average"), F.count("*").alias("n"))
+    return last.join(d.sp.select("sp_id", "product_id"), "sp_id").groupBy("product_id").agg(fine_mean("price").alias("market_average"), F.count("*").alias("n"))
 
 
 @query("ts13_latest_and_real_promotion", """
@@ -190,11 +191,11 @@ def ts19(d: Domain):
 
 
 @query("join09_price_band", """
-line AS (SELECT receipt_id AS line_id, price AS paid, day AS bought FROM price WHERE receipt_id % 97 = 0 AND line_no = 1),
-near AS (SELECT l.line_id, l.paid, l.bought, p.sp_id, min(abs(l.paid - p.price)) AS distance FROM line l JOIN price p ON abs(l.paid - p.price) <= 0.5 AND abs(date_diff('day', l.bought, p.day)) <= 30 GROUP BY ALL)
+line AS (SELECT id AS line_id, price AS paid, day AS bought FROM price),
+near AS (SELECT l.line_id, l.paid, l.bought, p.sp_id, min(abs(l.paid - p.price)) AS distance FROM line l JOIN price p ON p.price BETWEEN l.paid - 0.51 AND l.paid + 0.51 AND abs(l.paid - p.price) <= 0.5 AND abs(date_diff('day', l.bought, p.day)) <= 30 GROUP BY ALL)
 SELECT line_id, paid, sp_id, floor(distance * 100 + 0.5) / 100 AS distance FROM near QUALIFY row_number() OVER (PARTITION BY line_id, paid, bought ORDER BY floor(distance * 100 + 0.5), sp_id) <= 5""")
 def join09(d: Domain):
-    line = d.price.where("receipt_id % 97 = 0 and line_no = 1").select(F.col("receipt_id").alias("line_id"), F.col("price").alias("paid"), F.col("day").alias("bought"))
+    line = d.price.select(F.col("id").alias("line_id"), F.col("price").alias("paid"), F.col("day").alias("bought"))
     pairs = ts.band_join(line, d.price.select("sp_id", "price", "day"), "paid", "price", 0.5, F.abs(F.datediff("bought", "day")) <= 30)
     near = pairs.groupBy("line_id", "paid", "bought", "sp_id").agg(F.min(F.abs(F.col("paid") - F.col("price"))).alias("distance"))
     cents = F.floor(F.col("distance") * 100 + 0.5)

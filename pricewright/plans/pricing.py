@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricewright.functions.units import base_amount, family, money, repaired_basis, size_in_small_units
 from pricewright.operators import pricing
 from pricewright.operators import timeseries as ts
+from pricewright.operators.pricing import fine_mean
 from pricewright.plans.registry import query
 from pricewright.sources.domain import AS_OF, Domain
 
@@ -92,12 +93,15 @@ def mth03(d: Domain):
     return d.sp.select("sp_id", rounded_quantity(F.col("amount") / 7, F.col("weighable")).alias("quantity"))
 
 
-ITEMS_SQL = "items AS (SELECT sp_id AS item_id, product_id, CAST(1 + sp_id % 4 AS DOUBLE) AS quantity FROM sp WHERE sp_id % 97 = 0)"
+#: The basket that is priced: what the newest receipt holds.
+ITEMS_SQL = "items AS (SELECT sp_id AS item_id, product_id, CAST(sum(quantity) AS DOUBLE) AS quantity FROM price JOIN sp USING (sp_id) WHERE receipt_id = (SELECT receipt_id FROM price ORDER BY day DESC, receipt_id DESC LIMIT 1) GROUP BY ALL)"
 TOTAL_SQL = "round(CASE WHEN weighable THEN quantity * eff / amount ELSE greatest(1, ceil(quantity / amount)) * eff END, 6)"
 
 
 def basket_items(d: Domain):
-    return d.sp.where("sp_id % 97 = 0").select(F.col("sp_id").alias("item_id"), "product_id", F.expr("CAST(1 + sp_id % 4 AS DOUBLE)").alias("quantity"))
+    newest = d.price.orderBy(F.desc("day"), F.desc("receipt_id")).limit(1).select("receipt_id")
+    bought = d.price.join(newest, "receipt_id").groupBy("sp_id").agg(F.sum("quantity").cast("double").alias("quantity"))
+    return bought.join(d.sp.select("sp_id", "product_id"), "sp_id").select(F.col("sp_id").alias("item_id"), "product_id", "quantity")
 
 
 @query("opt02_cheapest_pack_per_store", f"""
@@ -150,18 +154,18 @@ def opt05(d: Domain):
 
 @query("opt07_split_basket", f"""
 {ITEMS_SQL}, {LATEST_SQL},
-offers AS (SELECT i.item_id, l.store_id, min({TOTAL_SQL}) AS total FROM items i JOIN sp s USING (product_id) JOIN latest l USING (sp_id) WHERE l.store_id < 8 GROUP BY ALL),
+offers AS (SELECT i.item_id, l.store_id, min({TOTAL_SQL}) AS total FROM items i JOIN sp s USING (product_id) JOIN latest l USING (sp_id) GROUP BY ALL),
 pairs AS (SELECT DISTINCT a.store_id AS a, b.store_id AS b FROM offers a JOIN offers b ON a.store_id < b.store_id),
 best AS (SELECT p.a, p.b, o.item_id, min(o.total) AS total FROM pairs p JOIN offers o ON o.store_id IN (p.a, p.b) GROUP BY ALL)
-SELECT a, b, count(*) AS covered, round(sum(total), 4) AS total FROM best GROUP BY a, b""")
+SELECT a, b, count(*) AS covered, sum(CAST(round(total * 1000000) AS BIGINT)) / 1000000 AS total FROM best GROUP BY a, b""")
 def opt07(d: Domain):
-    offers = basket_items(d).join(d.sp.select("sp_id", "product_id", "amount", "weighable"), "product_id").join(latest_eff(d).where("store_id < 8"), "sp_id")
+    offers = basket_items(d).join(d.sp.select("sp_id", "product_id", "amount", "weighable"), "product_id").join(latest_eff(d), "sp_id")
     offers = pricing.cheapest_for(offers, ["item_id", "store_id"]).select("item_id", "store_id", "total")
     stores = offers.select("store_id").distinct()
     pairs = stores.select(F.col("store_id").alias("a")).join(stores.select(F.col("store_id").alias("b")), F.col("a") < F.col("b"))
     either = pairs.withColumn("store_id", F.explode(F.array("a", "b"))).join(offers, "store_id")
     best = either.groupBy("a", "b", "item_id").agg(F.min("total").alias("total"))
-    return best.groupBy("a", "b").agg(F.count("*").alias("covered"), F.round(F.sum("total"), 4).alias("total"))
+    return best.groupBy("a", "b").agg(F.count("*").alias("covered"), (F.sum(F.round(F.col("total") * 1000000).cast("long")) / 1000000).alias("total"))
 
 
 REAL_SQL = f"""
@@ -178,11 +182,9 @@ def unit_offers(d: Domain):
 
 
 @query("opt12_real_discount", REAL_SQL + """
-SELECT product_id, chains, floor(least * 100 + 0.5) / 100 AS least, CAST(floor((mean - least) / mean * 100 + 0.5) AS INT) AS percent FROM g WHERE chains >= 2 AND most <= 500 * least""")
+SELECT product_id, chains, floor(least * 100 + 0.5) / 100 AS least, CAST(floor((mean - least) / mean * 100 + 0.5) AS INT) AS percent FROM g WHERE chains >= 2 AND most <= 5 * least""")
 def opt12(d: Domain):
-    by_chain = unit_offers(d).groupBy("product_id", "chain_id").agg(F.min("unit_price").alias("unit_price"))
-    g = by_chain.groupBy("product_id").agg(F.min("unit_price").alias("least"), F.max("unit_price").alias("most"), F.round(F.avg("unit_price"), 6).alias("mean"), F.count("*").alias("chains")).where("chains >= 2 and most <= 500 * least")
-    return g.select("product_id", "chains", money(F.col("least")).alias("least"), F.floor((F.col("mean") - F.col("least")) / F.col("mean") * 100 + 0.5).cast("int").alias("percent"))
+    return pricing.real_discount(unit_offers(d))
 
 
 @query("opt13_discount_summary", """
@@ -215,20 +217,21 @@ def opt14(d: Domain):
 
 @query("opt15_savings_against_market", """
 last AS (SELECT sp_id, price FROM price WHERE NOT is_fallback QUALIFY rank() OVER (PARTITION BY sp_id ORDER BY day DESC) = 1),
-market AS (SELECT product_id, round(avg(price), 4) AS mean FROM last JOIN sp USING (sp_id) GROUP BY product_id)
-SELECT p.receipt_id, round(sum((m.mean - p.price) * p.quantity), 2) AS savings FROM price p JOIN sp USING (sp_id) JOIN market m USING (product_id) WHERE p.receipt_id % 11 = 0 GROUP BY p.receipt_id""")
+market AS (SELECT product_id, floor(sum(CAST(round(price * 100) AS BIGINT)) * 100 / count(*)::DOUBLE + 0.5) / 10000 AS mean FROM last JOIN sp USING (sp_id) GROUP BY product_id)
+SELECT p.receipt_id, sum((CAST(round(m.mean * 10000) AS BIGINT) - CAST(round(p.price * 100) AS BIGINT) * 100) * CAST(p.quantity AS BIGINT)) / 10000 AS savings FROM price p JOIN sp USING (sp_id) JOIN market m USING (product_id) GROUP BY p.receipt_id""")
 def opt15(d: Domain):
     offers = d.price.where("not is_fallback").select("sp_id", "day", "price")
     last = offers.join(offers.groupBy("sp_id").agg(F.max("day").alias("day")), ["sp_id", "day"])
     named = d.sp.select("sp_id", "product_id")
-    market = last.join(named, "sp_id").groupBy("product_id").agg(F.round(F.avg("price"), 4).alias("mean"))
-    lines = d.price.where("receipt_id % 11 = 0").select("receipt_id", "sp_id", "price", "quantity").join(named, "sp_id").join(market, "product_id")
-    return lines.groupBy("receipt_id").agg(F.round(F.sum((F.col("mean") - F.col("price")) * F.col("quantity")), 2).alias("savings"))
+    market = last.join(named, "sp_id").groupBy("product_id").agg(fine_mean("price").alias("mean"))
+    lines = d.price.select("receipt_id", "sp_id", "price", "quantity").join(named, "sp_id").join(market, "product_id")
+    less = (F.round(F.col("mean") * 10000).cast("long") - F.round(F.col("price") * 100).cast("long") * 100) * F.col("quantity").cast("long")
+    return lines.groupBy("receipt_id").agg((F.sum(less) / 10000).alias("savings"))
 
 
 @query("opt08_receipt_comparison", f"""
 {LATEST_SQL},
-line AS (SELECT receipt_id, sp_id, sum(quantity) AS quantity, max(price) AS paid FROM price WHERE receipt_id % 53 = 0 GROUP BY ALL),
+line AS (SELECT receipt_id, sp_id, sum(quantity) AS quantity, max(price) AS paid FROM price GROUP BY ALL),
 chain_offer AS (SELECT sp_id, chain_id, min(eff) AS eff FROM latest JOIN store USING (store_id) GROUP BY ALL),
 mean AS (SELECT sp_id, floor(sum(CAST(round(eff * 100) AS BIGINT)) / count(*) + 0.5) / 100 AS eff FROM chain_offer GROUP BY sp_id),
 chains AS (SELECT DISTINCT l.receipt_id, o.chain_id FROM line l JOIN chain_offer o USING (sp_id)),
@@ -236,7 +239,7 @@ cell AS (SELECT c.receipt_id, c.chain_id, l.sp_id, l.quantity, coalesce(o.eff, m
   FROM chains c JOIN line l USING (receipt_id) LEFT JOIN chain_offer o ON o.sp_id = l.sp_id AND o.chain_id = c.chain_id LEFT JOIN mean m ON m.sp_id = l.sp_id)
 SELECT receipt_id, chain_id, sum(known)::BIGINT AS known, count(*) AS lines, sum(CAST(round(eff * 100) AS BIGINT) * CAST(quantity AS BIGINT)) / 100 AS total FROM cell GROUP BY ALL""")
 def opt08(d: Domain):
-    line = d.price.where("receipt_id % 53 = 0").groupBy("receipt_id", "sp_id").agg(F.sum("quantity").alias("quantity"), F.max("price").alias("paid"))
+    line = d.price.groupBy("receipt_id", "sp_id").agg(F.sum("quantity").alias("quantity"), F.max("price").alias("paid"))
     offer = latest_eff(d).join(d.store.select("store_id", "chain_id"), "store_id").groupBy("sp_id", "chain_id").agg(F.min("eff").alias("eff"))
     mean = offer.groupBy("sp_id").agg(mean_money("eff").alias("mean"))
     chains = line.join(offer, "sp_id").select("receipt_id", "chain_id").distinct()
@@ -253,11 +256,11 @@ def opt09(d: Domain):
 
 
 @query("opt11_chain_ranking", """
-total AS (SELECT chain_id, round(avg(price), 4) AS mean FROM price JOIN store USING (store_id) WHERE sp_id < 50 GROUP BY chain_id),
+total AS (SELECT chain_id, floor(sum(CAST(round(price * 100) AS BIGINT)) * 100 / count(*)::DOUBLE + 0.5) / 10000 AS mean FROM price JOIN store USING (store_id) GROUP BY chain_id),
 r AS (SELECT *, row_number() OVER (ORDER BY mean, chain_id) AS rn, count(*) OVER () AS n FROM total)
 SELECT CASE WHEN rn = 1 THEN 'cheapest' WHEN rn = n THEN 'dearest' ELSE 'runner_up' END AS place, chain_id, mean FROM r WHERE rn IN (1, 2) OR rn = n""")
 def opt11(d: Domain):
-    total = d.price.where("sp_id < 50").join(d.store.select("store_id", "chain_id"), "store_id").groupBy("chain_id").agg(F.round(F.avg("price"), 4).alias("mean"))
+    total = d.price.join(d.store.select("store_id", "chain_id"), "store_id").groupBy("chain_id").agg(fine_mean("price").alias("mean"))
     # One row per chain.
     order = Window.orderBy("mean", "chain_id")
     r = total.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy()))

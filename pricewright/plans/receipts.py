@@ -19,7 +19,7 @@ CENTS_SQL = "CAST(floor(price * quantity * 100 + 0.5) AS BIGINT)"
 
 
 @query("opt16_combo_attribution", f"""
-l AS (SELECT receipt_id, id, sp_id, {CENTS_SQL} AS cents FROM price WHERE receipt_id % 4 = 0),
+l AS (SELECT receipt_id, id, sp_id, {CENTS_SQL} AS cents FROM price),
 g AS (SELECT receipt_id, sum(cents)::BIGINT AS gross FROM l GROUP BY receipt_id),
 s AS (SELECT l.*, g.gross // 20 AS discount, (g.gross // 20) * l.cents // g.gross AS base, row_number() OVER (PARTITION BY receipt_id ORDER BY l.cents DESC, l.id, l.sp_id) AS rn FROM l JOIN g USING (receipt_id)),
 r AS (SELECT *, discount - sum(base) OVER (PARTITION BY receipt_id) AS rest FROM s)
@@ -27,7 +27,7 @@ SELECT id, sp_id, cents, CAST(least(cents, base + CASE WHEN rn <= rest THEN 1 EL
 def opt16(d: Domain):
     """A receipt's discount over its lines in proportion, no line below zero, odd cents to the largest lines."""
     own = Window.partitionBy("receipt_id")
-    lines = d.price.where("receipt_id % 4 = 0").select("receipt_id", "id", "sp_id", line_cents().alias("cents")).withColumn("gross", F.sum("cents").over(own))
+    lines = d.price.select("receipt_id", "id", "sp_id", line_cents().alias("cents")).withColumn("gross", F.sum("cents").over(own))
     based = lines.withColumn("base", F.expr("(gross div 20) * cents div gross")).withColumn("rn", F.row_number().over(own.orderBy(F.desc("cents"), "id", "sp_id")))
     rest = F.expr("gross div 20") - F.sum("base").over(own)
     return based.withColumn("rest", rest).select("id", "sp_id", "cents", F.least("cents", F.col("base") + F.when(F.col("rn") <= F.col("rest"), 1).otherwise(0)).alias("share"))
@@ -39,10 +39,10 @@ def opt17(d: Domain):
 
 
 @query("opt18_trip_by_chain", f"""
-t AS (SELECT r.user_id, r.day, s.chain_id, sum({CENTS_SQL})::BIGINT AS cents FROM receipt r JOIN price p USING (receipt_id) JOIN store s USING (store_id) WHERE r.user_id % 20 = 0 GROUP BY ALL)
+t AS (SELECT r.user_id, r.day, s.chain_id, sum({CENTS_SQL})::BIGINT AS cents FROM receipt r JOIN price p USING (receipt_id) JOIN store s USING (store_id) GROUP BY ALL)
 SELECT user_id, CAST(day AS VARCHAR) AS day, count(*) AS chains, min(cents) AS cheapest, median(cents) AS mid, max(cents) - min(cents) < 50 OR count(*) < 2 AS equal FROM t GROUP BY user_id, day""")
 def opt18(d: Domain):
-    lines = d.receipt.where("user_id % 20 = 0").select("receipt_id", "user_id", F.col("day").alias("trip_day")).join(d.price, "receipt_id").join(d.store.select("store_id", "chain_id"), "store_id")
+    lines = d.receipt.select("receipt_id", "user_id", F.col("day").alias("trip_day")).join(d.price, "receipt_id").join(d.store.select("store_id", "chain_id"), "store_id")
     t = lines.groupBy("user_id", "trip_day", "chain_id").agg(F.sum(line_cents()).alias("cents"))
     return t.groupBy("user_id", F.col("trip_day").cast("string").alias("day")).agg(F.count("*").alias("chains"), F.min("cents").alias("cheapest"), F.median("cents").alias("mid"), ((F.max("cents") - F.min("cents") < 50) | (F.count("*") < 2)).alias("equal"))
 

@@ -69,12 +69,12 @@ def agg09(d: Domain):
     return d.receipt.groupBy("user_id").agg(F.median("cents").alias("median_cents"), F.expr("CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY cents) AS BIGINT)").alias("lower_median"))
 
 
-TRIP_SQL = f"trip AS (SELECT r.user_id, r.day, count(DISTINCT p.sp_id) AS size, date_diff('day', r.day, DATE '{AS_OF}') AS age FROM receipt r JOIN price p USING (receipt_id) WHERE r.user_id % 3 = 0 GROUP BY ALL)"
+TRIP_SQL = f"trip AS (SELECT r.user_id, r.day, count(DISTINCT p.sp_id) AS size, date_diff('day', r.day, DATE '{AS_OF}') AS age FROM receipt r JOIN price p USING (receipt_id) GROUP BY ALL)"
 
 
 def trips(d: Domain):
     """One trip per user and day, with its products."""
-    return d.receipt.where("user_id % 3 = 0").select("receipt_id", "user_id", F.col("day").alias("trip_day")).join(d.price.select("receipt_id", "sp_id"), "receipt_id").groupBy("user_id", "trip_day", "sp_id").agg(F.lit(1).alias("one")).drop("one")
+    return d.receipt.select("receipt_id", "user_id", F.col("day").alias("trip_day")).join(d.price.select("receipt_id", "sp_id"), "receipt_id").groupBy("user_id", "trip_day", "sp_id").agg(F.lit(1).alias("one")).drop("one")
 
 
 @query("agg10_weighted_trip_size", TRIP_SQL + """,
@@ -176,14 +176,14 @@ def agg24(d: Domain):
     return d.receipt.where("status = 'F'").groupBy("user_id").agg(F.countDistinct(key).alias("n"))
 
 
-@query("agg25_late_uploads", "SELECT r.receipt_id, date_diff('day', r.day, greatest(r.day, max(p.day))) > 90 AS late FROM receipt r JOIN price p USING (receipt_id) GROUP BY r.receipt_id, r.day")
+@query("agg25_late_uploads", "SELECT r.receipt_id, date_diff('day', r.day, greatest(r.day, max(p.day))) > 30 AS late FROM receipt r JOIN price p USING (receipt_id) GROUP BY r.receipt_id, r.day")
 def agg25(d: Domain):
     last = d.price.groupBy("receipt_id").agg(F.max("day").alias("last"))
-    return d.receipt.join(last, "receipt_id").select("receipt_id", (F.datediff(F.greatest("day", "last"), "day") > 90).alias("late"))
+    return d.receipt.join(last, "receipt_id").select("receipt_id", (F.datediff(F.greatest("day", "last"), "day") > 30).alias("late"))
 
 
 @query("rec02_trip_probability", TRIP_SQL + f""",
-item AS (SELECT DISTINCT r.user_id, r.day, p.sp_id FROM receipt r JOIN price p USING (receipt_id) WHERE r.user_id % 3 = 0),
+item AS (SELECT DISTINCT r.user_id, r.day, p.sp_id FROM receipt r JOIN price p USING (receipt_id)),
 total AS (SELECT user_id, sum(pow(0.5, age / 365.0::DOUBLE)) AS total, count(*) AS trips FROM trip GROUP BY user_id)
 SELECT i.user_id, i.sp_id, round(sum(pow(0.5, date_diff('day', i.day, DATE '{AS_OF}') / 365.0::DOUBLE)) / max(t.total), 8) AS p FROM item i JOIN total t USING (user_id) GROUP BY i.user_id, i.sp_id""")
 def rec02(d: Domain):
@@ -194,7 +194,7 @@ def rec02(d: Domain):
 
 
 @query("rec03_blended_probability", """
-item AS (SELECT DISTINCT r.user_id, r.day, p.sp_id FROM receipt r JOIN price p USING (receipt_id) WHERE r.user_id % 3 = 0),
+item AS (SELECT DISTINCT r.user_id, r.day, p.sp_id FROM receipt r JOIN price p USING (receipt_id)),
 n AS (SELECT user_id, count(DISTINCT day) AS n FROM item GROUP BY user_id),
 own AS (SELECT user_id, sp_id, count(*) AS k FROM item GROUP BY ALL),
 everyone AS (SELECT sp_id, count(*)::DOUBLE / (SELECT sum(n) FROM n) AS g FROM item GROUP BY sp_id)
@@ -209,14 +209,14 @@ def rec03(d: Domain):
 
 
 @query("rec04_shrunk_lift", """
-item AS (SELECT DISTINCT r.user_id, r.day, p.sp_id % 64 AS product_id FROM receipt r JOIN price p USING (receipt_id) WHERE r.user_id % 3 = 0),
+item AS (SELECT DISTINCT r.user_id, r.day, p.sp_id AS product_id FROM receipt r JOIN price p USING (receipt_id)),
 t AS (SELECT count(*) AS trips FROM (SELECT DISTINCT user_id, day FROM item)),
 c AS (SELECT product_id, count(*) AS n FROM item GROUP BY product_id),
 pair AS (SELECT x.product_id AS a, y.product_id AS b, count(*) AS co FROM item x JOIN item y ON x.user_id = y.user_id AND x.day = y.day AND x.product_id < y.product_id GROUP BY ALL HAVING count(*) >= 3)
 SELECT a, b, co, round(co / (co + 5.0::DOUBLE) * greatest((co + 0.5) * t.trips / ((ca.n + 0.5) * (cb.n + 0.5)) - 1, 0), 6) AS score FROM pair JOIN c ca ON ca.product_id = a JOIN c cb ON cb.product_id = b, t""")
 def rec04(d: Domain):
     # A trip's products are a bounded list; pairs are made inside each trip's sorted array.
-    item = trips(d).select("user_id", "trip_day", F.expr("sp_id % 64").alias("product_id")).distinct()
+    item = trips(d).select("user_id", "trip_day", F.col("sp_id").alias("product_id")).distinct()
     baskets = item.groupBy("user_id", "trip_day").agg(F.sort_array(F.collect_list("product_id")).alias("ids"))
     pairs = baskets.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("co")).where("co >= 3")
     c = item.groupBy("product_id").agg(F.count("*").alias("n"))
@@ -235,11 +235,11 @@ def rec07(d: Domain):
 
 
 @query("rec09_default_template", f"""
-s AS (SELECT r.user_id, p.sp_id, round(sum(pow(0.5, date_diff('day', r.day, DATE '{AS_OF}') / 180.0::DOUBLE)), 8) AS score, count(*) AS freq, count(DISTINCT p.store_id % 25) AS chains FROM receipt r JOIN price p USING (receipt_id) WHERE r.user_id % 3 = 0 GROUP BY ALL)
+s AS (SELECT r.user_id, p.sp_id, round(sum(pow(0.5, date_diff('day', r.day, DATE '{AS_OF}') / 180.0::DOUBLE)), 8) AS score, count(*) AS freq, count(DISTINCT p.store_id % 25) AS chains FROM receipt r JOIN price p USING (receipt_id) GROUP BY ALL)
 SELECT user_id, sp_id, freq FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY freq >= 2 DESC, score DESC, chains DESC, sp_id) <= 8""")
 def rec09(d: Domain):
     w = scores.half_life(F.datediff(F.lit(AS_OF).cast("date"), "bought"), 180.0)
-    s = d.receipt.where("user_id % 3 = 0").select("receipt_id", "user_id", F.col("day").alias("bought")).join(d.price.select("receipt_id", "sp_id", "store_id"), "receipt_id").groupBy("user_id", "sp_id").agg(F.round(F.sum(w), 8).alias("score"), F.count("*").alias("freq"), F.countDistinct(F.col("store_id") % 25).alias("chains"))
+    s = d.receipt.select("receipt_id", "user_id", F.col("day").alias("bought")).join(d.price.select("receipt_id", "sp_id", "store_id"), "receipt_id").groupBy("user_id", "sp_id").agg(F.round(F.sum(w), 8).alias("score"), F.count("*").alias("freq"), F.countDistinct(F.col("store_id") % 25).alias("chains"))
     order = Window.partitionBy("user_id").orderBy((F.col("freq") >= 2).desc(), F.desc("score"), F.desc("chains"), "sp_id")
     return s.withColumn("rn", F.row_number().over(order)).where("rn <= 8").select("user_id", "sp_id", "freq")
 

@@ -19,7 +19,7 @@ STORE_PRODUCT = [
     "p_partkey AS sp_id", "p_name AS name", "p_brand AS brand", "CAST(p_size AS DOUBLE) AS amount",
     "CASE p_partkey % 6 WHEN 0 THEN 'kg' WHEN 1 THEN 'g' WHEN 2 THEN 'l' WHEN 3 THEN 'ml' WHEN 4 THEN 'vnt' ELSE 'pak' END AS unit",
     "(p_partkey % 5 = 0 AND p_partkey % 6 IN (0, 2)) AS weighable", "p_type AS category",
-    "p_partkey % 64 AS product_id", "p_retailprice AS list_price",
+    "CAST(floor(p_partkey / 32) AS BIGINT) AS product_id", "p_retailprice AS list_price",
 ]
 PRICES = [
     "l_orderkey * 16 + l_linenumber AS id", "l_partkey AS sp_id", "l_suppkey AS store_id", f"{PRICE} AS price",
@@ -79,7 +79,7 @@ class Domain:
 
     @cached_property
     def user(self) -> DataFrame:
-        return self.table("customer").selectExpr("c_custkey AS user_id", "c_name AS name", "c_nationkey AS household_id", "c_acctbal AS balance", "c_mktsegment AS segment")
+        return self.table("customer").selectExpr("c_custkey AS user_id", "c_name AS name", "CAST(floor(c_custkey / 4) AS BIGINT) AS household_id", "c_acctbal AS balance", "c_mktsegment AS segment")
 
     @cached_property
     def vote(self) -> DataFrame:
@@ -100,6 +100,6 @@ price AS (SELECT {plain(PRICES)} FROM lineitem),
 store AS (SELECT {plain(STORES)} FROM supplier),
 chain AS (SELECT n_nationkey AS chain_id, n_name AS chain, n_regionkey AS zone_id FROM nation),
 receipt AS (SELECT {plain(RECEIPTS)} FROM orders),
-person AS (SELECT c_custkey AS user_id, c_name AS name, c_nationkey AS household_id, c_acctbal AS balance, c_mktsegment AS segment FROM customer),
+person AS (SELECT c_custkey AS user_id, c_name AS name, CAST(floor(c_custkey / 4) AS BIGINT) AS household_id, c_acctbal AS balance, c_mktsegment AS segment FROM customer),
 vote AS (SELECT {plain(VOTES)} FROM lineitem),
 interaction AS (SELECT * FROM (SELECT {plain(INTERACTIONS)}, CAST(props->>'$.k' AS BIGINT) AS product_id FROM events) WHERE type IS NOT NULL)"""
