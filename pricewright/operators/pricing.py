@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewright.functions.units import base_amount, family, money
@@ -75,6 +75,23 @@ def cheapest_for(offers: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "best.*")
 
 
+def substitutes(items: DataFrame, catalog: DataFrame, least: float = 0.5, most: int = 8) -> DataFrame:
+    """What can stand in for each item: item_id, sp_id, score; the ``most`` best, ties to the smaller sp_id.
+
+    ``items`` has item_id, ``catalog`` sp_id, name, category, unit, product_id. A substitute is of the item's
+    category and unit family but another product, and its name has at least ``least`` of the item's words.
+    Only names that share a word with an item's meet, so the work grows with the catalog.
+    """
+    counted = lambda unit: family(unit) == "count"
+    asked = items.select("item_id").distinct().join(catalog.select(F.col("sp_id").alias("item_id"), F.array_distinct(F.split("name", " ")).alias("words"), "category", counted(F.col("unit")).alias("counted"), F.col("product_id").alias("own")), "item_id")
+    asked = asked.select("item_id", "category", "counted", "own", F.size("words").alias("n"), F.explode("words").alias("word"))
+    offered = catalog.select("sp_id", "category", counted(F.col("unit")).alias("counted"), "product_id", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    shared = asked.join(offered, ["category", "counted", "word"]).where("own != product_id").groupBy("item_id", "sp_id", "n").agg(F.count("*").alias("k"))
+    scored = shared.select("item_id", "sp_id", F.round(F.col("k") / F.col("n"), 6).alias("score")).where(F.col("score") >= least)
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "sp_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
+
+
 def store_totals(items: DataFrame, wanted: int | Column) -> DataFrame:
     """Per store: how many of the wanted items are missing, replaced or averaged, and the total; best store first."""
     tier = F.col("tier")

@@ -219,6 +219,13 @@ def set04(d: Domain):
     return pairs.select("a", "b", F.round(names.jaccard(F.col("wa"), F.col("wb")), 6).alias("score"))
 
 
+@query("join19_enriched_from_join", """
+SELECT s.sp_id, coalesce(v.price, s.list_price) AS list_price, v.price IS NOT NULL AS updated FROM sp s LEFT JOIN (SELECT sp_id, price FROM price WHERE verified QUALIFY row_number() OVER (PARTITION BY sp_id ORDER BY day DESC, id DESC, price DESC) = 1) v USING (sp_id)""")
+def join19(d: Domain):
+    newest = d.price.where("verified").groupBy("sp_id").agg(F.max(F.struct("day", "id", "price"))["price"].alias("price"))
+    return d.sp.join(newest, "sp_id", "left").select("sp_id", F.coalesce("price", "list_price").alias("list_price"), F.col("price").isNotNull().alias("updated"))
+
+
 @query("top01_best_stores", "SELECT store_id, count(DISTINCT sp_id) AS found, round(avg(price), 2) AS mean FROM price GROUP BY store_id ORDER BY found DESC, mean, store_id LIMIT 10")
 def top01(d: Domain):
     return d.price.groupBy("store_id").agg(F.countDistinct("sp_id").alias("found"), F.round(F.avg("price"), 2).alias("mean")).orderBy(F.desc("found"), "mean", "store_id").limit(10)

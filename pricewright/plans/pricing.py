@@ -104,6 +104,19 @@ def basket_items(d: Domain):
     return bought.join(d.sp.select("sp_id", "product_id"), "sp_id").select(F.col("sp_id").alias("item_id"), "product_id", "quantity")
 
 
+SUB_SQL = """
+scored AS (SELECT i.item_id, s.sp_id, round(len(list_distinct(list_intersect(string_split(m.name, ' '), string_split(s.name, ' '))))::DOUBLE / len(list_distinct(string_split(m.name, ' '))), 6) AS score
+  FROM items i JOIN sp m ON m.sp_id = i.item_id JOIN sp s ON s.category = m.category AND s.product_id <> m.product_id AND (s.unit IN ('vnt', 'pak')) = (m.unit IN ('vnt', 'pak'))),
+sub AS (SELECT * FROM scored WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, sp_id) <= 8)"""
+
+
+@query("opt04_substitutes", f"""
+{ITEMS_SQL}, {SUB_SQL}
+SELECT item_id, sp_id, score FROM sub""")
+def opt04(d: Domain):
+    return pricing.substitutes(basket_items(d), d.sp)
+
+
 @query("opt02_cheapest_pack_per_store", f"""
 {ITEMS_SQL}, {LATEST_SQL},
 offers AS (SELECT i.item_id, l.store_id, s.sp_id, {TOTAL_SQL} AS total FROM items i JOIN sp s USING (product_id) JOIN latest l USING (sp_id))
@@ -114,12 +127,13 @@ def opt02(d: Domain):
 
 
 @query("opt01_basket_over_stores", f"""
-{ITEMS_SQL}, {LATEST_SQL},
+{ITEMS_SQL}, {LATEST_SQL}, {SUB_SQL},
+tier3 AS (SELECT item_id, store_id, 3 AS tier, {TOTAL_SQL} AS total, sp_id FROM sub JOIN items USING (item_id) JOIN (SELECT sp_id, amount, weighable FROM sp) USING (sp_id) JOIN latest USING (sp_id)),
 offers AS (SELECT i.item_id, l.store_id, s.sp_id, t.chain_id, {TOTAL_SQL} AS total FROM items i JOIN sp s USING (product_id) JOIN latest l USING (sp_id) JOIN store t USING (store_id)),
 tier12 AS (SELECT item_id, store_id, CASE WHEN sp_id = item_id THEN 1 ELSE 2 END AS tier, total, sp_id FROM offers),
 by_chain AS (SELECT item_id, chain_id, min(total) AS total FROM offers GROUP BY ALL),
 tier4 AS (SELECT item_id, round(avg(total), 6) AS total FROM by_chain GROUP BY item_id),
-cand AS (SELECT item_id, store_id, tier, total, sp_id FROM tier12 UNION ALL SELECT item_id, store_id, 4, total, NULL FROM tier4, store),
+cand AS (SELECT item_id, store_id, tier, total, sp_id FROM tier12 UNION ALL SELECT * FROM tier3 UNION ALL SELECT item_id, store_id, 4, total, NULL FROM tier4, store),
 pick AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY item_id, store_id ORDER BY tier, total, sp_id) = 1)
 SELECT store_id, (SELECT count(*) FROM items) - count(*) AS n_missing, count(*) FILTER (tier = 4) AS n_averaged, count(*) FILTER (tier = 3) AS n_substituted,
   sum(CAST(floor(total * 100 + 0.5) AS BIGINT)) / 100 AS total FROM pick GROUP BY store_id""")
@@ -131,7 +145,9 @@ def opt01(d: Domain):
     average = offers.groupBy("item_id", "chain_id").agg(F.min("total").alias("total")).groupBy("item_id").agg(F.round(F.avg("total"), 6).alias("total"))
     # One basket's items beside every store: the basket is a bounded list.
     anywhere = d.store.select("store_id").crossJoin(average).select("item_id", "store_id", F.lit(4).alias("tier"), "total", F.lit(None).cast("long").alias("sp_id"))
-    pick = direct.unionByName(anywhere).groupBy("item_id", "store_id").agg(F.min(F.struct("tier", "total", "sp_id")).alias("best")).select("store_id", "best.tier", "best.total")
+    instead = pricing.substitutes(items, d.sp).join(items, "item_id").join(d.sp.select("sp_id", "amount", "weighable"), "sp_id").join(latest_eff(d), "sp_id")
+    instead = instead.select("item_id", "store_id", F.lit(3).alias("tier"), F.round(pricing.total_for(F.col("quantity"), F.col("eff"), F.col("amount"), F.col("weighable")), 6).alias("total"), "sp_id")
+    pick = direct.unionByName(instead).unionByName(anywhere).groupBy("item_id", "store_id").agg(F.min(F.struct("tier", "total", "sp_id")).alias("best")).select("store_id", "best.tier", "best.total")
     wanted = items.agg(F.count("*").alias("wanted"))
     totals = pricing.store_totals(pick, 0).crossJoin(wanted)
     return totals.select("store_id", (F.col("wanted") + F.col("n_missing")).alias("n_missing"), "n_averaged", "n_substituted", "total").orderBy("n_missing", "n_averaged", "n_substituted", "total", "store_id")
@@ -202,7 +218,7 @@ last AS (SELECT sp_id, CASE WHEN promo_price IS NOT NULL AND (promo_end IS NULL
 rate AS (SELECT product_id, CASE WHEN unit IN ('kg','g') THEN 'kg' WHEN unit IN ('l','ml') THEN 'l' ELSE 'piece' END AS basis, min(eff / CASE WHEN unit IN ('g','ml') THEN amount / 1000 ELSE amount END) AS rate FROM sp JOIN last USING (sp_id) WHERE amount > 0 AND eff > 0 GROUP BY ALL),
 g AS (SELECT product_id, min(rate) FILTER (basis = 'kg') AS kg, min(rate) FILTER (basis = 'l') AS l, min(rate) FILTER (basis = 'piece') AS piece FROM rate GROUP BY product_id)
 SELECT product_id, CASE WHEN kg IS NOT NULL AND l IS NOT NULL THEN NULL WHEN kg IS NOT NULL THEN 'kg' WHEN l IS NOT NULL THEN 'l' ELSE 'piece' END AS basis,
-  CASE WHEN kg IS NOT NULL AND l IS NOT NULL THEN NULL ELSE round(coalesce(kg, l, piece), 4) END AS rate FROM g""")
+  CASE WHEN kg IS NOT NULL AND l IS NOT NULL THEN NULL ELSE floor(coalesce(kg, l, piece) * 10000 + 0.5) / 10000 END AS rate FROM g""")
 def opt14(d: Domain):
     last = ts.latest_by(d.price, ["sp_id"], ts.TIES)
     running = F.col("promo_price").isNotNull() & F.coalesce(F.col("promo_end") >= F.lit(AS_OF).cast("timestamp_ntz"), F.lit(True))
@@ -212,7 +228,7 @@ def opt14(d: Domain):
     g = d.sp.where("amount > 0").join(eff.where("eff > 0"), "sp_id").groupBy("product_id").agg(of("kg", "g").alias("kg"), of("l", "ml").alias("l"), of("vnt", "pak").alias("piece"))
     both = F.col("kg").isNotNull() & F.col("l").isNotNull()
     basis = F.when(both, None).when(F.col("kg").isNotNull(), "kg").when(F.col("l").isNotNull(), "l").otherwise("piece")
-    return g.select("product_id", basis.alias("basis"), F.when(~both, F.round(F.coalesce("kg", "l", "piece"), 4)).alias("rate"))
+    return g.select("product_id", basis.alias("basis"), F.when(~both, F.floor(F.coalesce("kg", "l", "piece") * 10000 + 0.5) / 10000).alias("rate"))
 
 
 @query("opt15_savings_against_market", """

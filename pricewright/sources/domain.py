@@ -19,7 +19,7 @@ STORE_PRODUCT = [
     "p_partkey AS sp_id", "p_name AS name", "p_brand AS brand", "CAST(p_size AS DOUBLE) AS amount",
     "CASE p_partkey % 6 WHEN 0 THEN 'kg' WHEN 1 THEN 'g' WHEN 2 THEN 'l' WHEN 3 THEN 'ml' WHEN 4 THEN 'vnt' ELSE 'pak' END AS unit",
     "(p_partkey % 5 = 0 AND p_partkey % 6 IN (0, 2)) AS weighable", "p_type AS category",
-    "CAST(floor(p_partkey / 32) AS BIGINT) AS product_id", "p_retailprice AS list_price",
+    "CAST(floor(p_partkey / 4) AS BIGINT) AS product_id", "p_retailprice AS list_price",
 ]
 PRICES = [
     "l_orderkey * 16 + l_linenumber AS id", "l_partkey AS sp_id", "l_suppkey AS store_id", f"{PRICE} AS price",

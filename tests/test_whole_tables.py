@@ -34,3 +34,13 @@ def test_real_discount(spark):
     offers = spark.createDataFrame(rows, "product_id long, chain_id long, unit_price double")
     assert sorted(map(tuple, pricing.real_discount(offers).collect())) == [(1, 2, 4.0, 20), (4, 2, 1.0, 67)]
     assert {r.product_id for r in pricing.real_discount(offers, 6).collect()} == {1, 2, 4}
+
+
+def test_substitutes(spark, sf_dir):
+    rows = [(1, "red wool hat", "wear", "vnt", 1), (2, "red hat", "wear", "vnt", 1), (3, "red wool cap", "wear", "pak", 2), (4, "wool hat red", "wear", "vnt", 3), (5, "red sock", "wear", "vnt", 4), (6, "red wool hat", "toys", "vnt", 5), (7, "red wool hat", "wear", "kg", 6)]
+    catalog = spark.createDataFrame(rows, "sp_id long, name string, category string, unit string, product_id long")
+    items = spark.createDataFrame([(1,)], "item_id long")
+    assert sorted(map(tuple, pricing.substitutes(items, catalog).collect())) == [(1, 3, 0.666667), (1, 4, 1.0)]
+    assert [r.sp_id for r in pricing.substitutes(items, catalog, most=1).collect()] == [4]
+    totals = registry.queries()["opt01_basket_over_stores"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.n_substituted for r in totals) > 0
