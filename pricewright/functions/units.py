@@ -36,6 +36,10 @@ def units_conflict(a: Column, b: Column) -> Column:
     return F.coalesce(dimension(a) != dimension(b), F.lit(False))
 
 
+def same_unit(a: Column, b: Column) -> Column:
+    return F.lower(a) == F.lower(b)
+
+
 def repaired_basis(amount: Column, unit: Column) -> Column:
     """Amount in kilograms or litres after repair of impossible sizes: above 100 means grams, below 0.001 kilograms."""
     base = base_amount(amount, unit)

@@ -150,10 +150,14 @@ def join07(d: Domain):
     return d.table("lineitem").where("l_partkey != l_suppkey").groupBy(F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b")).agg(F.count("*").alias("n")).where("n > 3")
 
 
-@query("join16_image_donor", "SELECT s.sp_id, g.donor FROM sp s JOIN (SELECT product_id, min(sp_id) AS donor FROM sp WHERE sp_id % 3 = 0 GROUP BY product_id) g USING (product_id) WHERE s.sp_id % 3 <> 0")
+@query("join16_image_donor", """
+shown AS (SELECT DISTINCT sp_id FROM price WHERE verified AND day >= DATE '2001-01-01')
+SELECT s.sp_id, g.donor FROM sp s JOIN (SELECT product_id, min(sp_id) AS donor FROM sp JOIN shown USING (sp_id) GROUP BY product_id) g USING (product_id) WHERE s.sp_id NOT IN (SELECT sp_id FROM shown)""")
 def join16(d: Domain):
-    donors = d.sp.where("sp_id % 3 = 0").groupBy("product_id").agg(F.min("sp_id").alias("donor"))
-    return d.sp.where("sp_id % 3 != 0").join(donors, "product_id").select("sp_id", "donor")
+    """Products without a verified offer of this year take the image of the first sibling that has one."""
+    shown = d.price.where("verified and day >= DATE '2001-01-01'").select("sp_id").distinct()
+    donors = d.sp.join(shown, "sp_id", "left_semi").groupBy("product_id").agg(F.min("sp_id").alias("donor"))
+    return d.sp.join(shown, "sp_id", "left_anti").join(donors, "product_id").select("sp_id", "donor")
 
 
 @query("join17_siblings_both_ways", "SELECT DISTINCT a AS id, b AS sibling FROM (SELECT sp_a AS a, sp_b AS b FROM vote WHERE vote = 'similar' AND dwell_ms > 1900 UNION SELECT sp_b, sp_a FROM vote WHERE vote = 'similar' AND dwell_ms > 1900)")

@@ -111,21 +111,22 @@ def er19(d: Domain):
 
 
 @query("er15_cross_chain_pairs", """
-one AS (SELECT DISTINCT p.sp_id, s.chain_id, sp.name, sp.category FROM price p JOIN store s USING (store_id) JOIN sp USING (sp_id) WHERE s.chain_id IN (1, 2)),
+one AS (SELECT DISTINCT p.sp_id, s.chain_id, sp.name, sp.category FROM price p JOIN store s USING (store_id) JOIN sp USING (sp_id)),
 capped AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY chain_id, category ORDER BY sp_id) <= 40)
-SELECT a.sp_id AS a, b.sp_id AS b FROM capped a JOIN capped b ON a.category = b.category AND a.chain_id = 1 AND b.chain_id = 2 AND a.name = b.name AND a.sp_id <> b.sp_id""")
+SELECT a.chain_id AS chain_a, b.chain_id AS chain_b, a.sp_id AS a, b.sp_id AS b FROM capped a JOIN capped b ON a.category = b.category AND a.chain_id < b.chain_id AND a.name = b.name AND a.sp_id <> b.sp_id""")
 def er15(d: Domain):
-    sold = d.price.select("sp_id", "store_id").join(d.store.where("chain_id in (1, 2)").select("store_id", "chain_id"), "store_id").join(d.sp.select("sp_id", "name", "category"), "sp_id").select("sp_id", "chain_id", "name", "category").distinct()
+    """Every two chains: products of one name and category, from the first 40 products of a category in each chain (the deck's size)."""
+    sold = d.price.select("sp_id", "store_id").join(d.store.select("store_id", "chain_id"), "store_id").join(d.sp.select("sp_id", "name", "category"), "sp_id").select("sp_id", "chain_id", "name", "category").distinct()
     capped = sold.withColumn("rn", F.row_number().over(Window.partitionBy("chain_id", "category").orderBy("sp_id"))).where("rn <= 40")
-    a = capped.where("chain_id = 1").select(F.col("sp_id").alias("a"), "category", "name")
-    return a.join(capped.where("chain_id = 2").select(F.col("sp_id").alias("b"), "category", "name"), ["category", "name"]).where("a != b").select("a", "b")
+    side = lambda x: capped.select(F.col("chain_id").alias(f"chain_{x}"), F.col("sp_id").alias(x), "category", "name")
+    return side("a").join(side("b"), ["category", "name"]).where("chain_a < chain_b and a != b").select("chain_a", "chain_b", "a", "b")
 
 
-@query("er20_related_scope", "SELECT r.sp_id, count(DISTINCT o.sp_id) AS related FROM (SELECT sp_id, category FROM sp WHERE sp_id < 20) r JOIN sp o ON o.category = r.category AND string_split(o.name, ' ')[2] = (SELECT string_split(name, ' ')[2] FROM sp x WHERE x.sp_id = r.sp_id) GROUP BY r.sp_id")
+@query("er20_related_scope", "SELECT sp_id, count(*) OVER (PARTITION BY category, string_split(name, ' ')[2]) AS related FROM sp")
 def er20(d: Domain):
-    head = lambda: F.get(F.split("name", " "), 1).alias("head")
-    mine = d.sp.where("sp_id < 20").select("sp_id", "category", head())
-    return mine.join(d.sp.select(F.col("sp_id").alias("other"), "category", head()), ["category", "head"]).groupBy("sp_id").agg(F.countDistinct("other").alias("related"))
+    """How many products of its category have the same head word; counted per scope and joined, as a scope can be large."""
+    headed = d.sp.select("sp_id", "category", F.get(F.split("name", " "), 1).alias("head"))
+    return headed.join(headed.groupBy("category", "head").agg(F.count("*").alias("related")), ["category", "head"]).select("sp_id", "related")
 
 
 @query("er26_match_audit", "SELECT store_id % 25 AS chain, round(count(*) FILTER (verified) / count(*)::DOUBLE, 6) AS matched, round(count(*) FILTER (verified AND is_fallback) / greatest(count(*) FILTER (verified), 1)::DOUBLE, 6) AS doubtful FROM price GROUP BY 1")
