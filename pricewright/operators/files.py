@@ -8,10 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only on one machine a temporary one takes its place."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared-"))
+    return context.getCheckpointDir()
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one; a temporary one where none is set."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="files-")
-    return f"{shared}/files-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the shared folder, so that its plan ends there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def exported(df: DataFrame, kind: str) -> DataFrame:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the plan in the shared checkpoint folder, if the cluster names one; else the plan just grows."""
-    return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+from pricewright.operators.files import cut
 
 
 def connected_classes(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,13 +14,13 @@ def connected_classes(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame
     Rounds of neighbours' least label and the label's label; their number grows with the logarithm of a
     class's width. Only a yes or no comes to the driver.
     """
-    both = _cut(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct())
-    labels = _cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+    both = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct())
+    labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("seen")), "other").groupBy("node").agg(F.min("seen").alias("seen"))
         nearer = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
-        moved = _cut(nearer.join(jump, "root").select("node", "old", F.least("root", "beyond").alias("root")))
+        moved = cut(nearer.join(jump, "root").select("node", "old", F.least("root", "beyond").alias("root")))
         labels = moved.select("node", "root")
         if moved.where("old != root").isEmpty():
             return labels

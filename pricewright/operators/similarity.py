@@ -11,12 +11,22 @@ from pricewright.functions import names
 def trigram_candidates(left: DataFrame, right: DataFrame, least_shared: int) -> DataFrame:
     """Pairs (left_id, right_id, shared) of names with ``least_shared`` or more trigrams in common.
 
-    Both sides have ``id`` and a normal ``name``. The join is on single trigrams and its pairs are counted
-    by a partial aggregate, so no group of equal trigrams is ever gathered.
+    Both sides have a unique ``id`` and a normal ``name``. Of a name's ``n`` trigrams, the rarest first, two such names
+    share one among their first ``n - least_shared + 1``, so only those are joined: the commonest trigrams of all names
+    pair nobody, and no pair is lost. The shared ones are then counted exactly.
     """
-    a = left.select(F.col("id").alias("left_id"), F.explode(names.trigrams(F.col("name"))).alias("gram"))
-    b = right.select(F.col("id").alias("right_id"), F.explode(names.trigrams(F.col("name"))).alias("gram"))
-    return a.join(b, "gram").groupBy("left_id", "right_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
+    named = lambda df, to: df.select(F.col("id").alias(to), names.trigrams(F.col("name")).alias("grams")).where(F.size("grams") >= least_shared)
+    sides = named(left, "left_id"), named(right, "right_id")
+    each = [side.select(key, F.explode("grams").alias("gram")) for side, key in zip(sides, ("left_id", "right_id"), strict=True)]
+    often = each[0].select("gram").unionByName(each[1].select("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+
+    def rarest(grams: DataFrame, key: str) -> DataFrame:
+        inorder = grams.join(often, "gram").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("g"))  # one name's trigrams
+        return inorder.select(key, F.explode(F.slice("g", F.lit(1), F.size("g") - least_shared + 1)["gram"]).alias("gram"))
+
+    met = rarest(each[0], "left_id").join(rarest(each[1], "right_id"), "gram").select("left_id", "right_id").distinct()
+    both = met.join(sides[0].withColumnRenamed("grams", "l"), "left_id").join(sides[1].withColumnRenamed("grams", "r"), "right_id")
+    return both.select("left_id", "right_id", F.size(F.array_intersect("l", "r")).alias("shared")).where(F.col("shared") >= least_shared)
 
 
 def similarity_join(left: DataFrame, right: DataFrame, least: float, k: int, least_shared: int = 3, also: Column | None = None) -> DataFrame:

@@ -172,9 +172,10 @@ w AS (SELECT product_id, sp_id, unnest(list_distinct(string_split(name, ' '))) A
 c AS (SELECT product_id, t, count(DISTINCT sp_id) AS k FROM w WHERE length(t) >= 4 GROUP BY ALL)
 SELECT n.product_id, n.n FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.product_id = n.product_id AND c.k = n.n)""")
 def er33(d: Domain):
-    sets = d.sp.groupBy("product_id").agg(F.collect_set(names.significant_tokens(F.col("name"))).alias("sets"), F.count("*").alias("n"))
-    common = F.aggregate(F.slice("sets", 2, 1_000_000), F.get("sets", 0), lambda acc, s: F.array_intersect(acc, s))
-    return sets.where(F.size(common) == 0).select("product_id", "n")
+    n = d.sp.groupBy("product_id").agg(F.count("*").alias("n"))
+    having = d.sp.select("product_id", F.explode(names.significant_tokens(F.col("name"))).alias("word")).groupBy("product_id", "word").agg(F.count("*").alias("k"))
+    common = having.join(n, "product_id").where("k = n").select("product_id").distinct()
+    return n.join(common, "product_id", "left_anti").select("product_id", "n")
 
 
 @query("rm23_token_overlap", "t AS (SELECT DISTINCT name, string_split(name, ' ') AS w FROM sp) SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.w, b.w)) / least(len(list_distinct(a.w)), len(list_distinct(b.w)))::DOUBLE, 6) AS score FROM t a JOIN t b ON a.w[1] = b.w[1] AND a.name < b.name")

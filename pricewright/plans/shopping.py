@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricewright.functions import scores
+from pricewright.operators.ranking import first_tile
 from pricewright.plans.registry import query
 from pricewright.sources.domain import AS_OF, Domain
 
@@ -286,9 +287,7 @@ def win05(d: Domain):
 g AS (SELECT product_id, count(*) AS n FROM interaction GROUP BY product_id), t AS (SELECT *, ntile(5) OVER (ORDER BY n DESC, product_id) AS tile FROM g)
 SELECT product_id, n FROM t WHERE tile = 1""")
 def win07(d: Domain):
-    # One row per product that anyone touched.
-    g = d.interaction.groupBy("product_id").agg(F.count("*").alias("n"))
-    return g.withColumn("tile", F.ntile(5).over(Window.orderBy(F.desc("n"), "product_id"))).where("tile = 1").drop("tile")
+    return first_tile(d.interaction.groupBy("product_id").agg(F.count("*").alias("n")), 5, F.desc("n"), F.col("product_id"))
 
 
 @query("win08_prefer_real_prices", "SELECT sp_id, store_id, id FROM (SELECT *, bool_or(NOT is_fallback) OVER (PARTITION BY sp_id, store_id) AS has_real FROM price) WHERE NOT is_fallback OR NOT has_real")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewright.operators.files import scratch
+
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of Parquet files as a stream of its files; event times become timestamps, as watermarks need."""
+    """A table of Parquet files as a stream of its files; event times become timestamps, as watermarks need.
+
+    A stream's source is a folder or a pattern, never one file; the pattern's last letter in brackets matches a table
+    that is one file as well as one that is a folder.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{folder}/{name}.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -22,8 +26,7 @@ def run_available(stream: DataFrame, mode: str, spark: SparkSession) -> DataFram
     Every batch's result replaces the one before (``complete``) or is added (``append``), as Parquet in the
     cluster's shared folder; a repeated batch writes its own folder again, so restarts don't duplicate.
     """
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    out = scratch(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/last" if mode == "complete" else f"{out}/data/batch={number}")
