@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm import fingerprints, langid, mixing, near_dup, packing, pii, substring_dedup, token_counts, topk, toxicity
+from pricewright.llm import fingerprints, langid, merkle, mixing, near_dup, packing, pii, substring_dedup, token_counts, topk, toxicity
 from pricewright.llm.common import table
 
 
@@ -79,9 +79,51 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_documents(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH RECURSIVE said AS (
+    SELECT doc_id, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+        n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail, lang,
+        list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+            lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, 4294967295::BIGINT) AS crc
+    FROM documents
+), leaves AS (
+    SELECT doc_id, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+        CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS changed,
+        dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+    FROM said
+), up AS (
+    SELECT tree, 0 AS depth, pos, n, leaf AS digest FROM leaves
+    UNION ALL
+    SELECT tree, depth + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, depth, pos // 2, n
+), top AS (
+    SELECT 0 AS depth, tree AS pos, count(*) OVER () AS n, digest FROM up WHERE n = 1
+    UNION ALL
+    SELECT depth + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY depth, pos // 2, n
+), beside AS (
+    SELECT l.tree, l.pos, e.depth, s.pos % 2 AS slot, s.digest
+    FROM leaves l JOIN (SELECT DISTINCT tree, depth FROM up WHERE n > 1) e ON e.tree = l.tree LEFT JOIN up s ON s.tree = e.tree AND s.depth = e.depth AND s.pos = xor(l.pos >> e.depth, 1)
+    UNION ALL
+    SELECT l.tree, l.pos, 1000 + e.depth, s.pos % 2, s.digest
+    FROM leaves l CROSS JOIN (SELECT DISTINCT depth FROM top WHERE n > 1) e LEFT JOIN top s ON s.depth = e.depth AND s.pos = xor(l.tree >> e.depth, 1)
+), proofs AS (
+    SELECT tree, pos, string_agg(digest, '' ORDER BY depth) AS proof, list(CASE slot WHEN 0 THEN 'l' ELSE 'r' END || coalesce(digest, '') ORDER BY depth) AS steps FROM beside GROUP BY tree, pos
+), folded AS (
+    SELECT l.*, sha256(coalesce(proof, '')) AS proof_sha256,
+        list_reduce(coalesce(steps, []::VARCHAR[]), lambda acc, x: CASE WHEN x[1] = 'l' THEN sha256(x[2:] || acc) ELSE sha256(acc || x[2:]) END, coalesce(changed, leaf)) AS folded_root
+    FROM leaves l LEFT JOIN proofs USING (tree, pos)
+)
+SELECT doc_id, leaf, u.digest AS subroot, r.digest AS root, proof_sha256, folded_root, folded_root = r.digest AS verified
+FROM folded f JOIN up u ON u.tree = f.tree AND u.n = 1, (SELECT digest FROM top WHERE n = 1) r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": OP8_SQL}
+    return {"op8_exact_top_k": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
