@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pricewright.llm.common import cut
 
 HEX = 64
+#: Proofs go down so many levels in one plan.
+JOINED_LEVELS = 4
 
 
 def digest(*texts: Column) -> Column:
@@ -99,6 +101,7 @@ def _paths(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, arity: i
         found = met.withColumn("path", F.concat("siblings", "up_path"))
         if depth:
             above = found.select("tree", "at", "path", "subroot").unionByName(top(depth))
+            above = above if depth % JOINED_LEVELS else cut(above)
     columns = [*leaves.columns, "path", "subroot"]
     single = leaves.where("n = 1").join(top(0).drop("at"), "tree").select(*columns)
     return found.select(*columns).unionByName(single) if levels else single

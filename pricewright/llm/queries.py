@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm import fingerprints, langid, merkle, mixing, near_dup, packing, pii, substring_dedup, token_counts, topk, toxicity
+from pricewright.llm import fingerprints, langid, merkle, mixing, near_dup, packing, pii, substring_dedup, token_counts, topk, toxicity, vector_codes
 from pricewright.llm.common import table
 
 
@@ -79,6 +79,47 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vector
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (SELECT vec_id, p, vector[len(vector) // 16 * p + 1:len(vector) // 16 * (p + 1)] AS x FROM kept, range(16) AS positions(p)),
+b0 AS (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+    FROM parts JOIN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)
+), a0 AS (
+    SELECT vec_id, p, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + e) AS best FROM parts JOIN b0 USING (p) GROUP BY ALL
+), m0 AS (
+    SELECT p, best % 64 AS e, i, sum(v)::BIGINT AS s, count(*) AS n
+    FROM (SELECT p, best, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM parts JOIN a0 USING (vec_id, p)) GROUP BY ALL
+), b1 AS (
+    SELECT p, e, coalesce(any_value(moved), any_value(c)) AS c
+    FROM b0 LEFT JOIN (SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY i) AS moved FROM m0 GROUP BY p, e) USING (p, e) GROUP BY p, e
+), a1 AS (
+    SELECT vec_id, p, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + e) AS best FROM parts JOIN b1 USING (p) GROUP BY ALL
+), m1 AS (
+    SELECT p, best % 64 AS e, i, sum(v)::BIGINT AS s, count(*) AS n
+    FROM (SELECT p, best, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM parts JOIN a1 USING (vec_id, p)) GROUP BY ALL
+), b2 AS (
+    SELECT p, e, coalesce(any_value(moved), any_value(c)) AS c
+    FROM b1 LEFT JOIN (SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY i) AS moved FROM m1 GROUP BY p, e) USING (p, e) GROUP BY p, e
+), a2 AS (
+    SELECT vec_id, p, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + e) AS best FROM parts JOIN b2 USING (p) GROUP BY ALL
+), coded AS (
+    SELECT vec_id, label, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error
+    FROM kept JOIN a2 USING (vec_id) GROUP BY ALL
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+FROM coded
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_documents(table(spark, sf_dir, "documents"))
 
@@ -126,4 +167,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op8_exact_top_k": OP8_SQL, "op12_vector_codes": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
