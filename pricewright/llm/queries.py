@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm import fingerprints, langid, merkle, mixing, near_dup, packing, pii, substring_dedup, token_counts, topk, toxicity, vector_codes
-from pricewright.llm.common import table
+from pricewright.llm import fingerprints, langid, merkle, mixing, near_dup, packing, pii, substring_dedup, token_counts, token_files, topk, toxicity, vector_codes
+from pricewright.llm.common import shared_folder, table
 
 
 #: The key of the registered queries only; a real run passes its own secret.
@@ -79,6 +80,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
+    token_files.write_ids(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), folder)
+    return token_files.read_ids(spark, folder, with_ids=False)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.codes(table(spark, sf_dir, "embeddings"))
 
