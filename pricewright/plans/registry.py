@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from pricewright.plans import catalog, consensus, households, imports, matching, prices, pricing, receipts, recipes, resolution, shopping, streams, worklists  # noqa: F401
+    from pricewright.plans import catalog, consensus, households, imports, matching, prices, pricing, receipts, recipes, resolution, shopping, streams, upserts, worklists  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -200,21 +200,22 @@ def rm21(d: Domain):
     return totals.withColumn("rn", F.row_number().over(order)).where("rn <= 5").drop("rn")
 
 
-@query("er08_scraped_products", NAMES_SQL + """,
-sold AS (SELECT DISTINCT sp_id, chain_id FROM price JOIN store USING (store_id)),
-asked AS (SELECT sold.chain_id, sp_id AS asked_id, name AS query, amount AS asked_amount, unit AS asked_unit, weighable AS asked_weighable FROM sold JOIN cat USING (sp_id) QUALIFY row_number() OVER (PARTITION BY sold.chain_id, name ORDER BY sp_id DESC) = 1)""" + evidence_sql("asked", "CAST(NULL AS VARCHAR)").replace("SELECT asked_id, sp_id,", "SELECT chain_id, asked_id, sp_id,") + """,
+#: From pairs of products and ``sold`` (sp_id, chain_id): the decision on each row of ``asked``.
+DECISION_SQL = """,
 side AS (SELECT p.*, s.sp_id IS NOT NULL AS own FROM pairs p LEFT JOIN sold s ON s.sp_id = p.sp_id AND s.chain_id = p.chain_id WHERE confidence >= 0.45 AND (s.sp_id IS NOT NULL OR category <> 'PROMO')),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY chain_id, asked_id, own ORDER BY confidence DESC, sp_id) AS rk FROM side),
-g AS (SELECT chain_id, asked_id, max(confidence) FILTER (own) AS mine, max(sp_id) FILTER (own AND rk = 1) AS mine_id, max(confidence) FILTER (NOT own) AS theirs, max(sp_id) FILTER (NOT own AND rk = 1) AS theirs_id, max(category) FILTER (NOT own AND rk = 1) AS cat1, count(DISTINCT category) FILTER (NOT own AND rk <= 3) AS cats, count(*) FILTER (NOT own AND rk <= 3) AS weak FROM ranked GROUP BY chain_id, asked_id)
-SELECT a.chain_id, a.asked_id, CASE WHEN mine >= 0.8 THEN 'chain_sp' WHEN theirs >= 0.8 THEN 'join' WHEN theirs >= 0.75 THEN 'mint_borrowed' WHEN weak = 3 AND cats = 1 THEN 'mint_consensus' ELSE 'uncategorised' END AS via,
-  CASE WHEN mine >= 0.8 THEN mine_id WHEN theirs >= 0.8 THEN theirs_id END AS sp_id, CASE WHEN coalesce(mine, 0) < 0.8 AND theirs < 0.8 AND (theirs >= 0.75 OR (weak = 3 AND cats = 1)) THEN cat1 END AS category FROM asked a LEFT JOIN g USING (chain_id, asked_id)""")
-def er08(d: Domain):
-    """What to do with each chain's newest offer of a name: take the chain's own product, join another chain's, borrow a category, or leave it open."""
-    cat = catalog(d)
-    sold = d.price.select("sp_id", "store_id").join(d.store.select("store_id", "chain_id"), "store_id").select("sp_id", "chain_id").distinct()
-    newest = ts.latest_by(sold.join(cat, "sp_id"), ["chain_id", "name"], ["sp_id"])
-    asked = newest.select("chain_id", *asked_columns())
-    pairs = scored_products(asked, cat, confident_names(d)).where(F.col("confidence") >= BARS.least).select("chain_id", "asked_id", "sp_id", "confidence", "category")
+g AS (SELECT chain_id, asked_id, max(confidence) FILTER (own) AS mine, max(sp_id) FILTER (own AND rk = 1) AS mine_id, max(confidence) FILTER (NOT own) AS theirs, max(sp_id) FILTER (NOT own AND rk = 1) AS theirs_id, max(category) FILTER (NOT own AND rk = 1) AS cat1, count(DISTINCT category) FILTER (NOT own AND rk <= 3) AS cats, count(*) FILTER (NOT own AND rk <= 3) AS weak FROM ranked GROUP BY chain_id, asked_id),
+decided AS (SELECT a.chain_id, a.asked_id, CASE WHEN mine >= 0.8 THEN 'chain_sp' WHEN theirs >= 0.8 THEN 'join' WHEN theirs >= 0.75 THEN 'mint_borrowed' WHEN weak = 3 AND cats = 1 THEN 'mint_consensus' ELSE 'uncategorised' END AS via,
+  CASE WHEN mine >= 0.8 THEN mine_id WHEN theirs >= 0.8 THEN theirs_id END AS sp_id, CASE WHEN coalesce(mine, 0) < 0.8 AND theirs < 0.8 AND (theirs >= 0.75 OR (weak = 3 AND cats = 1)) THEN cat1 END AS category FROM asked a LEFT JOIN g USING (chain_id, asked_id))"""
+
+
+def chain_pairs_sql() -> str:
+    return evidence_sql("asked", "CAST(NULL AS VARCHAR)").replace("SELECT asked_id, sp_id,", "SELECT chain_id, asked_id, sp_id,")
+
+
+def decisions(asked: DataFrame, cat: DataFrame, sold: DataFrame, scored: DataFrame) -> DataFrame:
+    """chain_id, asked_id, via, sp_id, category: what becomes of each chain's asked product; ``sold`` says which chain has which product."""
+    pairs = scored_products(asked, cat, scored).where(F.col("confidence") >= BARS.least).select("chain_id", "asked_id", "sp_id", "confidence", "category")
     side = pairs.join(sold.withColumn("own", F.lit(True)), ["chain_id", "sp_id"], "left").withColumn("own", F.coalesce("own", F.lit(False))).where(F.col("own") | (F.col("category") != UNASSIGNED))
     order = Window.partitionBy("chain_id", "asked_id", "own").orderBy(F.desc("confidence"), "sp_id")
     top = side.withColumn("rk", F.row_number().over(order)).where("rk <= 3")
@@ -231,6 +232,17 @@ def er08(d: Domain):
     return g.select("chain_id", "asked_id", via, F.when(mine >= 0.8, F.col("mine_id")).when(theirs >= 0.8, F.col("theirs_id")).alias("sp_id"), F.when(minted, F.col("borrowed")).alias("category"))
 
 
+@query("er08_scraped_products", NAMES_SQL + """,
+sold AS (SELECT DISTINCT sp_id, chain_id FROM price JOIN store USING (store_id)),
+asked AS (SELECT sold.chain_id, sp_id AS asked_id, name AS query, amount AS asked_amount, unit AS asked_unit, weighable AS asked_weighable FROM sold JOIN cat USING (sp_id) QUALIFY row_number() OVER (PARTITION BY sold.chain_id, name ORDER BY sp_id DESC) = 1)""" + chain_pairs_sql() + DECISION_SQL + " SELECT * FROM decided")
+def er08(d: Domain):
+    """What to do with each chain's newest offer of a name: take the chain's own product, join another chain's, borrow a category, or leave it open."""
+    cat = catalog(d)
+    sold = d.price.select("sp_id", "store_id").join(d.store.select("store_id", "chain_id"), "store_id").select("sp_id", "chain_id").distinct()
+    newest = ts.latest_by(sold.join(cat, "sp_id"), ["chain_id", "name"], ["sp_id"])
+    return decisions(newest.select("chain_id", *asked_columns()), cat, sold, confident_names(d))
+
+
 @query("er12_price_fishing")
 def er12(d: Domain):
     """For every line that only fell back on its product: other products of its store at its price (to a cent), the three with the likeliest names.
