@@ -20,6 +20,8 @@ from pricewright.llm.common import cut
 HEX = 64
 #: Proofs go down so many levels in one plan.
 JOINED_LEVELS = 4
+#: A level of at most so many nodes is joined in one task.
+SMALL_LEVEL = 16_384
 
 
 def digest(*texts: Column) -> Column:
@@ -41,6 +43,11 @@ def _joined(digests: Sequence[Column]) -> Column:
     return F.concat(*(F.coalesce(d, F.lit(b"")) for d in digests))
 
 
+def _gathered(nodes: DataFrame, most: int) -> DataFrame:
+    """``nodes``, of which there are ``most`` or fewer: in one partition if they are few, so that their joins need no shuffle."""
+    return nodes.coalesce(1).hint("merge") if most <= SMALL_LEVEL else nodes
+
+
 def _numbered(leaves: DataFrame) -> DataFrame:
     """``leaves`` with ``tree`` (the place of its group among all, null first), ``at`` (its place in the tree) and ``n`` (the tree's leaves).
 
@@ -63,17 +70,17 @@ def _numbered(leaves: DataFrame) -> DataFrame:
     return both.select("tree", (F.col("in_part") + F.col("before") - 1).alias("at"), "n", F.unhex("leaf").alias("digest"), *rest)
 
 
-def _grown(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """The levels (their nodes with ``siblings``, left to right) of all trees in ``leaves``, and the roots found at each depth.
+def _grown(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], list[DataFrame], list[int]]:
+    """The levels (their nodes with ``siblings``, left to right) of all trees in ``leaves``, the roots found at each depth, and bounds on the levels' sizes.
 
     A tree takes part in the levels in which it has more than one node.
     """
     slot = F.col("at") % arity
-    nodes, levels, roots = leaves, [], []
-    most = nodes.agg(F.max("n")).first()[0] or 0
+    nodes, levels, roots, sizes = leaves, [], [], []
+    total, most, trees = nodes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("tree") + 1, F.lit(0))).first()
     roots.append(nodes.where("n = 1"))
     while most > 1:
-        nodes = nodes.where("n > 1")
+        nodes = _gathered(nodes.where("n > 1"), total)
         level = nodes
         for shift in range(1, arity):
             beside = F.col("at").bitwiseXOR(F.lit(1)) if arity == 2 else F.col("at") - slot + (slot + shift) % arity
@@ -83,21 +90,22 @@ def _grown(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], list[DataFra
         in_slot = [F.coalesce(*(F.when(slot == s, F.col(f"d{(j - s) % arity}")) for s in range(arity) if s != j)) for j in range(arity)]
         level = cut(level.withColumn("siblings", _joined(in_slot)))
         levels.append(level)
+        sizes.append(total)
         run = [_hex(F.col("digest")), *(F.coalesce(_hex(F.col(f"d{shift}")), F.lit("")) for shift in range(1, arity))]
         parents = level.where(slot == 0).select("tree", F.expr(f"at div {arity}").alias("at"), F.expr(f"(n + {arity - 1}) div {arity}").alias("n"), F.unhex(digest(*run)).alias("digest"))
-        most = -(-most // arity)
+        most, total = -(-most // arity), total // arity + trees
         roots.append(parents.where("n = 1"))
         nodes = parents
-    return levels, roots
+    return levels, roots, sizes
 
 
-def _paths(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, arity: int) -> DataFrame:
+def _paths(leaves: DataFrame, levels: list[DataFrame], sizes: list[int], tops: DataFrame, arity: int) -> DataFrame:
     """``leaves`` with ``path``, all siblings up to the end of ``tops``, and ``subroot``; ``tops`` has a tree's depth, root and path."""
     top = lambda depth: tops.where(F.col("depth") == depth).select("tree", F.lit(0).cast("long").alias("at"), "path", "subroot")
     above = top(len(levels))
     for depth in range(len(levels) - 1, -1, -1):
-        up = above.select(F.col("tree").alias("up_tree"), F.col("at").alias("up_at"), F.col("path").alias("up_path"), "subroot")
-        met = levels[depth].join(up, (F.col("tree") == F.col("up_tree")) & (F.expr(f"at div {arity}") == F.col("up_at")))
+        up = _gathered(above.select(F.col("tree").alias("up_tree"), F.col("at").alias("up_at"), F.col("path").alias("up_path"), "subroot"), sizes[depth])
+        met = _gathered(levels[depth], sizes[depth]).join(up, (F.col("tree") == F.col("up_tree")) & (F.expr(f"at div {arity}") == F.col("up_at")))
         found = met.withColumn("path", F.concat("siblings", "up_path"))
         if depth:
             above = found.select("tree", "at", "path", "subroot").unionByName(top(depth))
@@ -150,16 +158,16 @@ def manifest(docs: DataFrame, fields: Sequence[str], group: str, order: str, ari
     checked = F.when(F.coalesce(where, F.lit(False)), F.unhex(then)) if where is not None else F.lit(None).cast("binary")
     rows = docs.select(docs[group].alias("group"), docs[order].alias("order"), docs[order].alias("key"), now.alias("leaf"), checked.alias("checked"))
     leaves = cut(_numbered(cut(rows.withColumn("uid", F.monotonically_increasing_id()))))
-    levels, roots = _grown(leaves, arity)
+    levels, roots, sizes = _grown(leaves, arity)
     subroots = cut(reduce(DataFrame.unionByName, (r.select("tree", "digest", F.lit(depth).alias("depth")) for depth, r in enumerate(roots))))
     trees = subroots.count()
     top = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").cast("long").alias("at"), F.lit(trees).cast("long").alias("n"), "digest", F.col("tree").alias("below"), "depth")
-    top_levels, top_roots = _grown(top, arity)
+    top_levels, top_roots, top_sizes = _grown(top, arity)
     last = top_roots[-1].select("digest").first()
     root = bytes(last[0]).hex() if last else None
     ends = top_roots[-1].select("tree", F.lit(len(top_levels)).alias("depth"), F.lit(b"").alias("path"), F.col("digest").alias("subroot"))
-    tops = cut(_paths(top, top_levels, ends, arity).select(F.col("below").alias("tree"), "depth", "path", F.col("digest").alias("subroot")))
-    proven = _paths(leaves, levels, tops, arity)
+    tops = cut(_paths(top, top_levels, top_sizes, ends, arity).select(F.col("below").alias("tree"), "depth", "path", F.col("digest").alias("subroot")))
+    proven = _paths(leaves, levels, sizes, tops, arity)
     text = proven.select("key", "at", "n", F.col("tree").alias("group_at"), _hex(F.col("digest")).alias("leaf"), _hex(F.coalesce("checked", "digest")).alias("start"), _hex(F.col("subroot")).alias("subroot"), _hex(F.col("path")).alias("proof"))
     sub, used = _folded(F.col("start"), F.col("proof"), F.lit(0), F.col("at"), F.col("n"), arity)
     folded = text.withColumn("half", F.struct(sub.alias("digest"), used.alias("used")))
