@@ -18,11 +18,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricewright.llm.common import text_of
-from pricewright.llm.packing import WordTokens, _chunks
+from pricewright.llm.packing import CACHED_WORDS, WordTokens, _chunks
 
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 COUNTS = 60 // WIDTHS
@@ -32,28 +33,35 @@ BLOCK, RECORD_IDS = 128, 1 << 18
 RECORDS_PER_FILE = 64
 MAGIC, END = b"S8BIDS01", b"S8B-END\n"
 PAYLOAD = np.uint64(2**60 - 1)
+#: The greatest number of each width, and the least selector of every number of 16 bits.
+LIMITS = 2 ** WIDTHS.astype("u8") - np.uint64(1)
+FIT_SMALL = np.searchsorted(LIMITS, np.arange(1 << 16, dtype="u8")).astype("i1")
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of unsigned 64-bit ``ids``, the offset of each block's first word, and the escapes."""
     ids = np.ascontiguousarray(ids, "<u8")
     blocks = -(-len(ids) // BLOCK)
-    # The least selector that fits each id; beyond the end nothing fits.
+    # The least selector that fits each id, a column for each block; beyond the end nothing fits.
     fit = np.full(blocks * BLOCK, ESCAPE + 1, "i1")
-    fit[: len(ids)] = np.searchsorted(2 ** WIDTHS.astype("u8") - np.uint64(1), ids)
-    fit = fit.reshape(blocks, BLOCK)
-    place = np.arange(BLOCK, dtype="i2")
-    chosen = np.full((blocks, BLOCK), ESCAPE, "i1")
+    small = ids < len(FIT_SMALL)
+    fit[: len(ids)] = FIT_SMALL[np.where(small, ids, 0).astype("u4")]
+    fit[: len(ids)][~small] = np.searchsorted(LIMITS, ids[~small])
+    fit = np.ascontiguousarray(fit.reshape(blocks, BLOCK).T)
+    place = np.arange(BLOCK, dtype="u1")[:, None]
+    chosen = np.full((BLOCK, blocks), ESCAPE, "i1")
     for selector in range(ESCAPE - 1, -1, -1):
-        # Where the run of ids that fit breaks off: the largest count that is reached before it wins.
-        broken = np.where(fit > selector, place, BLOCK).astype("i2")
-        reach = np.minimum.accumulate(broken[:, ::-1], axis=1)[:, ::-1] - place
-        chosen[reach >= COUNTS[selector]] = selector
+        # Where the run of ids that fit breaks off. A larger count fits only where all smaller ones do, so each takes one off.
+        reach = np.maximum((fit <= selector).view("u1") * np.uint8(BLOCK), place)
+        for i in range(BLOCK - 2, -1, -1):
+            np.minimum(reach[i], reach[i + 1], out=reach[i])
+        reach -= place
+        chosen -= reach >= COUNTS[selector]
     count_of = np.append(COUNTS, 1)
-    at, open_blocks, lengths = np.zeros(blocks, "i8"), np.arange(blocks), (fit <= ESCAPE).sum(1)
+    at, open_blocks, lengths = np.zeros(blocks, "i8"), np.arange(blocks), np.count_nonzero(fit <= ESCAPE, axis=0)
     steps = []
     while len(open_blocks):
-        selectors = chosen[open_blocks, at[open_blocks]]
+        selectors = chosen[at[open_blocks], open_blocks]
         steps.append((open_blocks, open_blocks * BLOCK + at[open_blocks], selectors))
         at[open_blocks] += count_of[selectors]
         open_blocks = open_blocks[at[open_blocks] < lengths[open_blocks]]
@@ -113,7 +121,7 @@ class Record:
         self.end = at + 8 * (words + escapes)
 
     @staticmethod
-    def written(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+    def written(doc_ids: list[int | None], lengths: list[int] | np.ndarray, ids: np.ndarray) -> bytes:
         """The bytes of a record; documents without an id come first."""
         words, offsets, escapes = encode(ids)
         header = np.array([len(doc_ids), sum(d is None for d in doc_ids), len(ids), len(offsets), len(words), len(escapes)], "<u8")
@@ -143,7 +151,46 @@ def records(raw: bytes) -> Iterator[Record]:
         yield record
 
 
-_encoders: dict[str, WordTokens] = {}
+class SplitWords(WordTokens):
+    """The packer's encoder, asked for words instead of texts."""
+
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of different words, none if a word is empty, as little-endian unsigned 32-bit numbers."""
+        if len(self.known) > CACHED_WORDS:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        self.known[""] = b""
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        return [self.known[w] for w in words]
+
+
+_encoders: dict[str, SplitWords] = {}
+
+
+def ids_of_texts(encoder: SplitWords, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, ``end_id`` after each, and how many each text has with it.
+
+    Words are split and numbered by Arrow; each different word is looked up once, and the ids are then gathered.
+    """
+    whole = pa.array(texts, pa.string())
+    odd = np.flatnonzero(pc.match_substring_regex(whole, encoder.ODD.pattern).to_numpy(zero_copy_only=False))
+    if len(odd):
+        whole = pa.array(["" if o else t for t, o in zip(texts, np.isin(np.arange(len(texts)), odd), strict=True)], pa.string())
+    words = pc.utf8_split_whitespace(whole)
+    numbered = words.flatten().dictionary_encode()
+    parts = encoder.ids_of_words(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+    lengths = np.fromiter(map(len, parts), "i8", len(parts)) // 4
+    ids, starts, number = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(lengths) - lengths, numbered.indices.to_numpy()
+    each = lengths[number]
+    ends = np.cumsum(each)
+    ids = ids[np.repeat(starts[number] - ends + each, each) + np.arange(int(each.sum()))]
+    bounds = np.append(0, ends)[words.offsets.to_numpy()]
+    if len(odd):
+        pieces = np.split(ids, bounds[1:-1])
+        for i in odd:
+            pieces[i] = np.frombuffer(encoder.encode([texts[i]])[0], "<u4")
+        ids, bounds = np.concatenate(pieces), np.append(0, np.cumsum([len(p) for p in pieces]))
+    return np.insert(ids, bounds[1:], end_id), np.diff(bounds) + 1
 
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) -> None:
@@ -151,30 +198,23 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) ->
 
     Documents ascend by doc_id over the files in the order of their names (null first; equal ids by a hash of the text,
     repeated rows are documents of their own). A null or empty text is the end id alone. Rows are dealt
-    by ranges, and a task holds the ids of one record, or of one longer document. Other columns don't matter.
+    by ranges, and a task holds a few million characters and their ids, or one longer document's. Other columns don't matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
-            _encoders[tokenizer] = WordTokens(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        doc_ids, lengths, parts, n = [], [], [], 0
-
-        def record() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([Record.written(doc_ids, lengths, ids)], pa.binary())], ["record"])
-
+            _encoders[tokenizer] = SplitWords(tokenizer)
         for names, texts in _chunks(batches):
-            for name, ids in zip(names, _encoders[tokenizer].encode(texts), strict=True):
-                doc_ids.append(name)
-                lengths.append(len(ids) // 4 + 1)
-                parts += [ids, end]
-                n += lengths[-1]
-                if n >= RECORD_IDS:
-                    yield record()
-                    doc_ids, lengths, parts, n = [], [], [], 0
-        if doc_ids:
-            yield record()
+            ids, lengths = ids_of_texts(_encoders[tokenizer], texts, end_id)
+            ends = np.cumsum(lengths)
+            first = 0
+            while first < len(names):
+                # Documents up to the one that completes a record, so that none is cut.
+                begin = int(ends[first - 1]) if first else 0
+                last = min(int(np.searchsorted(ends, begin + RECORD_IDS)) + 1, len(names))
+                record = Record.written(names[first:last], lengths[first:last], ids[begin : ends[last - 1]])
+                yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], ["record"])
+                first = last
 
     rows = docs.select("doc_id", text_of().alias("text")).withColumns({"hash": F.xxhash64("text"), "uid": F.monotonically_increasing_id()})
     order = [F.col("doc_id").asc_nulls_first(), "hash", "uid"]
