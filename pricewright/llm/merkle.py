@@ -3,25 +3,28 @@
 A node is known by its tree and its place in its level. Each level is one equijoin of its nodes with
 themselves on the computed place of the sibling (XOR 1 in binary trees, a shifted slot in wider ones); the
 rows in slot zero, which then hold the digests of their whole run, emit the parents. So a level of any size is
-spread by (tree, place), and the nodes of all levels together are fewer than twice the leaves. Proofs go down
-the same levels: a node's path is its siblings and then its parent's path.
+spread by (tree, place), and the nodes of all levels together are fewer than twice the leaves. A level of few
+nodes isn't worth a job: one task then looks siblings up for what is left. Proofs go down the same levels: a node's
+path is its siblings and then its parent's path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewright.llm.common import cut
 
 HEX = 64
+#: What is left of all levels is finished in one task once a level has so few nodes.
+SMALL_LEVEL = 16_384
 #: Proofs go down so many levels in one plan.
 JOINED_LEVELS = 4
-#: A level of at most so many nodes is joined in one task.
-SMALL_LEVEL = 16_384
 
 
 def digest(*texts: Column) -> Column:
@@ -43,11 +46,6 @@ def _joined(digests: Sequence[Column]) -> Column:
     return F.concat(*(F.coalesce(d, F.lit(b"")) for d in digests))
 
 
-def _gathered(nodes: DataFrame, most: int) -> DataFrame:
-    """``nodes``, of which there are ``most`` or fewer: in one partition if they are few, so that their joins need no shuffle."""
-    return nodes.coalesce(1).hint("merge") if most <= SMALL_LEVEL else nodes
-
-
 def _numbered(leaves: DataFrame) -> DataFrame:
     """``leaves`` with ``tree`` (the place of its group among all, null first), ``at`` (its place in the tree) and ``n`` (the tree's leaves).
 
@@ -70,17 +68,41 @@ def _numbered(leaves: DataFrame) -> DataFrame:
     return both.select("tree", (F.col("in_part") + F.col("before") - 1).alias("at"), "n", F.unhex("leaf").alias("digest"), *rest)
 
 
-def _grown(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], list[DataFrame], list[int]]:
-    """The levels (their nodes with ``siblings``, left to right) of all trees in ``leaves``, the roots found at each depth, and bounds on the levels' sizes.
-
-    A tree takes part in the levels in which it has more than one node.
-    """
+def _finished(nodes: DataFrame, arity: int) -> DataFrame:
+    """tree, at, path (siblings up to the tree's root) and subroot of a few nodes of one level, by all further levels in one task."""
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = {(tree, at): (n, raw) for batch in batches for tree, at, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+        levels = [level]
+        while any(n > 1 for n, _ in level.values()):
+            runs = {(tree, at // arity): (n, [level[tree, at + s][1].hex() for s in range(min(arity, n - at))]) for (tree, at), (n, _) in level.items() if n > 1 and at % arity == 0}
+            level = {place: (-(-n // arity), hashlib.sha256("".join(run).encode()).digest()) for place, (n, run) in runs.items()}
+            levels.append(level)
+        known: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+        for level in reversed(levels):
+            above, known = known, {}
+            for (tree, at), (n, raw) in level.items():
+                first = at - at % arity
+                siblings = [level[tree, s][1] for s in range(first, min(first + arity, n)) if s != at]
+                path, root = above[tree, at // arity] if n > 1 else (b"", raw)
+                known[tree, at] = (b"".join([*siblings, path]), root)
+        rows = [(tree, at, path, root) for (tree, at), (path, root) in known.items()]
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["tree", "at", "path", "subroot"])
+
+    whole = nodes.select(F.col("tree").cast("long").alias("tree"), F.col("at").cast("long").alias("at"), F.col("n").cast("long").alias("n"), "digest")
+    return whole.coalesce(1).mapInArrow(climb, "tree long, at long, path binary, subroot binary")
+
+
+def _grown(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """All trees of ``leaves``: their large levels (nodes with ``siblings``, left to right), the nodes that were roots at each of
+    these levels, and tree, at, path and subroot of the first level above them."""
     slot = F.col("at") % arity
-    nodes, levels, roots, sizes = leaves, [], [], []
+    nodes, levels, roots = leaves, [], []
     total, most, trees = nodes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("tree") + 1, F.lit(0))).first()
-    roots.append(nodes.where("n = 1"))
-    while most > 1:
-        nodes = _gathered(nodes.where("n > 1"), total)
+    while most > 1 and total > SMALL_LEVEL:
+        roots.append(nodes.where("n = 1").select("tree", "digest"))
+        nodes = nodes.where("n > 1")
         level = nodes
         for shift in range(1, arity):
             beside = F.col("at").bitwiseXOR(F.lit(1)) if arity == 2 else F.col("at") - slot + (slot + shift) % arity
@@ -90,29 +112,36 @@ def _grown(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], list[DataFra
         in_slot = [F.coalesce(*(F.when(slot == s, F.col(f"d{(j - s) % arity}")) for s in range(arity) if s != j)) for j in range(arity)]
         level = cut(level.withColumn("siblings", _joined(in_slot)))
         levels.append(level)
-        sizes.append(total)
         run = [_hex(F.col("digest")), *(F.coalesce(_hex(F.col(f"d{shift}")), F.lit("")) for shift in range(1, arity))]
-        parents = level.where(slot == 0).select("tree", F.expr(f"at div {arity}").alias("at"), F.expr(f"(n + {arity - 1}) div {arity}").alias("n"), F.unhex(digest(*run)).alias("digest"))
+        nodes = level.where(slot == 0).select("tree", F.expr(f"at div {arity}").alias("at"), F.expr(f"(n + {arity - 1}) div {arity}").alias("n"), F.unhex(digest(*run)).alias("digest"))
         most, total = -(-most // arity), total // arity + trees
-        roots.append(parents.where("n = 1"))
-        nodes = parents
-    return levels, roots, sizes
+    if most > 1:
+        return levels, roots, cut(_finished(nodes, arity))
+    return levels, roots, nodes.select("tree", "at", F.lit(b"").alias("path"), F.col("digest").alias("subroot"))
 
 
-def _paths(leaves: DataFrame, levels: list[DataFrame], sizes: list[int], tops: DataFrame, arity: int) -> DataFrame:
+def _paths(leaves: DataFrame, levels: list[DataFrame], rest: DataFrame, tops: DataFrame, arity: int) -> DataFrame:
     """``leaves`` with ``path``, all siblings up to the end of ``tops``, and ``subroot``; ``tops`` has a tree's depth, root and path."""
-    top = lambda depth: tops.where(F.col("depth") == depth).select("tree", F.lit(0).cast("long").alias("at"), "path", "subroot")
-    above = top(len(levels))
+    ends = tops.select(F.col("tree").alias("end_tree"), F.col("path").alias("end_path"))
+    above = rest.join(ends, F.col("tree") == F.col("end_tree")).select("tree", "at", F.concat("path", "end_path").alias("path"), "subroot")
     for depth in range(len(levels) - 1, -1, -1):
-        up = _gathered(above.select(F.col("tree").alias("up_tree"), F.col("at").alias("up_at"), F.col("path").alias("up_path"), "subroot"), sizes[depth])
-        met = _gathered(levels[depth], sizes[depth]).join(up, (F.col("tree") == F.col("up_tree")) & (F.expr(f"at div {arity}") == F.col("up_at")))
-        found = met.withColumn("path", F.concat("siblings", "up_path"))
+        found = _below(levels[depth], above, f"at div {arity}", "siblings")
         if depth:
-            above = found.select("tree", "at", "path", "subroot").unionByName(top(depth))
+            single = tops.where(F.col("depth") == depth).select("tree", F.lit(0).cast("long").alias("at"), "path", "subroot")
+            above = found.select("tree", "at", "path", "subroot").unionByName(single)
             above = above if depth % JOINED_LEVELS else cut(above)
     columns = [*leaves.columns, "path", "subroot"]
-    single = leaves.where("n = 1").join(top(0).drop("at"), "tree").select(*columns)
-    return found.select(*columns).unionByName(single) if levels else single
+    if not levels:
+        return _below(leaves, above, "at", None).select(*columns)
+    single = leaves.where("n = 1").join(tops.where("depth = 0").select("tree", "path", "subroot"), "tree")
+    return found.select(*columns).unionByName(single.select(*columns))
+
+
+def _below(nodes: DataFrame, above: DataFrame, parent: str, siblings: str | None) -> DataFrame:
+    """``nodes`` with the paths of the nodes ``above`` at place ``parent``, led by their own siblings."""
+    up = above.select(F.col("tree").alias("up_tree"), F.col("at").alias("up_at"), F.col("path").alias("up_path"), "subroot")
+    met = nodes.join(up, (F.col("tree") == F.col("up_tree")) & (F.expr(parent) == F.col("up_at")))
+    return met.withColumn("path", F.concat(siblings, "up_path") if siblings else F.col("up_path"))
 
 
 def _depth(n: Column, arity: int) -> Column:
@@ -158,16 +187,18 @@ def manifest(docs: DataFrame, fields: Sequence[str], group: str, order: str, ari
     checked = F.when(F.coalesce(where, F.lit(False)), F.unhex(then)) if where is not None else F.lit(None).cast("binary")
     rows = docs.select(docs[group].alias("group"), docs[order].alias("order"), docs[order].alias("key"), now.alias("leaf"), checked.alias("checked"))
     leaves = cut(_numbered(cut(rows.withColumn("uid", F.monotonically_increasing_id()))))
-    levels, roots, sizes = _grown(leaves, arity)
-    subroots = cut(reduce(DataFrame.unionByName, (r.select("tree", "digest", F.lit(depth).alias("depth")) for depth, r in enumerate(roots))))
+    levels, roots, rest = _grown(leaves, arity)
+    ended = [r.select("tree", "digest", F.lit(depth).alias("depth")) for depth, r in enumerate(roots)]
+    ended.append(rest.where("at = 0").select("tree", F.col("subroot").alias("digest"), F.lit(len(levels)).alias("depth")))
+    subroots = cut(reduce(DataFrame.unionByName, ended))
     trees = subroots.count()
     top = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").cast("long").alias("at"), F.lit(trees).cast("long").alias("n"), "digest", F.col("tree").alias("below"), "depth")
-    top_levels, top_roots, top_sizes = _grown(top, arity)
-    last = top_roots[-1].select("digest").first()
+    top_levels, _, top_rest = _grown(top, arity)
+    last = top_rest.select("subroot").first()
     root = bytes(last[0]).hex() if last else None
-    ends = top_roots[-1].select("tree", F.lit(len(top_levels)).alias("depth"), F.lit(b"").alias("path"), F.col("digest").alias("subroot"))
-    tops = cut(_paths(top, top_levels, top_sizes, ends, arity).select(F.col("below").alias("tree"), "depth", "path", F.col("digest").alias("subroot")))
-    proven = _paths(leaves, levels, sizes, tops, arity)
+    end = top.sparkSession.range(1).select(F.col("id").alias("tree"), F.lit(len(top_levels)).alias("depth"), F.lit(b"").alias("path"), F.lit(b"").alias("subroot"))
+    tops = cut(_paths(top, top_levels, top_rest, end, arity).select(F.col("below").alias("tree"), "depth", "path", F.col("digest").alias("subroot")))
+    proven = _paths(leaves, levels, rest, tops, arity)
     text = proven.select("key", "at", "n", F.col("tree").alias("group_at"), _hex(F.col("digest")).alias("leaf"), _hex(F.coalesce("checked", "digest")).alias("start"), _hex(F.col("subroot")).alias("subroot"), _hex(F.col("path")).alias("proof"))
     sub, used = _folded(F.col("start"), F.col("proof"), F.lit(0), F.col("at"), F.col("n"), arity)
     folded = text.withColumn("half", F.struct(sub.alias("digest"), used.alias("used")))

@@ -61,8 +61,10 @@ def odd_rows():
     return rows + [rows[4], rows[4], (None, "a", "en", 1, "t"), (None, None, None, None, None), (7, "b", "alone", 1, "only one"), (-3, "b", "two", 1, "x"), (-2, "b", "two", 1, "x")]
 
 
-@pytest.mark.parametrize("arity", [2, 3, 5])
-def test_against_plain_trees(spark, arity):
+@pytest.mark.parametrize("arity,small", [(2, 5), (2, 16_384), (3, 0), (5, 20)])
+def test_against_plain_trees(spark, monkeypatch, arity, small):
+    """Levels of more than ``small`` nodes are joined, the rest is finished in one task."""
+    monkeypatch.setattr(merkle, "SMALL_LEVEL", small)
     rows = odd_rows()
     docs = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA + ", tree string").withColumn("AT", F.lit(1))
     seventh = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
