@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.functions import names
-from pricewright.operators import lines, upserts
+from pricewright.operators import lines, minting, upserts
 from pricewright.operators import timeseries as ts
 from pricewright.plans.matching import NORMAL_SQL
 from pricewright.plans.registry import query
@@ -101,3 +101,26 @@ def er09(d: Domain):
 
 
 UPSERTED = ["result", "via", "sp_id", "product_id", "category", "review", "codes_insert", "codes_confirm", "codes_merge", "codes_move", "stores_insert", "stores_extend", "stores_keep", "renamed", "fills_image"]
+
+
+def carried_over(d: Domain) -> DataFrame:
+    """Lines of products that another chain lists, with buyer, price paid and the name on the receipt."""
+    cat = chain_catalog(d).select("sp_id", "product_id", "name", F.col("chain_id").alias("home"))
+    sold = d.price.select("id", "sp_id", "store_id", "receipt_id", F.coalesce("promo_price", "price").alias("paid")).join(d.store.select("store_id", "chain_id"), "store_id").join(cat, "sp_id").where("home != chain_id")
+    return sold.join(d.receipt.select("receipt_id", "user_id"), "receipt_id")
+
+
+@query("er30_minted_products")
+def er30(d: Domain):
+    """What every product that was bought outside its chain becomes there; a test holds the order of outcomes against a plain version."""
+    confirms = carried_over(d).select("chain_id", F.col("sp_id").alias("source_id"), "user_id", F.struct("id", "store_id", "user_id").alias("confirm_id"))
+    brands = d.table("part").select(F.col("p_partkey").alias("sp_id"), F.col("p_brand").alias("brand"))
+    none = d.spark.createDataFrame([], "sp_id long, chain_id int, source_id long")
+    return minting.minted(confirms, chain_catalog(d).join(brands, "sp_id"), none)
+
+
+@query("er34_promoted_products")
+def er34(d: Domain):
+    """Products of a kind (four sizes share a number) brought to a chain, confirmed under the names that were printed; a test clusters them one by one."""
+    confirms = carried_over(d).select("chain_id", "product_id", names.normal_name(F.col("name")).alias("print"), "user_id", "paid", F.struct("id", "sp_id", "user_id").alias("confirm_id"))
+    return minting.promotions(confirms, ["chain_id", "product_id"])
