@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.functions import names
-from pricewright.operators import lines, minting, upserts
+from pricewright.operators import lines, minting, rehoming, upserts
 from pricewright.operators import timeseries as ts
 from pricewright.plans.matching import NORMAL_SQL
 from pricewright.plans.registry import query
-from pricewright.plans.resolution import DECISION_SQL, NAMES_SQL, catalog, chain_pairs_sql, confident_names, decisions
+from pricewright.plans.resolution import DECISION_SQL, NAMES_SQL, UNASSIGNED, asked_columns, catalog, chain_pairs_sql, confident_names, decisions, scored_products
 from pricewright.sources.domain import Domain
 
 
@@ -124,3 +124,24 @@ def er34(d: Domain):
     """Products of a kind (four sizes share a number) brought to a chain, confirmed under the names that were printed; a test clusters them one by one."""
     confirms = carried_over(d).select("chain_id", "product_id", names.normal_name(F.col("name")).alias("print"), "user_id", "paid", F.struct("id", "sp_id", "user_id").alias("confirm_id"))
     return minting.promotions(confirms, ["chain_id", "product_id"])
+
+
+def homeless_parts(d: Domain):
+    """Products that have no category yet, those that do, and the pairs of the first with any."""
+    cat = catalog(d)
+    chains = chain_catalog(d).select("sp_id", "chain_id")
+    key = F.concat_ws(" ", F.col("chain_id").cast("string"), F.array_sort(F.split("name", " ")).cast("string")).alias("twin_key")
+    keyed = cat.join(chains, "sp_id").select("sp_id", "name", "category", key)
+    homeless = keyed.where(F.col("category") == UNASSIGNED).select(F.col("sp_id").alias("id"), "name", "twin_key")
+    homes = keyed.where(F.col("category") != UNASSIGNED).select(F.col("sp_id").alias("other_id"), "category", "name", "twin_key")
+    asked = cat.where(F.col("category") == UNASSIGNED).select(*asked_columns())
+    pairs = scored_products(asked, cat, confident_names(d)).select(F.col("asked_id").alias("id"), F.col("sp_id").alias("other_id"), "confidence")
+    leaves = d.sp.where(F.col("category") != UNASSIGNED).select("category").distinct().select(F.lit(UNASSIGNED).alias("parent"), F.col("category").alias("leaf"), F.col("category").alias("leaf_name"))
+    votes = rehoming.leaf_votes(homeless.select("id", "name", F.lit(UNASSIGNED).alias("category")), leaves)
+    return homeless, homes, pairs, votes
+
+
+@query("er31_new_homes")
+def er31(d: Domain):
+    """A category for every product that has none; a test repeats the rounds in a loop."""
+    return rehoming.rehomed(*homeless_parts(d), none=UNASSIGNED).withColumn("confidence", F.round("confidence", 6))
