@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.llm import langid, mixing, near_dup, packing, pii
@@ -18,44 +18,24 @@ from pricewright.llm.common import shared_folder
 DEMO_KEY = "registered pipeline"
 
 
-#: Scores of one text differ by less than this from batch to batch.
-SCORE_SLACK = 1e-3
-
-
-def length_class(text: str = "text") -> Column:
-    """Texts of one power of two in bytes; a short text tells a network less, so its score is lower."""
-    return F.floor(F.log2(F.greatest(F.lit(1), F.octet_length(text)))).cast("int")
-
-
-def least_scores(docs: DataFrame, network: langid.ByteNetwork, rows: int = 10_000, rows_per_class: int = 200) -> tuple[dict[int, float], float]:
-    """The least score of a labelled document of each length class, and of all, over about ``rows`` of them picked by hash.
-
-    A class of fewer than ``rows_per_class`` rows isn't listed.
-    """
-    known = langid.labelled(docs)
-    share = rows / max(known.count(), 1)
-    if share < 1:
-        known = known.where(F.xxhash64(F.lit("least score"), "doc_id", "text") < F.lit(-(2**63) + int(2**64 * share)))
-    found = langid.identify(known, network).groupBy(length_class().alias("class")).agg(F.min("score").alias("least"), F.count("*").alias("n")).collect()
-    return {r["class"]: r.least for r in found if r.n >= rows_per_class}, min((r.least for r in found), default=0.0)
+#: A text goes if its score is under this many times an even guess among the learned languages.
+LEAST_TIMES_EVEN = 1.1
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a learned language is recognised; texts without a letter go.
 
-    A text goes too if the network's score is below that of every labelled document of its length class
-    (of all, where the class has few labelled ones). Without any document to learn from, no text with a letter goes.
+    A text goes too if the network hardly prefers its language to an even guess: with four languages, under a score of
+    0.275. That bound is the same for tables of any size. Without any document to learn from, no text with a letter goes.
     """
     network = langid.fit(docs)
     if network is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    of_class, of_all = least_scores(docs, network)
-    least = F.lit(of_all)
-    if of_class:
-        least = F.coalesce(F.create_map(*(F.lit(v) for pair in sorted(of_class.items()) for v in pair))[length_class()], least)
     # The document rides along as one struct, so none of its columns can clash.
     found = langid.identify(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "text"), network)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= least - SCORE_SLACK)).select("row.*")
+    even = 1 / len(network.languages)
+    known = F.col("score") >= LEAST_TIMES_EVEN * even if len(network.languages) > 1 else F.lit(True)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & known).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

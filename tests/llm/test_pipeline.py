@@ -34,15 +34,29 @@ def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
 
 
-def test_language_stage_rejects_by_score(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    junk = ["0x1F a1b2c3 d4e5f6 " * 30, "asdkjh qwlkejh zxmncb qpwoie " * 20, "a", "123 a %%"]
-    odd = spark.createDataFrame([(10**6 + i, t, None, "src1", len(t)) for i, t in enumerate(junk)], docs.schema)
-    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs.unionByName(odd), "").select("doc_id").collect()}
-    lettered = {r.doc_id for r in docs.select("doc_id", "text").collect() if any(c.isalpha() for c in r.text or "")}
+def kept_and_lettered(spark, docs):
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs, "").select("doc_id").collect()}
+    return kept, {r.doc_id for r in docs.select("doc_id", "text").collect() if any(c.isalpha() for c in r.text or "")}
+
+
+def test_language_stage_keeps_clean_documents_beyond_the_sample(spark):
+    """A language with several times the rows that the network is fitted on loses no document."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert max(r["count"] for r in docs.groupBy("lang").count().collect()) > 5000
+    kept, lettered = kept_and_lettered(spark, docs)
     assert kept == lettered
 
 
+def test_language_stage_rejects_by_score(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    least = corpus_pipeline.LEAST_TIMES_EVEN
+    monkeypatch.setattr(corpus_pipeline, "LEAST_TIMES_EVEN", 3.95)  # 0.9875 of four languages
+    kept, lettered = kept_and_lettered(spark, docs)
+    assert len(lettered) - 12 <= len(kept) < len(lettered)
+    monkeypatch.setattr(corpus_pipeline, "LEAST_TIMES_EVEN", 4.01)
+    assert not kept_and_lettered(spark, docs)[0] and 1 < least < 1.5
+
+
 def test_language_stage_without_labels(spark):
     rows = [(1, "some words", None, "src1", 10), (2, "123 %%", None, "src1", 6), (3, None, None, "src1", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
