@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.functions import names
-from pricewright.operators import lines, minting, rehoming, upserts
+from pricewright.operators import aggregated, confusions, lines, minting, rehoming, upserts
 from pricewright.operators import timeseries as ts
 from pricewright.plans.matching import NORMAL_SQL
 from pricewright.plans.registry import query
@@ -145,3 +145,24 @@ def homeless_parts(d: Domain):
 def er31(d: Domain):
     """A category for every product that has none; a test repeats the rounds in a loop."""
     return rehoming.rehomed(*homeless_parts(d), none=UNASSIGNED).withColumn("confidence", F.round("confidence", 6))
+
+
+def confirmed_prints(d: Domain) -> DataFrame:
+    """Every verified line's name beside the name that its kind of product goes by (its smallest size's)."""
+    kinds = d.sp.groupBy("product_id").agg(F.min_by("name", "sp_id").alias("name"))
+    printed = d.sp.select("sp_id", "product_id", F.col("name").alias("print"))
+    return d.price.where("verified").select("sp_id").join(printed, "sp_id").join(kinds, "product_id").select("print", "name")
+
+
+@query("er25_confusions")
+def er25(d: Domain):
+    """Letters that stand for others in the names of verified lines; a test aligns all of them one by one."""
+    return confusions.confusions(confirmed_prints(d))
+
+
+@query("er28_expanded_offers")
+def er28(d: Domain):
+    """Every sentence of every document read as an offer; most name one thing. The grammar's cases are held by a test."""
+    lines = d.table("documents").select("doc_id", F.posexplode(F.split("text", r"[.!]\s")).alias("line_no", "name"))
+    found = aggregated.expand_offers(lines)
+    return found.select("doc_id", "line_no", "part", F.md5(F.col("product").cast("binary")).alias("product"), "size", "kinds")
