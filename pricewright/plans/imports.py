@@ -11,7 +11,7 @@ from pricewright.plans.matching import GRAM_SQL, NORMAL_SQL, SIM_SQL
 from pricewright.plans.registry import query
 from pricewright.plans.shopping import trips
 from pricewright.sources.domain import Domain
-from pricewright.streaming import feeds
+from pricewright.streaming import feeds, timers
 
 
 @query("src07_json_import", "SELECT category, count(*) AS n, sum(sp_id)::BIGINT AS ids, sum(amount) AS amount FROM sp GROUP BY category")
@@ -158,16 +158,41 @@ def win06(d: Domain):
     return d.sp.withColumn("rn", F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc("weighable"), "amount", "sp_id"))).where("rn = 1").select("product_id", "sp_id")
 
 
-@query("stm04_idle_users", "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-29'")
-def stm04(d: Domain):
-    state = feeds.batch_of(lambda s: feeds.latest_state(s, "user_id", ["event_id"]), d.spark, d.folder)
-    return state.where(F.col("last.ts") < F.lit("2024-01-29").cast("timestamp")).select("user_id")
+#: The watermark that all events have passed at the end: the last event's time less an hour.
+END_SQL = "e AS (SELECT *, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS rn FROM events{0}), w AS (SELECT max((epoch_us(ts) // 1000)) - 3600000 AS wm FROM events{0})"
 
 
-@query("stm05_lapsed_after_a_week", "SELECT user_id FROM events WHERE event_type = 'signup' GROUP BY user_id HAVING max(ts) + INTERVAL 7 DAY <= TIMESTAMP '2024-01-31'")
+@query("stm04_idle_users", END_SQL.format("") + """,
+s AS (SELECT user_id, rn, ms, ms AS began, event_type = 'signup' AS planned, 1 AS n FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.rn, e.ms, CASE WHEN e.ms > s.ms + CASE WHEN planned THEN 604800000 ELSE 172800000 END THEN e.ms ELSE began END,
+    e.event_type = 'signup' OR (planned AND e.ms <= s.ms + 604800000), CASE WHEN e.ms > s.ms + CASE WHEN planned THEN 604800000 ELSE 172800000 END THEN 1 ELSE n + 1 END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1),
+g AS (SELECT s.*, lead(ms) OVER (PARTITION BY user_id ORDER BY rn) AS later, CASE WHEN planned THEN 604800000 ELSE 172800000 END AS idle FROM s)
+SELECT user_id, began, ms AS ended, planned, n FROM g, w WHERE CASE WHEN later IS NULL THEN ms + idle <= wm ELSE later > ms + idle END""")
+def stm04(d: Domain):
+    """Trips that ended: two days without an event of the user, a week once a list was begun."""
+    kinds = {"signup": "list", "view": "seen", "click": "seen", "purchase": "seen", "error": "seen"}
+    build = lambda s: timers.timed(timers.as_events(s, kinds), timers.IdleTrips(), timers.IDLE_SCHEMA)
+    return timers.with_timers(d.spark, lambda: feeds.batch_of(build, d.spark, d.folder, "append")).withColumnRenamed("key", "user_id")
+
+
+@query("stm05_lapsed_after_a_week", END_SQL.format(" WHERE event_type IN ('signup', 'purchase', 'error')") + """,
+s AS (SELECT user_id, rn, CASE WHEN event_type = 'signup' THEN ms END AS open, NULL::BIGINT AS proposed, NULL::VARCHAR AS outcome, NULL::BIGINT AS done, NULL::BIGINT AS lapsed FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.rn,
+    CASE WHEN open IS NULL OR e.ms > open + 604800000 THEN CASE WHEN event_type = 'signup' THEN ms END WHEN event_type = 'signup' THEN open END,
+    CASE WHEN event_type <> 'signup' AND e.ms <= open + 604800000 THEN open END, CASE WHEN event_type <> 'signup' AND e.ms <= open + 604800000 THEN CASE event_type WHEN 'purchase' THEN 'confirmed' ELSE 'declined' END END,
+    CASE WHEN event_type <> 'signup' AND e.ms <= open + 604800000 THEN e.ms END, CASE WHEN e.ms > open + 604800000 THEN open END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1),
+last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1)
+SELECT user_id, proposed, outcome, done AS at_ms FROM s WHERE outcome IS NOT NULL
+UNION ALL SELECT user_id, lapsed, 'lapsed', lapsed + 604800000 FROM s WHERE lapsed IS NOT NULL
+UNION ALL SELECT user_id, open, 'lapsed', open + 604800000 FROM last, w WHERE open + 604800000 <= wm""")
 def stm05(d: Domain):
-    state = feeds.batch_of(lambda s: feeds.latest_state(s.where("event_type = 'signup'"), "user_id", ["event_id"]), d.spark, d.folder)
-    return state.where(F.col("last.ts") + F.expr("interval 7 days") <= F.lit("2024-01-31").cast("timestamp")).select("user_id")
+    """Proposals (sign-ups) that were confirmed by a purchase, declined by an error, or lapsed after a week."""
+    kinds = {"signup": "propose", "purchase": "confirm", "error": "decline"}
+    build = lambda s: timers.timed(timers.as_events(s, kinds), timers.LapsingSettlements(), timers.SETTLED_SCHEMA)
+    found = timers.with_timers(d.spark, lambda: feeds.batch_of(build, d.spark, d.folder, "append"))
+    return found.select(F.col("key").alias("user_id"), "proposed", "outcome", F.col("at").alias("at_ms"))
 
 
 @query("stm09_nightly_decay", "SELECT user_id, round(sum(exp(-date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') / 90.0::DOUBLE)), 6) AS score FROM events GROUP BY user_id")
