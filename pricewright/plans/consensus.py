@@ -49,14 +49,23 @@ def con02_rate(d: Domain):
     return d.vote.groupBy("user_id", "day").agg(F.count("*").alias("votes")).where("votes > 2").select("user_id", F.col("day").cast("string").alias("day"), "votes")
 
 
-@query("con03_merge_decisions", LAST_VOTE_SQL + f""",
-t AS (SELECT sp_a, count(*) FILTER (vote = 'identical') AS k, count(*) AS n FROM last_vote GROUP BY sp_a),
-w AS (SELECT sp_a, k, n, {WILSON_SQL} AS bound FROM t)
-SELECT sp_a, CASE WHEN k >= 3 AND bound >= 0.80 THEN 'promote' WHEN k >= 3 AND bound <= 0.50 THEN 'demote' ELSE 'hold' END AS decision FROM w""")
+def merge_decisions(tally, least_votes: int = 3, promote: float = 0.80, demote: float = 0.50):
+    """decision for each pair: ``promote`` or ``demote`` if its identical votes are enough and their share's lower bound is high or low, else ``hold``.
+
+    ``tally`` has sp_a, sp_b, identical, alike and different; a pair without votes is held.
+    """
+    bound = scores.wilson(F.col("identical"), F.col("identical") + F.col("alike") + F.col("different"))
+    enough = F.col("identical") >= least_votes
+    return tally.select("sp_a", "sp_b", F.when(enough & (bound >= promote), "promote").when(enough & (bound <= demote), "demote").otherwise("hold").alias("decision"))
+
+
+@query("con03_merge_decisions", TALLY_SQL + f""",
+t AS (SELECT sp_a, sp_b, identical AS k, identical + alike + different AS n FROM tally),
+w AS (SELECT sp_a, sp_b, k, {WILSON_SQL} AS bound FROM t)
+SELECT sp_a, sp_b, CASE WHEN k >= 3 AND bound >= 0.80 THEN 'promote' WHEN k >= 3 AND bound <= 0.50 THEN 'demote' ELSE 'hold' END AS decision FROM w""")
 def con03(d: Domain):
-    t = last_votes(d).groupBy("sp_a").agg(F.count(F.when(F.col("vote") == "identical", 1)).alias("k"), F.count("*").alias("n"))
-    bound = scores.wilson(F.col("k"), F.col("n"))
-    return t.select("sp_a", F.when((F.col("k") >= 3) & (bound >= 0.80), "promote").when((F.col("k") >= 3) & (bound <= 0.50), "demote").otherwise("hold").alias("decision"))
+    """Each pair by its own votes; few pairs of the small tables have enough, so a test gives some."""
+    return merge_decisions(tallies(d))
 
 
 @query("con04_merge_winner", """

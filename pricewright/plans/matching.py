@@ -142,23 +142,27 @@ def er23(d: Domain):
     return a.join(b, "key").where("a < b and body_a = body_b").select("a", "b")
 
 
-def recovery_matches(receipts, tolerance_cents: int = 50, least: int = 3):
-    """Pairs of users who bought for about the same sum on the same day, ``least`` times or more; receipts: user_id, day, cents.
+def recovery_matches(receipts, tolerance_cents: int = 50, least: int = 3, least_chains: int = 2):
+    """Pairs of users who bought for about the same sum on the same day, ``least`` times or more, in two chains at least.
 
-    A lost account is recovered so. Sums meet in buckets of the tolerance's width, within a day.
+    ``receipts``: user_id, day, cents, chain_id (the matched receipt's counts; unknown chains don't). A lost account is recovered so, and
+    who knows only one's usual store doesn't get far. Sums meet in buckets of the tolerance's width, within a day.
     """
     width = 2 * tolerance_cents + 1
     a = receipts.select(F.col("user_id").alias("claimed"), "day", F.col("cents").alias("ca"), F.explode(F.array(F.floor((F.col("cents") - tolerance_cents) / width), F.floor((F.col("cents") + tolerance_cents) / width))).alias("bucket")).distinct()
-    b = receipts.select(F.col("user_id").alias("candidate"), "day", F.col("cents").alias("cb"), F.floor(F.col("cents") / width).alias("bucket"))
+    b = receipts.select(F.col("user_id").alias("candidate"), "day", F.col("cents").alias("cb"), "chain_id", F.floor(F.col("cents") / width).alias("bucket"))
     near = a.join(b, ["day", "bucket"]).where((F.abs(F.col("ca") - F.col("cb")) <= tolerance_cents) & (F.col("claimed") != F.col("candidate")))
-    return near.groupBy("claimed", "candidate").agg(F.count("*").alias("receipts")).where(F.col("receipts") >= least)
+    counted = near.groupBy("claimed", "candidate", "chain_id").agg(F.count("*").alias("n")).groupBy("claimed", "candidate").agg(F.sum("n").alias("receipts"), F.count("chain_id").alias("chains"))
+    return counted.where((F.col("receipts") >= least) & (F.col("chains") >= least_chains))
 
 
 @query("er24_recovery_matches", """
-SELECT a.user_id AS claimed, b.user_id AS candidate, count(*) AS receipts FROM (SELECT DISTINCT user_id, day, cents FROM receipt) a JOIN receipt b ON a.day = b.day AND abs(a.cents - b.cents) <= 50 AND a.user_id <> b.user_id GROUP BY ALL HAVING count(*) >= 3""")
+c AS (SELECT receipt_id, min(chain_id) AS chain_id FROM price JOIN store USING (store_id) GROUP BY receipt_id), r AS (SELECT user_id, day, cents, chain_id FROM receipt LEFT JOIN c USING (receipt_id))
+SELECT a.user_id AS claimed, b.user_id AS candidate, count(*) AS receipts, count(DISTINCT b.chain_id) AS chains FROM (SELECT DISTINCT user_id, day, cents FROM r) a JOIN r b ON a.day = b.day AND abs(a.cents - b.cents) <= 50 AND a.user_id <> b.user_id GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT b.chain_id) >= 2""")
 def er24(d: Domain):
-    """Few users of the tables at hand are so alike, or none; a test has some."""
-    return recovery_matches(d.receipt)
+    """Few users of the tables at hand are so alike, or none; a test has some. A receipt's chain is the first of its lines'."""
+    chains = d.price.select("receipt_id", "store_id").join(d.store.select("store_id", "chain_id"), "store_id").groupBy("receipt_id").agg(F.min("chain_id").alias("chain_id"))
+    return recovery_matches(d.receipt.join(chains, "receipt_id", "left"))
 
 
 @query("er29_code_evidence", "g AS (SELECT store_id, line_no AS code, sp_id, count(*) AS n FROM price GROUP BY store_id, line_no, sp_id HAVING count(*) >= 2) SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY store_id, code ORDER BY n DESC, sp_id) = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricewright.functions import scores
+from pricewright.operators import previews
 from pricewright.operators.ranking import first_tile
 from pricewright.plans.registry import query
 from pricewright.sources.domain import AS_OF, Domain
@@ -294,3 +295,39 @@ def win07(d: Domain):
 def win08(d: Domain):
     real = F.max(~F.col("is_fallback")).over(Window.partitionBy("sp_id", "store_id"))
     return d.price.select("sp_id", "store_id", "id", "is_fallback", real.alias("has_real")).where("not is_fallback or not has_real").select("sp_id", "store_id", "id")
+
+
+#: The day of the previews: the last one on which all tables have receipts.
+PREVIEW_DAY = "2001-07-31"
+AGE_SQL = f"date_diff('day', day, DATE '{PREVIEW_DAY}')"
+
+
+@query("rec08_previews", f"""
+bought AS (SELECT r.user_id, r.day, sp.product_id, p.quantity, {AGE_SQL.replace('day,', 'r.day,')} AS age FROM receipt r JOIN price p USING (receipt_id) JOIN sp ON sp.sp_id = p.sp_id WHERE r.day <= DATE '{PREVIEW_DAY}'),
+gate AS (SELECT r.user_id FROM receipt r JOIN price p USING (receipt_id) JOIN store USING (store_id) GROUP BY 1 HAVING count(DISTINCT r.receipt_id) >= 3 AND count(DISTINCT chain_id) >= 2),
+span AS (SELECT CASE WHEN count(DISTINCT (user_id, day)) < 5 THEN 90 ELSE 14 END AS days FROM bought WHERE age < 14),
+item AS (SELECT DISTINCT user_id, day, age, product_id FROM bought JOIN gate USING (user_id) WHERE age < 90),
+trip AS (SELECT user_id, day, count(*) AS size, pow(0.5, age / 45.0::DOUBLE) AS w FROM item GROUP BY user_id, day, age),
+slot AS (SELECT user_id, greatest(5, least(25, floor(median(size) + 0.5))) AS slots FROM (SELECT user_id, size, unnest(range(CAST(greatest(1, floor(4 * w + 0.5)) AS BIGINT))) FROM trip) GROUP BY user_id),
+total AS (SELECT user_id, sum(w) AS total, count(*) AS trips FROM trip GROUP BY user_id),
+own AS (SELECT user_id, product_id, round(sum(pow(0.5, age / 45.0::DOUBLE)) / any_value(total), 8) AS p, any_value(trips) AS trips FROM item JOIN total USING (user_id) GROUP BY ALL),
+every AS (SELECT DISTINCT user_id, day, age, product_id FROM bought, span WHERE age < days),
+pop AS (SELECT product_id, round(sum(pow(0.5, age / 7.0::DOUBLE)) / (SELECT sum(pow(0.5, age / 7.0::DOUBLE)) FROM (SELECT DISTINCT user_id, day, age FROM every)), 8) AS q FROM every GROUP BY product_id),
+kind AS (SELECT product_id, arg_min(category, sp_id) AS category, bool_or(weighable) AS weighable FROM sp GROUP BY product_id),
+fresh AS (SELECT u.user_id, g.product_id, q, category FROM (SELECT DISTINCT user_id, category FROM own JOIN kind USING (product_id)) u JOIN (SELECT * FROM pop JOIN kind USING (product_id)) g USING (category)
+  WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = u.user_id AND o.product_id = g.product_id) QUALIFY row_number() OVER (PARTITION BY u.user_id, category ORDER BY q DESC, g.product_id) <= 2),
+cand AS (SELECT user_id, product_id, CASE WHEN q IS NULL THEN 'personal' ELSE 'both' END AS source, round(CASE WHEN q IS NULL THEN p ELSE p * (trips / (trips + 5.0::DOUBLE)) + q * (1 - trips / (trips + 5.0::DOUBLE)) END, 8) AS score FROM own LEFT JOIN pop USING (product_id)
+  UNION ALL SELECT user_id, product_id, 'global', q FROM fresh),
+placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY source <> 'both', score DESC, product_id) AS place FROM cand),
+seen AS (SELECT DISTINCT product_id FROM bought WHERE age <= 45),
+mq AS (SELECT user_id, product_id, median(quantity) AS m FROM bought WHERE age < 90 GROUP BY ALL), gq AS (SELECT product_id, median(quantity) AS g FROM bought, span WHERE age < days GROUP BY product_id)
+SELECT user_id, place, product_id, source, CASE WHEN weighable THEN greatest(0.1, least(20, floor(coalesce(m, g, 1) * 10 + 0.5) / 10)) ELSE greatest(1, least(50, floor(coalesce(m, g, 1) + 0.5))) END::DOUBLE AS quantity
+FROM placed JOIN slot USING (user_id) JOIN seen USING (product_id) LEFT JOIN kind USING (product_id) LEFT JOIN mq USING (user_id, product_id) LEFT JOIN gq USING (product_id) WHERE place <= slots""")
+def rec08(d: Domain):
+    """A basket for every user who has three receipts from two chains."""
+    lined = d.price.select("receipt_id", "store_id", "sp_id", "quantity").join(d.receipt.select("receipt_id", "user_id", "day"), "receipt_id")
+    receipts = lined.join(d.store.select("store_id", "chain_id"), "store_id").select("user_id", "receipt_id", "chain_id")
+    bought = lined.join(d.sp.select("sp_id", "product_id"), "sp_id").where(F.col("day") <= F.lit(PREVIEW_DAY).cast("date")).select("user_id", "day", "product_id", "quantity")
+    kinds = d.sp.groupBy("product_id").agg(F.min_by("category", "sp_id").alias("category"), F.bool_or("weighable").alias("weighable"))
+    seen = bought.groupBy("product_id").agg(F.max("day").alias("day"))
+    return previews.previews(receipts, bought, kinds, seen, PREVIEW_DAY)

@@ -34,15 +34,19 @@ def rm05(d: Domain):
 BASKET_SQL = "b AS (SELECT r.receipt_id, r.user_id, r.day, r.status, coalesce(c.calculated, false) AS calculated FROM receipt r LEFT JOIN (SELECT receipt_id, bool_or(verified) AS calculated FROM price GROUP BY receipt_id) c USING (receipt_id))"
 
 
+#: A draft can be resumed for 48 hours.
+DRAFT_DAYS = 2
+
+
 @query("rm09_resumable_baskets", f"""{BASKET_SQL}
 SELECT user_id, arg_max(receipt_id, day::VARCHAR || lpad(receipt_id::VARCHAR, 12, '0')) FILTER (status <> 'F' AND calculated) AS active,
-  arg_max(receipt_id, day::VARCHAR || lpad(receipt_id::VARCHAR, 12, '0')) FILTER (status = 'O' AND day >= DATE '{AS_OF}' - 120) AS draft, count(*) FILTER (status <> 'F' AND NOT calculated) AS abandoned FROM b GROUP BY user_id""")
+  arg_max(receipt_id, day::VARCHAR || lpad(receipt_id::VARCHAR, 12, '0')) FILTER (status = 'O' AND day >= DATE '{AS_OF}' - 2) AS draft, count(*) FILTER (status <> 'F' AND NOT calculated) AS abandoned FROM b GROUP BY user_id""")
 def rm09(d: Domain):
     """Per user the newest open basket that was priced, the newest recent draft, and how many were left untouched."""
     priced = d.price.groupBy("receipt_id").agg(F.max("verified").alias("calculated"))
     b = d.receipt.join(priced, "receipt_id", "left").withColumn("calculated", F.coalesce("calculated", F.lit(False)))
     newest = lambda cond: F.max(F.when(cond, F.struct("day", "receipt_id")))["receipt_id"]
-    recent = F.col("day") >= F.date_sub(F.lit(AS_OF).cast("date"), 120)
+    recent = F.col("day") >= F.date_sub(F.lit(AS_OF).cast("date"), DRAFT_DAYS)
     return b.groupBy("user_id").agg(
         newest((F.col("status") != "F") & F.col("calculated")).alias("active"), newest((F.col("status") == "O") & recent).alias("draft"), F.count_if((F.col("status") != "F") & ~F.col("calculated")).alias("abandoned")
     )

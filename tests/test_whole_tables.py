@@ -1,7 +1,7 @@
 """Operators that SQL can't check over whole tables, or of which the tables show little."""
 
 from pricewright.operators import pricing
-from pricewright.plans import matching, registry
+from pricewright.plans import consensus, matching, registry
 
 
 def test_linked_sets_against_union_find(spark, sf_dir):
@@ -22,11 +22,18 @@ def test_linked_sets_against_union_find(spark, sf_dir):
 
 
 def test_recovery_matches(spark):
-    rows = [(u, f"2001-01-0{i}", 10_000 * i + {1: 0, 2: 50, 3: 51, 4: -50}.get(u, 7000 * u)) for i in range(1, 5) for u in range(1, 9)]
-    rows += [(9, "2001-01-01", 10_000), (9, "2001-01-02", 20_000)]
-    found = matching.recovery_matches(spark.createDataFrame(rows, "user_id long, day string, cents long")).collect()
+    rows = [(u, f"2001-01-0{i}", 10_000 * i + {1: 0, 2: 50, 3: 51, 4: -50}.get(u, 7000 * u), i % 2) for i in range(1, 5) for u in range(1, 9)]
+    rows += [(9, "2001-01-01", 10_000, 1), (9, "2001-01-02", 20_000, 2)]
+    rows += [(u, f"2002-01-0{i}", 10_000 * i, 7 if i < 5 else None) for i in range(1, 6) for u in (20, 21)]  # one chain, and an unknown one
+    found = matching.recovery_matches(spark.createDataFrame(rows, "user_id long, day string, cents long, chain_id int")).collect()
     near = {(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if a != b and {a, b} in ({1, 2}, {1, 4}, {2, 3})}
-    assert {(r.claimed, r.candidate): r.receipts for r in found} == dict.fromkeys(near, 4)
+    assert {(r.claimed, r.candidate): (r.receipts, r.chains) for r in found} == dict.fromkeys(near, (4, 2))
+
+
+def test_merge_decisions(spark):
+    rows = [(1, 2, 20, 0, 0), (1, 3, 3, 0, 0), (2, 3, 3, 0, 17), (4, 5, 2, 0, 18), (5, 6, 0, 0, 0), (6, 7, 16, 0, 0), (7, 8, 12, 1, 0)]
+    got = {(r.sp_a, r.sp_b): r.decision for r in consensus.merge_decisions(spark.createDataFrame(rows, "sp_a int, sp_b int, identical int, alike int, different int")).collect()}
+    assert got == {(1, 2): "promote", (1, 3): "hold", (2, 3): "demote", (4, 5): "hold", (5, 6): "hold", (6, 7): "promote", (7, 8): "hold"}
 
 
 def test_real_discount(spark):
