@@ -71,18 +71,27 @@ def minted(confirms: DataFrame, catalog: DataFrame, provisional: DataFrame, bars
     return df.select("chain_id", "source_id", "outcome", sp.alias("sp_id"), F.when(c("outcome") == "twin", c("twin.twin_product")).alias("twin_product"), F.when(c("outcome") == "minted", c("user_id")).alias("owner"))
 
 
-def clusters_in_order(prints: list[str], least: float) -> list[int]:
-    """The cluster of each of different prints: the first whose members are all alike enough, else a new one."""
-    members: list[list[int]] = []
+def alike_pairs(groups: list[list[str]], least: float) -> set[tuple[str, str]]:
+    """Pairs (earlier, later) of different prints of one group that are alike, each text pair compared once for all groups."""
+    pairs = sorted({(p, q) for prints in groups for i, q in enumerate(prints) for p in prints[:i] if p and q})
+    out: set[tuple[str, str]] = set()
+    for at in range(0, len(pairs), 4096):
+        left, right = (list(x) for x in zip(*pairs[at : at + 4096], strict=True))
+        longest = np.array([max(len(p), len(q)) for p, q in zip(left, right, strict=True)])
+        near = 1 - lookalikes.distances(left, right) / longest >= least
+        out.update(pair for pair, ok in zip(pairs[at : at + 4096], near, strict=True) if ok)
+    return out
+
+
+def clusters_in_order(prints: list[str], alike: set[tuple[str, str]]) -> list[int]:
+    """The cluster of each of different prints: the first whose members are all alike, else a new one."""
+    members: list[list[str]] = []
     out: list[int] = []
-    for i, text in enumerate(prints):
-        length = np.array([max(len(text), len(p)) for p in prints[:i]])
-        distance = lookalikes.distances([text] * i, prints[:i]) if i else np.zeros(0)
-        fits = (1 - distance / np.maximum(length, 1) >= least) & (length > 0) & (len(text) > 0) & np.array([len(p) > 0 for p in prints[:i]], bool)
-        home = next((k for k, m in enumerate(members) if fits[m].all()), len(members))
+    for text in prints:
+        home = next((k for k, m in enumerate(members) if all((p, text) in alike for p in m)), len(members))
         if home == len(members):
             members.append([])
-        members[home].append(i)
+        members[home].append(text)
         out.append(home)
     return out
 
@@ -99,7 +108,9 @@ def print_clusters(confirms: DataFrame, keys: list[str], least: float) -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["cluster"] = [clusters_in_order(list(p), least) for p in pdf["prints"]]
+            groups = [list(p) for p in pdf["prints"]]
+            alike = alike_pairs(groups, least)
+            pdf["cluster"] = [clusters_in_order(g, alike) for g in groups]
             yield pdf
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inorder.schema)
