@@ -33,7 +33,7 @@ def test_recovery_matches(spark):
 def test_merge_decisions(spark):
     rows = [(1, 2, 20, 0, 0), (1, 3, 3, 0, 0), (2, 3, 3, 0, 17), (4, 5, 2, 0, 18), (5, 6, 0, 0, 0), (6, 7, 16, 0, 0), (7, 8, 12, 1, 0)]
     got = {(r.sp_a, r.sp_b): r.decision for r in consensus.merge_decisions(spark.createDataFrame(rows, "sp_a int, sp_b int, identical int, alike int, different int")).collect()}
-    assert got == {(1, 2): "promote", (1, 3): "hold", (2, 3): "demote", (4, 5): "hold", (5, 6): "hold", (6, 7): "promote", (7, 8): "hold"}
+    assert got == {(1, 2): "promote", (1, 3): "demote", (2, 3): "demote", (4, 5): "hold", (5, 6): "hold", (6, 7): "promote", (7, 8): "hold"}
 
 
 def test_real_discount(spark):
