@@ -255,12 +255,25 @@ cell AS (SELECT c.receipt_id, c.chain_id, l.sp_id, l.quantity, coalesce(o.eff, m
   FROM chains c JOIN line l USING (receipt_id) LEFT JOIN chain_offer o ON o.sp_id = l.sp_id AND o.chain_id = c.chain_id LEFT JOIN mean m ON m.sp_id = l.sp_id)
 SELECT receipt_id, chain_id, sum(known)::BIGINT AS known, count(*) AS lines, sum(CAST(round(eff * 100) AS BIGINT) * CAST(quantity AS BIGINT)) / 100 AS total FROM cell GROUP BY ALL""")
 def opt08(d: Domain):
-    line = d.price.groupBy("receipt_id", "sp_id").agg(F.sum("quantity").alias("quantity"), F.max("price").alias("paid"))
+    """What a receipt would cost in each chain that has any of it; what the chain lacks costs its mean, or what was paid.
+
+    A receipt's total at those fallbacks is the same in all chains, so a chain adds only the differences of the lines it
+    offers. A product's offers travel as two arrays, one entry a chain, so no line meets every chain of its receipt.
+    """
+    c = F.col
+    cents = lambda x: F.round(x * 100).cast("long")
     offer = latest_eff(d).join(d.store.select("store_id", "chain_id"), "store_id").groupBy("sp_id", "chain_id").agg(F.min("eff").alias("eff"))
-    mean = offer.groupBy("sp_id").agg(mean_money("eff").alias("mean"))
-    chains = line.join(offer, "sp_id").select("receipt_id", "chain_id").distinct()
-    cell = chains.join(line, "receipt_id").join(offer, ["sp_id", "chain_id"], "left").join(mean, "sp_id", "left")
-    return cell.groupBy("receipt_id", "chain_id").agg(F.count("eff").alias("known"), F.count("*").alias("lines"), (F.sum(F.round(F.coalesce("eff", "mean", "paid") * 100).cast("long") * F.col("quantity").cast("long")) / 100).alias("total"))
+    offers = offer.groupBy("sp_id").agg(F.collect_list(F.struct("chain_id", cents(c("eff")).alias("eff"))).alias("o"), mean_money("eff").alias("mean"))
+    offers = offers.select("sp_id", "mean", c("o.chain_id").alias("chains"), c("o.eff").alias("effs"))
+    line = d.price.select("receipt_id", "sp_id", "quantity", "price").repartition("sp_id").groupBy("receipt_id", "sp_id").agg(F.sum("quantity").cast("long").alias("quantity"), F.max("price").alias("paid"))
+    line = line.join(offers, "sp_id", "left").select("receipt_id", "quantity", (cents(F.coalesce("mean", "paid")) * c("quantity")).alias("fallback"), "chains", "effs").repartition("receipt_id")
+    own = Window.partitionBy("receipt_id")
+    line = line.withColumns({"n_lines": F.count("*").over(own), "base": F.sum("fallback").over(own)})
+    each = line.select("receipt_id", "n_lines", "base", "quantity", "fallback", F.explode(F.arrays_zip("chains", "effs")).alias("x"))
+    more = c("x.effs") * c("quantity") - F.coalesce("fallback", F.lit(0))
+    found = each.groupBy("receipt_id", c("x.chains").alias("chain_id")).agg(F.count("x.effs").alias("known"), F.max("n_lines").alias("lines"), F.max("base").alias("base"), F.sum(more).alias("more"))
+    total = F.when(c("base").isNotNull() | c("more").isNotNull(), F.coalesce("base", F.lit(0)) + F.coalesce("more", F.lit(0)))
+    return found.select("receipt_id", "chain_id", "known", "lines", (total / 100).alias("total"))
 
 
 @query("opt09_comparison_snapshot", """
