@@ -102,6 +102,16 @@ def unit_key(phrase: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\.", " "), r"\s+", " "))
 
 
+def named_runs(words: Column) -> Column:
+    """The words, and pairs of neighbours, of an array that name a unit; others are dropped in place, and pairs joined only after a first word of some name."""
+    known = sorted(names())
+    single, double = [n for n in known if " " not in n], [n for n in known if " " in n]
+    first = sorted({n.split(" ")[0] for n in double})
+    pair = lambda a, b: F.when(a.isin(first), F.concat(a, F.lit(" "), b))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), pair)
+    return F.concat(F.filter(words, lambda w: w.isin(single)), F.filter(pairs, lambda p: p.isin(double)))
+
+
 def with_unit(df: DataFrame, phrase: str) -> DataFrame:
     """``df`` with unit, dimension, metric and vague of the unit that column ``phrase`` names, or nulls."""
     return df.withColumn("unit_name", unit_key(F.col(phrase))).join(F.broadcast(unit_table(df.sparkSession)), "unit_name", "left").drop("unit_name")

@@ -71,7 +71,7 @@ SELECT unit, dimension, metric::DOUBLE AS metric, vague, count(*) AS n FROM run
 def uni09(d: Domain):
     """Words and pairs of words of all documents that name a unit."""
     words = d.table("documents").select(F.split(recipe_units.unit_key(F.col("text")), " ").alias("words"))
-    found = lexicon.runs(words, [], "words", recipe_units.MAX_WORDS).select(F.col("run").alias("phrase"))
+    found = words.select(F.explode(recipe_units.named_runs(F.col("words"))).alias("phrase"))
     return recipe_units.with_unit(found.groupBy("phrase").agg(F.count("*").alias("n")), "phrase").where("unit IS NOT NULL").groupBy("unit", "dimension", "metric", "vague").agg(F.sum("n").alias("n"))
 
 
