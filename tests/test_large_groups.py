@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pricewright.functions import recipe_units
+from pricewright.operators import lexicon
 from pricewright.plans import catalog, prices, pricing, resolution
 from pricewright.sources.domain import Domain
 
@@ -78,3 +80,42 @@ def test_chain_candidates_are_the_least_of_equals(spark):
         own = lambda i: (i + chain) % 3 != 0
         want = [i for i in range(40) if own(i)][:2] + [i for i in range(40) if not own(i)][:4] + [i for i in range(40, 60) if own(i)][:2]
         assert sorted(r.sp_id for r in got if r.chain_id == chain) == sorted(want)
+
+
+def test_as_of_a_receipt_with_many_prices(spark):
+    rows = [(i, 1, i // 2, "2000-01-01", i % 4 == 0, float(i)) for i in range(400)] + [(900, 1, 900, "1999-01-01", True, 5.0), (901, 2, 901, "1999-01-01", False, 5.0)]
+    price = spark.createDataFrame(rows, "id long, sp_id long, receipt_id long, day string, is_fallback boolean, price double").withColumn("day", F.col("day").cast("date"))
+    receipt = spark.createDataFrame([(r, "2000-01-02" if r < 900 else "1999-06-01") for r in [*range(200), 900, 901]], "receipt_id long, day string").withColumn("day", F.col("day").cast("date"))
+    found = prices.ts09(Views(spark, price=price, receipt=receipt))
+    got = {r.left_id: r.id for r in found.collect()}
+    assert got == {r: max(i for i in range(400) if i // 2 != r and i % 4) for r in range(200)}
+    assert joined_rows(found) < 2000
+
+
+def test_propagation_moves_no_row_for_every_store(spark):
+    store = spark.createDataFrame([(s, 1) for s in range(500)], "store_id long, chain_id int")
+    rows = [(p, p, p % 7, 2.0, "2001-11-01", True, True) for p in range(40)] + [(100, 3, 9, 1.0, "2001-11-02", True, False), (101, 4, 9, 1.0, "2001-10-16", False, False), (102, 5, 9, 1.0, "2001-10-01", True, False)]
+    price = spark.createDataFrame(rows, "id long, sp_id long, store_id long, price double, day string, is_fallback boolean, verified boolean").withColumn("day", F.col("day").cast("date"))
+    found = prices.ts16(Views(spark, price=price, store=store))
+    got = found.collect()
+    assert len(got) == 40 * 499 and {(r.sp_id, r.store_id): r.action for r in got if r.action != "insert"} == {(3, 9): "keep", (4, 9): "keep", (5, 9): "update"}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("Generate inline")[0].split("== Initial")[0]
+
+
+def test_units_in_any_words(spark):
+    words = spark.createDataFrame([("2 arbatiniai šaukšteliai ir kg cukraus kg x",), ("",), (None,)], "text string")
+    found = words.select(F.explode(recipe_units.named_runs(F.split(recipe_units.unit_key(F.col("text")), " "))).alias("run"))
+    assert sorted(r.run for r in found.collect()) == ["arbatiniai saukšteliai".replace("š", "s"), "kg", "kg", "saukšteliai".replace("š", "s")]
+
+
+def test_products_are_not_gathered_by_file_size(spark, sf_dir):
+    d = Domain(spark, sf_dir)
+    assert "SortMergeJoin" in d.price.join(d.sp, "sp_id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_without_hits_stay_where_they_are(spark):
+    phrases = spark.createDataFrame([(1, "a b c " * 50 + "red onion")], "id long, phrase string")
+    words = spark.createDataFrame([("onion", "red onions", "en", 1)], "key string, form string, lang string, place int")
+    found = lexicon.lexicon_hits(phrases, words)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.form, r["at"], r.exact) for r in lexicon.lexicon_hits(phrases, words.withColumn("form", F.lit("red onion"))).collect()] == [("red onion", 150, True)]
