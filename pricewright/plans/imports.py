@@ -75,7 +75,7 @@ o AS (SELECT DISTINCT {NORMAL_SQL.format('name || chr(32) || brand')} AS name FR
 p AS (SELECT o.name AS orphan, c.name AS candidate, {SIM_SQL.format('o.name', 'c.name')} AS score FROM o JOIN c ON len(list_intersect({GRAM_SQL.format('o.name')}, {GRAM_SQL.format('c.name')})) >= 6)
 SELECT orphan, candidate, score FROM p WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY orphan ORDER BY score DESC, candidate) <= 5""")
 def er16(d: Domain):
-    of = lambda kind: d.sp.where(F.col("category") == kind).select(names.normal_name(F.concat_ws(" ", "name", "brand")).alias("name")).distinct().select(F.col("name").alias("id"), "name")
+    of = lambda kind: d.sp.where(F.col("category") == kind).select("name", "brand").distinct().select(names.normal_name(F.concat_ws(" ", "name", "brand")).alias("name")).distinct().select(F.col("name").alias("id"), "name")
     found = similarity.similarity_join(of("PROMO"), of("SMALL"), 0.4, 5, least_shared=6)
     return found.select(F.col("left_id").alias("orphan"), F.col("right_id").alias("candidate"), "score")
 
