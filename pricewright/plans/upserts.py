@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.functions import names
-from pricewright.operators import aggregated, confusions, lines, minting, rehoming, upserts
+from pricewright.operators import aggregated, confusions, files, lines, minting, rehoming, upserts
 from pricewright.operators import timeseries as ts
 from pricewright.plans.matching import NORMAL_SQL
 from pricewright.plans.registry import query
@@ -126,25 +126,47 @@ def er34(d: Domain):
     return minting.promotions(confirms, ["chain_id", "product_id"])
 
 
-def homeless_parts(d: Domain):
-    """Products that have no category yet, those that do, and the pairs of the first with any."""
-    cat = catalog(d)
+def catalog_sides(d: Domain):
+    """Products that have no category yet, and those that do, each under its chain and the words of its name."""
     chains = chain_catalog(d).select("sp_id", "chain_id")
     key = F.concat_ws(" ", F.col("chain_id").cast("string"), F.array_sort(F.split("name", " ")).cast("string")).alias("twin_key")
-    keyed = cat.join(chains, "sp_id").select("sp_id", "name", "category", key)
+    keyed = catalog(d).join(chains, "sp_id").select("sp_id", "name", "category", key)
     homeless = keyed.where(F.col("category") == UNASSIGNED).select(F.col("sp_id").alias("id"), "name", "twin_key")
-    homes = keyed.where(F.col("category") != UNASSIGNED).select(F.col("sp_id").alias("other_id"), "category", "name", "twin_key")
+    return homeless, keyed.where(F.col("category") != UNASSIGNED).select(F.col("sp_id").alias("other_id"), "category", "name", "twin_key")
+
+
+def votes_for_leaves(d: Domain, homeless: DataFrame) -> DataFrame:
+    leaves = d.sp.where(F.col("category") != UNASSIGNED).select("category").distinct().select(F.lit(UNASSIGNED).alias("parent"), F.col("category").alias("leaf"), F.col("category").alias("leaf_name"))
+    return rehoming.leaf_votes(homeless.select("id", "name", F.lit(UNASSIGNED).alias("category")), leaves)
+
+
+def homeless_parts(d: Domain):
+    """Products that have no category yet, those that do, and the pairs of the first with any."""
+    homeless, homes = catalog_sides(d)
+    cat = catalog(d)
     asked = cat.where(F.col("category") == UNASSIGNED).select(*asked_columns())
     pairs = scored_products(asked, cat, confident_names(d)).select(F.col("asked_id").alias("id"), F.col("sp_id").alias("other_id"), "confidence")
-    leaves = d.sp.where(F.col("category") != UNASSIGNED).select("category").distinct().select(F.lit(UNASSIGNED).alias("parent"), F.col("category").alias("leaf"), F.col("category").alias("leaf_name"))
-    votes = rehoming.leaf_votes(homeless.select("id", "name", F.lit(UNASSIGNED).alias("category")), leaves)
-    return homeless, homes, pairs, votes
+    return homeless, homes, pairs, votes_for_leaves(d, homeless)
 
 
 @query("er31_new_homes")
 def er31(d: Domain):
-    """A category for every product that has none; a test repeats the rounds in a loop."""
-    return rehoming.rehomed(*homeless_parts(d), none=UNASSIGNED).withColumn("confidence", F.round("confidence", 6))
+    """A category for every product that has none; a test repeats the rounds in a loop.
+
+    Products that agree in name, size, unit and form are a kind; only kinds with a product that has no twin are scored.
+    """
+    homeless, homes = catalog_sides(d)
+    cat = catalog(d)
+    alike = ["name", "amount", "unit", "weighable"]
+    kind = cat.groupBy(*alike).agg(F.min("sp_id").alias("kind"))
+    same = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in alike]
+    kinds = files.cut(cat.join(kind.select(*(F.col(x).alias(f"_{x}") for x in alike), "kind"), same).select(F.col("sp_id").alias("id"), "kind"))
+    single = homeless.join(rehoming.twins(homeless, homes), "id", "left_anti").join(kinds, "id").select(F.col("kind").alias("sp_id")).distinct()
+    # No category counts in a score here, so a kind's first product speaks for it.
+    one = kind.select(F.col("kind").alias("sp_id"), *alike, F.lit(None).cast("string").alias("category"))
+    asked = one.join(single, "sp_id", "left_semi").select(*asked_columns())
+    pairs = scored_products(asked, one, confident_names(d), itself=True).select(F.col("asked_id").alias("id"), F.col("sp_id").alias("other_id"), "confidence")
+    return rehoming.rehomed(homeless, homes, pairs, votes_for_leaves(d, homeless), none=UNASSIGNED, kinds=kinds).withColumn("confidence", F.round("confidence", 6))
 
 
 def confirmed_prints(d: Domain) -> DataFrame:
