@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewright.functions import recipe_units
-from pricewright.operators import lexicon, minting
-from pricewright.plans import catalog, prices, pricing, resolution
+from pricewright.operators import dealing, lexicon, minting
+from pricewright.plans import catalog, prices, pricing, registry, resolution
 from pricewright.sources.domain import Domain
 
 
@@ -36,6 +36,12 @@ def joined_rows(df):
     return most
 
 
+def tasks_of(df):
+    """Tasks of the last stage once the plan is finished."""
+    df.collect()
+    return df.rdd.getNumPartitions()
+
+
 def prices_of(spark, rows):
     return spark.createDataFrame(rows, "id long, sp_id long, receipt_id long, quantity double, price double, day string").withColumn("day", F.col("day").cast("date"))
 
@@ -128,3 +134,16 @@ def test_twins_meet_by_profile(spark):
     found = minting.minted(confirms, listed, spark.createDataFrame([], "sp_id long, chain_id int, source_id long"))
     assert {(r.outcome, r.sp_id, r.twin_product) for r in found.collect()} == {("twin", 0, 0)} and found.count() == 300
     assert joined_rows(found) < 2000
+
+
+@pytest.fixture
+def many_lines(spark, sf_dir, monkeypatch):
+    """The small tables, where a task is meant to hold a hundred lines."""
+    monkeypatch.setattr(dealing, "ROWS_A_TASK", 100)
+    return Domain(spark, sf_dir)
+
+
+@pytest.mark.parametrize("name", ["rm26_candidate_upsert"])
+def test_tasks_grow_in_number_and_not_in_size(many_lines, name):
+    """6,000 lines at a hundred a task: Spark by itself packs them into as few tasks as there are cores."""
+    assert tasks_of(registry.QUERIES[name][0](many_lines)) >= 60
