@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricewright.functions.units import base_amount, family, money, repaired_basis, size_in_small_units
 from pricewright.operators import pricing
 from pricewright.operators import timeseries as ts
+from pricewright.operators.dealing import dealt
 from pricewright.operators.pricing import fine_mean
 from pricewright.plans.registry import query
 from pricewright.sources.domain import AS_OF, Domain
@@ -236,13 +237,15 @@ last AS (SELECT sp_id, price FROM price WHERE NOT is_fallback QUALIFY rank() OVE
 market AS (SELECT product_id, floor(sum(CAST(round(price * 100) AS BIGINT)) * 100 / count(*)::DOUBLE + 0.5) / 10000 AS mean FROM last JOIN sp USING (sp_id) GROUP BY product_id)
 SELECT p.receipt_id, sum((CAST(round(m.mean * 10000) AS BIGINT) - CAST(round(p.price * 100) AS BIGINT) * 100) * CAST(p.quantity AS BIGINT)) / 10000 AS savings FROM price p JOIN sp USING (sp_id) JOIN market m USING (product_id) GROUP BY p.receipt_id""")
 def opt15(d: Domain):
-    offers = d.price.where("not is_fallback").select("sp_id", "day", "price")
-    last = offers.join(offers.groupBy("sp_id").agg(F.max("day").alias("day")), ["sp_id", "day"])
+    offers = dealt(d.price.where("not is_fallback").select("sp_id", "day", "price"), d.n_lines, "sp_id")
+    last = offers.withColumn("last", F.max("day").over(Window.partitionBy("sp_id"))).where("day = last")
     named = d.sp.select("sp_id", "product_id")
     market = last.join(named, "sp_id").groupBy("product_id").agg(fine_mean("price").alias("mean"))
-    lines = d.price.select("receipt_id", "sp_id", "price", "quantity").join(named, "sp_id").join(market, "product_id")
+    # Lines meet the market once, by product, and go on as one number each.
+    means = named.join(market, "product_id").select("sp_id", "mean")
+    lines = dealt(d.price.select("receipt_id", "sp_id", "price", "quantity"), d.n_lines, "sp_id").join(means, "sp_id")
     less = (F.round(F.col("mean") * 10000).cast("long") - F.round(F.col("price") * 100).cast("long") * 100) * F.col("quantity").cast("long")
-    return lines.groupBy("receipt_id").agg((F.sum(less) / 10000).alias("savings"))
+    return dealt(lines.select("receipt_id", less.alias("less")), d.n_lines, "receipt_id").groupBy("receipt_id").agg((F.sum("less") / 10000).alias("savings"))
 
 
 @query("opt08_receipt_comparison", f"""
