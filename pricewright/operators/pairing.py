@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+TIERS = ("product", "name", "category")
+
+
+def gathered(lines: DataFrame, key: str) -> DataFrame:
+    """key, lines: each key's lines (id, product_id, words, category) by ascending id; repeated ids are taken once."""
+    known = lines.where(F.col(key).isNotNull())
+    line = F.struct(F.col("id").cast("long").alias("id"), "product_id", "words", "category")
+    found = known.groupBy(F.col(key).alias(key)).agg(F.sort_array(F.collect_list(line)).alias("_all"))
+    first = lambda x, i: (i == 0) | ~x["id"].eqNullSafe(F.get("_all", i - 1)["id"])
+    return found.select(key, F.filter("_all", first).alias("lines"))
+
+
+def matches(ours: Column, theirs: Column, unassigned: str) -> Column:
+    """All ways in which two lines match, best first: (tier, less the score, planned, bought)."""
+
+    def of(a: Column, b: Column) -> Column:
+        way = lambda tier, score: F.struct(F.lit(tier).alias("tier"), (-score).cast("int").alias("less"), a["id"].alias("a"), b["id"].alias("b"))
+        shared = F.size(F.array_intersect(a["words"], b["words"]))
+        product = F.when(a["product_id"] == b["product_id"], way(0, F.lit(1)))
+        category = F.when((a["category"] == b["category"]) & (a["category"] != unassigned), way(2, F.lit(1)))
+        return F.filter(F.array(product, F.when(shared > 0, way(1, shared)), category), lambda x: x.isNotNull())
+
+    return F.sort_array(F.flatten(F.flatten(F.transform(ours, lambda a: F.transform(theirs, lambda b: of(a, b))))))
 
 
-def _score(tier: str, planned: dict, bought: dict, unassigned: str) -> int:
-    """How well two lines match in a tier; 0 for not at all."""
-    if tier == "product":
-        return int(planned["product_id"] is not None and planned["product_id"] == bought["product_id"])
-    if tier == "name":
-        return len(set(() if planned["words"] is None else planned["words"]) & set(() if bought["words"] is None else bought["words"]))
-    return int(planned["category"] is not None and planned["category"] == bought["category"] and planned["category"] != unassigned)
+def paired_groups(groups: DataFrame, key: str, unassigned: str) -> DataFrame:
+    """As ``paired``, for one row a key with its lines as ``ours`` and ``theirs``."""
+    none = F.array().cast("array<struct<tier:int,less:int,a:bigint,b:bigint>>")
+    taken = lambda acc, x: F.exists(acc, lambda o: o["a"].eqNullSafe(x["a"]) | o["b"].eqNullSafe(x["b"]))
+    chosen = F.aggregate(matches(F.col("ours"), F.col("theirs"), unassigned), none, lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    tier = F.element_at(F.array(*map(F.lit, TIERS)), F.col("x.tier") + 1)
+    return groups.select(key, F.explode(chosen).alias("x")).select(F.col(key).cast("long").alias(key), F.col("x.a").alias("planned_id"), F.col("x.b").alias("bought_id"), tier.alias("tier"))
 
 
 def paired(planned: DataFrame, bought: DataFrame, key: str, unassigned: str) -> DataFrame:
@@ -27,24 +47,5 @@ def paired(planned: DataFrame, bought: DataFrame, key: str, unassigned: str) ->
     first, ties by the smaller ids. A key's lines are one list and one receipt, so each side's array is small.
     Keys that are null or on one side only give no pair; repeated ids are taken once.
     """
-    schema = StructType([StructField(key, LongType()), StructField("planned_id", LongType()), StructField("bought_id", LongType()), StructField("tier", StringType())])
-
-    def lines(side: DataFrame, name: str) -> DataFrame:
-        known = side.where(F.col(key).isNotNull()).select(key, "id", "product_id", "words", "category").dropDuplicates([key, "id"])
-        return known.groupBy(F.col(key).alias(key)).agg(F.collect_list(F.struct("id", "product_id", "words", "category")).alias(name))
-
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for at, ours, theirs in zip(batch[key], batch["ours"], batch["theirs"], strict=True):
-                free_ours, free_theirs = {r["id"] for r in ours}, {r["id"] for r in theirs}
-                for tier in ("product", "name", "category"):
-                    found = sorted((-s, a["id"], b["id"]) for a in ours if a["id"] in free_ours for b in theirs if b["id"] in free_theirs and (s := _score(tier, a, b, unassigned)))
-                    for _, a, b in found:
-                        if a in free_ours and b in free_theirs:
-                            free_ours.remove(a)
-                            free_theirs.remove(b)
-                            out.append((at, a, b, tier))
-            yield pd.DataFrame(out, columns=[f.name for f in schema])
-
-    return lines(planned, "ours").join(lines(bought, "theirs"), key).select(key, "ours", "theirs").mapInPandas(pair, schema)
+    ours, theirs = (gathered(side, key).withColumnRenamed("lines", to) for side, to in ((planned, "ours"), (bought, "theirs")))
+    return paired_groups(ours.join(theirs, key), key, unassigned)

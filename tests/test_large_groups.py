@@ -143,7 +143,7 @@ def many_lines(spark, sf_dir, monkeypatch):
     return Domain(spark, sf_dir)
 
 
-@pytest.mark.parametrize("name", ["rm26_candidate_upsert", "rm19_candidate_details", "opt15_savings_against_market", "rec02_trip_probability"])
+@pytest.mark.parametrize("name", ["rm26_candidate_upsert", "rm19_candidate_details", "opt15_savings_against_market", "rec02_trip_probability", "join13_list_and_receipt"])
 def test_tasks_grow_in_number_and_not_in_size(many_lines, name):
     """6,000 lines at a hundred a task: Spark by itself packs them into as few tasks as there are cores."""
     assert tasks_of(registry.QUERIES[name][0](many_lines)) >= 60

@@ -221,6 +221,20 @@ def test_pairing(spark):
     assert paired(planned.limit(0), bought, "trip", "PROMO").count() == 0
 
 
+def test_pairing_needs_no_python_workers(spark, sf_dir):
+    """Lines are paired where they are: no row goes to Python, and a receipt's lines are gathered once for both sides."""
+    plan = registry.queries()["join13_list_and_receipt"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan and "Python" not in plan
+
+
+def test_repeated_ids_are_taken_once(spark):
+    """One id with two products is one line, that of the smaller product, whatever the order of rows."""
+    schema = "trip long, id long, product_id long, words array<string>, category string"
+    planned = spark.createDataFrame([(1, 7, 5, ["milk"], "A"), (1, 7, 4, ["rice"], "B"), (1, 8, 6, [], "C")], schema)
+    bought = spark.createDataFrame([(1, 1, 5, ["milk"], "A"), (1, 2, 9, ["rice", "kale"], "Z"), (1, 3, 6, None, "C")], schema)
+    assert sorted(map(tuple, paired(planned, bought, "trip", "PROMO").collect())) == [(1, 7, 2, "name"), (1, 8, 3, "product")]
+
+
 def test_list_and_receipt(spark, sf_dir):
     rows = registry.queries()["join13_list_and_receipt"](spark, sf_dir).collect()
     assert {r.tier for r in rows} == {"product", "name", "category"}
