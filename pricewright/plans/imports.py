@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import names, scores
 from pricewright.operators import files, greedy, similarity
+from pricewright.operators.dealing import dealt
 from pricewright.plans.matching import GRAM_SQL, NORMAL_SQL, SIM_SQL
 from pricewright.plans.registry import query
 from pricewright.plans.shopping import trips
@@ -83,11 +84,15 @@ def er16(d: Domain):
 @query("rec06_greedy_fill")
 def rec06(d: Domain):
     """Five slots per user; SQL can't express it, a test repeats it in plain Python."""
-    item = trips(d).select("user_id", "trip_day", F.col("sp_id").alias("product_id")).distinct()
-    n = item.groupBy("user_id").agg(F.countDistinct("trip_day").alias("n"))
-    p = item.groupBy("user_id", "product_id").agg(F.count("*").alias("k")).join(n, "user_id").select("user_id", "product_id", (F.col("k") / F.col("n")).alias("p"))
+    item = trips(d).select("user_id", "trip_day", F.col("sp_id").alias("product_id"))
     baskets = item.groupBy("user_id", "trip_day").agg(F.sort_array(F.collect_list("product_id")).alias("ids"))
-    pairs = baskets.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b")).groupBy("a", "b").agg((F.count("*") / 10.0).alias("score")).where("score > 0.1")
+    # A user's trips are counted beside their baskets, so that the counts need no join.
+    counted = baskets.select("user_id", "ids", F.count("trip_day").over(Window.partitionBy("user_id")).alias("n")).select("user_id", "n", F.explode("ids").alias("product_id"))
+    # Written once, as the fill reads it three times over.
+    p = files.rebuilt(counted.groupBy("user_id", "product_id").agg((F.count("*") / F.max("n")).alias("p")), files.scratch(d.spark))
+    pairs = baskets.select(F.posexplode("ids").alias("i", "a"), "ids").select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
+    # Hardly a pair comes twice, so pairs are dealt out before they are counted.
+    pairs = dealt(pairs, 2 * d.n_lines, "a", "b").groupBy("a", "b").agg((F.count("*") / 10.0).alias("score")).where("score > 0.1")
     return greedy.greedy_fill(p, pairs, 5)
 
 
