@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricewright.functions.units import base_amount, family, money, repaired_basis, size_in_small_units
-from pricewright.operators import pricing
+from pricewright.operators import packed, pricing
 from pricewright.operators import timeseries as ts
 from pricewright.operators.dealing import dealt
 from pricewright.operators.pricing import fine_mean
@@ -261,20 +261,37 @@ def opt08(d: Domain):
     """What a receipt would cost in each chain that has any of it; what the chain lacks costs its mean, or what was paid.
 
     A receipt's total at those fallbacks is the same in all chains, so a chain adds only the differences of the lines it
-    offers. A product's offers travel as two arrays, one entry a chain, so no line meets every chain of its receipt.
+    offers. Offers and lines are dealt by product once each; a product's offers then travel with its lines as a few packed longs,
+    so no line meets every chain of its receipt and what is shuffled stays near what the offers hold.
     """
     c = F.col
-    cents = lambda x: F.round(x * 100).cast("long")
-    offer = latest_eff(d).join(d.store.select("store_id", "chain_id"), "store_id").groupBy("sp_id", "chain_id").agg(F.min("eff").alias("eff"))
-    offers = offer.groupBy("sp_id").agg(F.collect_list(F.struct("chain_id", cents(c("eff")).alias("eff"))).alias("o"), mean_money("eff").alias("mean"))
-    offers = offers.select("sp_id", "mean", c("o.chain_id").alias("chains"), c("o.eff").alias("effs"))
-    line = d.price.select("receipt_id", "sp_id", "quantity", "price").repartition("sp_id").groupBy("receipt_id", "sp_id").agg(F.sum("quantity").cast("long").alias("quantity"), F.max("price").alias("paid"))
-    line = line.join(offers, "sp_id", "left").select("receipt_id", "quantity", (cents(F.coalesce("mean", "paid")) * c("quantity")).alias("fallback"), "chains", "effs").repartition("receipt_id")
+    cents = lambda x: F.round(c(x) * 100).cast("long").alias(x)
+    priced = d.price.select("sp_id", "store_id", "id", "day", cents("price"), cents("promo_price"), ts.promo_active(AS_OF, open_end=False).alias("active"))
+    latest = ts.latest_by(dealt(priced, d.n_lines, "sp_id"), ["sp_id", "store_id"], [*ts.TIES, "active"])
+    latest = latest.select("sp_id", "store_id", F.when(c("active"), c("promo_price")).otherwise(c("price")).alias("eff"))
+    offer = latest.join(d.store.select("store_id", "chain_id"), "store_id").groupBy("sp_id", "chain_id").agg(F.min("eff").alias("eff"))
+    mean = F.floor(F.sum("eff") / F.count("*") + 0.5).alias("mean")
+    offers = offer.groupBy("sp_id").agg(F.collect_list(F.struct("chain_id", "eff")).alias("o"), mean, F.min("eff").alias("least"), F.max("eff").alias("most"), F.min("chain_id").alias("first"), F.max("chain_id").alias("last"))
+    # Numbers count from the least, which is 1; 0 is null. ``head`` holds how many offers there are and how wide their numbers.
+    offers = offers.withColumns({"e_bits": packed.bits(F.coalesce(c("most") - c("least") + 1, F.lit(1))), "c_bits": packed.bits(F.coalesce(c("last").cast("long") - c("first") + 1, F.lit(1)))})
+    above = lambda x, least: F.coalesce(x.cast("long") - c(least) + 1, F.lit(0).cast("long"))
+    codes = F.concat(packed.packed(F.transform("o.eff", lambda x: above(x, "least")), c("e_bits")), packed.packed(F.transform("o.chain_id", lambda x: above(x, "first")), c("c_bits")))
+    offers = offers.select("sp_id", "mean", "least", "first", (F.size("o") * 4096 + c("e_bits") * 64 + c("c_bits")).alias("head"), codes.alias("codes"))
+    line = dealt(d.price.select("receipt_id", "sp_id", "quantity", cents("price")), d.n_lines, "sp_id").groupBy("receipt_id", "sp_id").agg(F.sum("quantity").cast("long").alias("quantity"), F.max("price").alias("paid"))
+    line = line.join(offers, "sp_id", "left").select("receipt_id", "quantity", (F.coalesce("mean", "paid") * c("quantity")).alias("fallback"), "head", "least", "first", "codes")
+    # A receipt has a row for each chain in the end, so its tasks are smaller.
+    line = dealt(line, 4 * d.n_lines, "receipt_id")
     own = Window.partitionBy("receipt_id")
     line = line.withColumns({"n_lines": F.count("*").over(own), "base": F.sum("fallback").over(own)})
-    each = line.select("receipt_id", "n_lines", "base", "quantity", "fallback", F.explode(F.arrays_zip("chains", "effs")).alias("x"))
-    more = c("x.effs") * c("quantity") - F.coalesce("fallback", F.lit(0))
-    found = each.groupBy("receipt_id", c("x.chains").alias("chain_id")).agg(F.count("x.effs").alias("known"), F.max("n_lines").alias("lines"), F.max("base").alias("base"), F.sum(more).alias("more"))
+    n, e_bits, c_bits = (F.shiftright("head", 12), F.shiftright("head", 6).bitwiseAND(63), c("head").bitwiseAND(63))
+    each = line.where("head IS NOT NULL").select("*", n.alias("n"), e_bits.alias("e_bits"), c_bits.alias("c_bits"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    real = lambda code, least: F.when(code > 0, code - 1 + c(least))
+    eff = real(packed.unpacked(c("codes"), F.lit(0), c("i"), c("e_bits")), "least")
+    chain = real(packed.unpacked(c("codes"), packed.longs(c("n"), c("e_bits")), c("i"), c("c_bits")), "first").cast(d.store.schema["chain_id"].dataType)
+    # An unknown chain has no known price.
+    each = each.select("receipt_id", "n_lines", "base", "quantity", "fallback", chain.alias("chain_id"), F.when(chain.isNotNull(), eff).alias("eff"))
+    more = c("eff") * c("quantity") - F.coalesce("fallback", F.lit(0))
+    found = each.groupBy("receipt_id", "chain_id").agg(F.count("eff").alias("known"), F.max("n_lines").alias("lines"), F.max("base").alias("base"), F.sum(more).alias("more"))
     total = F.when(c("base").isNotNull() | c("more").isNotNull(), F.coalesce("base", F.lit(0)) + F.coalesce("more", F.lit(0)))
     return found.select("receipt_id", "chain_id", "known", "lines", (total / 100).alias("total"))
 

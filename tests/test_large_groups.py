@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewright.functions import recipe_units
-from pricewright.operators import dealing, lexicon, minting, nearby
+from pricewright.operators import dealing, lexicon, minting, nearby, packed
 from pricewright.plans import catalog, prices, pricing, registry, resolution
 from pricewright.sources.domain import Domain
 
@@ -164,3 +164,48 @@ def test_price_band_of_close_prices(spark, monkeypatch):
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key) and len(want) > 7000
     assert joined_rows(found) < 12_000
+
+
+def test_packed_numbers(spark):
+    cases = [(0,), (1, 0, 1), tuple(range(40)), (2**62, 5, 2**63 - 1), (2**21 - 1,) * 7, ()]
+    df = spark.createDataFrame([(list(v),) for v in cases], "v array<long>").withColumn("w", packed.bits(F.coalesce(F.array_max("v"), F.lit(0).cast("long"))))
+    df = df.withColumn("p", F.concat(F.array(F.lit(-7).cast("long")), packed.packed(F.col("v"), F.col("w")))).withColumn("n", packed.longs(F.size("v"), F.col("w")))
+    for r in df.select("*", F.transform("v", lambda x: packed.unpacked(F.col("p"), F.lit(1), (F.array_position("v", x) - 1).cast("int"), F.col("w"))).alias("back")).collect():
+        assert r.back == r.v and len(r.p) == r.n + 1 == 1 + -(-len(r.v) // (63 // r.w))
+
+
+def test_comparison_moves_little_with_a_line(spark):
+    """Forty chains offer everything; some prices, stores' chains and products are unknown."""
+    stores = spark.createDataFrame([(s, 1000 + 7 * s if s < 40 else None) for s in range(42)], "store_id long, chain_id int")
+    rows = [(i, i % 50 if i % 97 else None, i % 400, float(1 + i % 3), (i * 37 % 5000) / 100 if i % 101 else None, "2001-11-0" + str(1 + i % 5), i * 31 % 43) for i in range(4000)]
+    columns = "id long, sp_id long, receipt_id long, quantity double, price double, day string, store_id long"
+    promo = F.when(F.col("id") % 4 == 0, F.col("price") / 2).alias("promo_price")
+    price = spark.createDataFrame(rows, columns).withColumns({"day": F.col("day").cast("date"), "promo_price": F.floor(promo * 100) / 100})
+    price = price.withColumns({"valid_from": F.col("day").cast("timestamp_ntz"), "promo_end": (F.col("day") + F.expr("INTERVAL 2 DAYS")).cast("timestamp_ntz")})
+    found = pricing.opt08(Views(spark, price=price, store=stores))
+    con = duckdb.connect()
+    con.register("p", price.withColumns({x: F.col(x).cast("string") for x in ("day", "valid_from", "promo_end")}).toPandas().convert_dtypes())
+    con.register("s", stores.toPandas().convert_dtypes())
+    views = "WITH price AS (SELECT * REPLACE (CAST(day AS DATE) AS day, CAST(valid_from AS TIMESTAMP) AS valid_from, CAST(promo_end AS TIMESTAMP) AS promo_end) FROM p), store AS (FROM s), "
+    want = con.execute(views + registry.QUERIES["opt08_receipt_comparison"][1].strip()).fetchall()
+    key = lambda r: tuple((x is None, x) for x in r)
+    rounded = lambda rows: sorted(((*r[:4], None if r[4] is None else round(r[4], 6)) for r in map(tuple, rows)), key=key)
+    assert rounded(found.collect()) == rounded(want) and len(want) > 10_000
+    assert row_bytes(found) < 250
+
+
+def row_bytes(df):
+    """The mean size of rows in the finished plan's widest exchange."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name, children = node.nodeName(), node.children()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        elif name == "Exchange":
+            most = max(most, node.metrics().apply("dataSize").value() / max(1, node.metrics().apply("shuffleRecordsWritten").value()))
+        todo += [children.apply(i) for i in range(children.size())]
+    return most
