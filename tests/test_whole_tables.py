@@ -1,7 +1,8 @@
 """Operators that SQL can't check over whole tables, or of which the tables show little."""
 
 from pricewright.operators import pricing
-from pricewright.plans import consensus, matching, registry
+from pricewright.plans import consensus, matching, registry, worklists
+from pricewright.sources.domain import Domain
 
 
 def test_linked_sets_against_union_find(spark, sf_dir):
@@ -51,3 +52,13 @@ def test_substitutes(spark, sf_dir):
     assert [r.sp_id for r in pricing.substitutes(items, catalog, most=1).collect()] == [4]
     totals = registry.queries()["opt01_basket_over_stores"](spark, "/root/testdata/sf0.01").collect()
     assert sum(r.n_substituted for r in totals) > 0
+
+
+def test_resumable_baskets(spark):
+    """Drafts of the last two days only; the older ones still count as active or abandoned."""
+    receipts = [(1, 1, "2001-11-03", "O"), (2, 1, "2001-11-02", "O"), (3, 2, "2001-11-02", "O"), (4, 2, "1999-01-01", "O"), (5, 3, "2001-11-05", "P"), (6, 3, "2001-11-05", "F"), (7, 4, "2001-11-04", "O"), (8, 4, "2001-11-04", "O")]
+    d = Domain(spark, "")
+    d.__dict__["receipt"] = spark.createDataFrame(receipts, "receipt_id long, user_id long, day string, status string").selectExpr("receipt_id", "user_id", "CAST(day AS DATE) AS day", "status")
+    d.__dict__["price"] = spark.createDataFrame([(2, True), (2, False), (3, False), (4, True), (6, True)], "receipt_id long, verified boolean")
+    got = {r.user_id: (r.active, r.draft, r.abandoned) for r in worklists.rm09(d).collect()}
+    assert got == {1: (2, 1, 1), 2: (4, None, 1), 3: (None, None, 1), 4: (None, 8, 2)}
